@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import bfd_packing, chat_template, decontaminate, language_id, packing, quality_rules, token_counts, url_filter
+from docspark.llm import bfd_packing, chat_template, decontaminate, language_id, near_dedup, packing, quality_rules, token_counts, url_filter
 from docspark.session import table, written
 
 #: Where the public tokenizers' files lie; a parameter of every operator that needs one.
@@ -23,6 +23,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,6 @@ def op10_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op3_quality_rules, op4_chat_formatting, op5_language_id, op6_token_counts, op7_url_filter, op9_decontamination, op10_bfd_packing)
+    for f in (op1_packing, op2_minhash_near_dedup, op3_quality_rules, op4_chat_formatting, op5_language_id, op6_token_counts, op7_url_filter, op9_decontamination, op10_bfd_packing)
 }
 ORACLES: dict[str, str] = {"op7_url_filter": url_filter.SQL}
