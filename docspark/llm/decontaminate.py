@@ -11,6 +11,8 @@ its shift. Items are held in the workers up to BOUND bytes of text; a larger ben
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -181,6 +183,16 @@ def _pass(df: DataFrame, items: list[tuple[str, bytes]], window: int, text: str
     return df.mapInArrow(run, SCHEMA + (", text binary" if text else ""))
 
 
+def _passes(benchmark: DataFrame, item_col: str, text_col: str, bound: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items, at most about bound bytes of text at a time."""
+    wanted = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("binary").alias("text")).where("text is not null and item is not null")
+    total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, -(-total // bound))
+    for k in range(passes):
+        part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
+        yield [(r.item, bytes(r.text)) for r in part.collect()]
+
+
 def contamination(
     df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, bound: int = BOUND
 ) -> DataFrame:
@@ -192,19 +204,34 @@ def contamination(
     texts each count; repeated rows each give a row; an empty benchmark hits nothing; other columns are ignored.
     """
     prepare(df.sparkSession)
-    wanted = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].cast("binary").alias("text")).where("text is not null and item is not null")
-    total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-total // bound))
+    parts = list(_passes(benchmark, item_col, item_text_col, bound))
     own = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("binary").alias("text"))
-    if passes == 1:
-        return _pass(own, [(r.item, bytes(r.text)) for r in wanted.collect()], window, None)
+    if len(parts) == 1:
+        return _pass(own, parts[0], window, None)
     own = own.selectExpr("doc_id", "0L as n_words", "0L as n_hit", "cast(array() as array<string>) as items", "cast(array() as array<struct<start:long,end:long>>) as spans", "text")
-    for k in range(passes):
-        part = wanted.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
-        own = written(_pass(own, [(r.item, bytes(r.text)) for r in part.collect()], window, "text"), "decontaminate")
+    for items in parts:
+        own = written(_pass(own, items, window, "text"), "decontaminate")
     return own.drop("text")
 
 
+def uncontaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, bound: int = BOUND) -> DataFrame:
+    """The rows of df, all columns, in whose text no test string occurs; a null text stays. Nothing is shuffled."""
+    prepare(df.sparkSession)
+    schema = df.schema
+    for items in _passes(benchmark, item_col, item_text_col, bound):
+
+        def run(batches, items=items):
+            strings = test_strings(items, window)
+            for batch in batches:
+                for a, b, data, bounds in steps(not_null(batch.column(batch.num_columns - 1)), STEP):
+                    _, found, _ = search(data, bounds, strings)
+                    part = batch.slice(a, b - a).filter(pa.array([not x for x in found], pa.bool_()))
+                    yield pa.RecordBatch.from_arrays(part.columns[:-1], names=schema.names)
+
+        df = df.select("*", df[text_col].cast("binary").alias("__bytes")).mapInArrow(run, schema)
+    return df
+
+
 def digests(found: DataFrame) -> DataFrame:
     items = F.col("items")
     return found.select(

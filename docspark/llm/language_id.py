@@ -34,8 +34,6 @@ def letters(text: str) -> str:
     return _OTHER.sub(" ", text).lower()
 
 
-SCHEMA = "lang_pred string, score double, margin double, rejected boolean"
-
 
 def sample(labelled: DataFrame) -> dict[str, list[str]]:
     """About SAMPLE_TEXTS stretches of text for each language; the rows are chosen by a hash, alike in all partitions.
@@ -117,24 +115,24 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return Model.fit(sample(labelled.where(~in_fold(F.col("key"), folds, held_out))))
 
 
-def classify(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all but the text by default), then lang_pred, score, margin and rejected of each whole text.
+def classify(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """All columns of df, then lang_pred, score, margin and rejected of each whole text.
 
     A null text, or one without a letter, is und with score 0, and rejected; so is every text if nothing was learned.
     Ties go to the name that sorts first, with margin 0, and are rejected. Repeated rows are classified alike. Columns
-    of df named as a result are left out; an empty table gives no rows.
+    of df named as a result (prefix stands before the results' names) are left out; an empty table gives no rows.
     """
     prepare(df.sparkSession)
-    results = [x.split()[0] for x in SCHEMA.split(", ")]
-    kept = [c for c in (keep if keep is not None else df.columns) if c not in results and (keep is not None or c != text_col)]
+    results = [prefix + x for x in ("lang_pred", "score", "margin", "rejected")]
+    kept = [c for c in df.columns if c not in results]
     own = df.select(*[df[c] for c in kept], df[text_col].cast("string").alias("__text"))
-    types = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
+    types = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
 
     def run(batches):
-        own = Classifier(model)
+        classifier = Classifier(model)
         for batch in batches:
-            found = [own.classify(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            cols = [pa.array(x, f.type) for x, f in zip(zip(*found, strict=True) if found else [[]] * 4, types, strict=True)]
+            found = [classifier.classify(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            cols = [pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else [[]] * 4, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], [*kept, *results])
 
     schema = own.drop("__text").schema

@@ -202,3 +202,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(found, ["k1", "k2"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of df, all columns, that near_duplicates keeps; of rows that share an id one stays.
+
+    The ids that go are sent to all executors up to BROADCAST_IDS, and joined by a shuffle beyond.
+    """
+    found = written(near_duplicates(df, id_col, text_col, percent).select("doc_id", "kept"), "near-duplicates")
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = df.where(df[id_col].isNotNull()).join(gone, df[id_col] == F.col("__gone"), "left_anti").select(*df.columns)
+    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])

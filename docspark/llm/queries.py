@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import bfd_packing, chat_template, decontaminate, language_id, near_dedup, packing, quality_rules, token_counts, url_filter
+from docspark.llm import bfd_packing, chat_template, decontaminate, language_id, near_dedup, packing, quality_rules, token_counts, toxicity, url_filter
 from docspark.session import table, written
 
 #: Where the public tokenizers' files lie; a parameter of every operator that needs one.
@@ -60,6 +60,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.in_fold(found["doc_id"], 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digests(found)
@@ -71,6 +78,6 @@ def op10_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_minhash_near_dedup, op3_quality_rules, op4_chat_formatting, op5_language_id, op6_token_counts, op7_url_filter, op9_decontamination, op10_bfd_packing)
+    for f in (op1_packing, op2_minhash_near_dedup, op3_quality_rules, op4_chat_formatting, op5_language_id, op6_token_counts, op7_url_filter, op8_toxicity, op9_decontamination, op10_bfd_packing)
 }
 ORACLES: dict[str, str] = {"op7_url_filter": url_filter.SQL}
