@@ -4,15 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import decontaminate, packing
+from docspark.llm import decontaminate, language_id, near_dedup, packing, toxicity
 from docspark.llm.queries import tokenizer_path
 from docspark.session import table, written
 
 
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear: those without a letter or with a narrow margin go."""
+    found = language_id.classify(docs, language_id.fit(docs), prefix="__")
+    return found.where("not __rejected").select(docs.columns)
+
+
+def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted to be toxic."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, prefix="__").where("__predicted = 0").select(docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near duplicates."""
+    return near_dedup.one_of_each(docs)
+
+
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no test string of the benchmark occurs."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +36,13 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("language ID", keep_identified),
+    ("toxicity", keep_civil),
+    ("near duplicates", keep_one_of_each),
     ("benchmark decontamination", keep_uncontaminated),
     ("packing", pack_documents),
 ]
+#: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
