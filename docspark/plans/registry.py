@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from docspark.plans import assembly_queries, control_queries, fair_queries, page_queries, quality_queries, source_queries, streaming_queries
+from docspark.plans.entry import Entries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ALL = Entries()
+for _part in (control_queries, fair_queries, source_queries, page_queries, assembly_queries, quality_queries, streaming_queries):
+    ALL.take(_part.ENTRIES)
+
+QUERIES: dict[str, Callable] = ALL.queries
+ORACLES: dict[str, str] = ALL.oracles

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A batch of whole texts, twice in a worker and once in the JVM, must leave room for the other tasks of its executor.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
