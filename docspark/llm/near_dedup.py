@@ -6,10 +6,12 @@ small sets; two documents of similarity s share one of the bands with probabilit
 1 - 6e-6 at 0.75.
 
 Work goes by distinct shingle sets, so copies cost nothing after the first. In every bucket all sets are compared with
-the bucket's least one: links that hold make components. A bucket whose sets then lie in one component is done, however
-large. Where some bucket of three or more sets still has several components, its sets go through an exact set join
-across components: shingles are ordered from rare to frequent, and two sets of that similarity must share one of the
-first quarter or so. No step makes all pairs of a group, and every link that is used was counted on the full sets.
+its most central one, the one that shares the most buckets' places: links that hold make components. A bucket whose sets
+then lie in one component is done, however large. Where some bucket of three or more sets still has several components,
+its sets go through an exact set join across components: shingles are ordered from rare to frequent, and two sets of that
+similarity must share one of the first quarter or so, so early that what is left of both can still reach it; and the
+parities of both sets' shingles, hashed to SKETCH bits, differ in no more bits than the sets may differ in shingles. No
+step makes all pairs of a group, and every link that is used was counted on the full sets.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ BANDS, ROWS = 32, 4
 BROADCAST_IDS = 1_000_000
 #: Cells that shingle frequencies are counted in; they only order the shingles.
 CELLS = 1 << 16
+#: Bits of a set's parities.
+SKETCH = 1024
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _PERMUTATIONS = BANDS * ROWS // 2
@@ -138,32 +142,66 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each hash value of SKETCH whether an odd number of shingles has it, as 64-bit numbers.
+
+    Two sets' parities differ in at most as many bits as the sets have shingles that aren't in both.
+    """
+    cell = (mix(shingles.astype(np.uint64)) >> np.uint64(64 - (SKETCH - 1).bit_length())).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
 def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets in different components that share a shingle among their rarest n - ceil(percent * n / 100) + 1."""
+    """Pairs of sets in different components that could be similar enough by the first shingle they share.
+
+    Two similar sets share one of the rarest n - ceil(percent * n / 100) + 1 shingles of each. What they share is at most
+    the shingles from their first common one on, so places far from the front of either can't start a link.
+    """
     counted = sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(CELLS)).cast("int").alias("cell")).count().collect()
     often = np.zeros(CELLS, np.int64)
     for r in counted:
         often[r.cell] = r["count"]
 
+    words = [f"p{i}" for i in range(SKETCH // 64)]
+    names = ["id", "n", "left", "s", *words]
+
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            ids, sizes, heads = [], [], []
+            parts = []
             for i, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = own.values.to_numpy(zero_copy_only=False)
                 n = len(s)
-                heads.append(s[np.lexsort((s, often[s % CELLS]))[: n - -(-percent * n // 100) + 1]])
-                ids += [i] * len(heads[-1])
-                sizes += [n] * len(heads[-1])
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.concatenate(heads))], ["id", "n", "s"])
-
-    rows = sets.mapInArrow(run, "id long, n long, s long").join(labels, "id", "left").select("id", "n", "s", F.coalesce("component", "id").alias("c"))
+                heads = s[np.lexsort((s, often[s % CELLS]))[: n - -(-percent * n // 100) + 1]]
+                fixed = np.concatenate([[i, n], parities(s)])
+                part = np.empty((len(names), len(heads)), np.int64)
+                part[:2], part[4:] = fixed[:2, None], fixed[2:, None]
+                part[2], part[3] = n - np.arange(len(heads)), heads
+                parts.append(part)
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(parts, 1)], names)
+
+    rows = sets.mapInArrow(run, ", ".join(f"{x} long" for x in names)).join(labels, "id", "left").select(*names, F.coalesce("component", "id").alias("c"))
     rows = written(rows, "prefixes")
     several = rows.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
     rows = rows.join(several, "s", "left_semi")
     x, y = rows.alias("x"), rows.alias("y")
-    close = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.c") < F.col("y.c"))
-    return x.join(y, (F.col("x.s") == F.col("y.s")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    # shared >= percent * union / 100 is (100 + percent) * shared >= percent * (n + m).
+    reach = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.n") + F.col("y.n"))
+    differ = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in words[1:]), F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))))
+    near = (100 + percent) * differ <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.c") < F.col("y.c")) & sizes & reach & near)
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def _central_pairs(banded: DataFrame) -> DataFrame:
+    """(a, b): every set with the most central set of each bucket that it shares with others."""
+    crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(banded.join(crowded, "band"), "shared")
+    central = shared.groupBy("id").agg(F.sum("n").alias("score"))
+    heads = shared.join(central, "id").groupBy("band").agg(F.max(F.struct("score", -F.col("id"))).alias("head")).select("band", (-F.col("head.col2")).alias("a"))
+    pairs = shared.join(written(heads, "heads"), "band").where("a <> id")
+    return written(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -178,12 +216,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = prepare(df.sparkSession)
     own = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("binary").alias("text"))
     signed = written(signatures(own), "signatures")
-    classes = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
+    classes = written(signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
     members = signed.join(classes, (signed["k1"] == classes["k1"]) & (signed["k2"] == classes["k2"]) & (signed["doc_id"] == classes["id"]))
     banded = written(members.select("id", F.explode("bands").alias("band")).distinct(), "bands")
-
-    pivots = banded.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
-    pairs = written(banded.join(pivots, "band").where("a <> id").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    pairs = _central_pairs(banded)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = written(sets_of(own, ids).dropDuplicates(["id"]), "sets")
     links = written(confirmed(pairs, sets, percent), "confirmed")
@@ -199,7 +235,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         labels = components(links.union(more))
 
     found = classes.join(labels, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(found, ["k1", "k2"], "left")
+    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(written(found, "found"), ["k1", "k2"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
