@@ -1,6 +1,6 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier on its posteriors.
 
-Terms are whole words and word beginnings of 4 to 7 bytes, as hashes. From a bounded sample of labelled rows the terms
+Terms are whole words and word beginnings of 4 to 6 bytes, as hashes. From a bounded sample of labelled rows the terms
 that mark either class are chosen. Lexicon voters each hold a share of the toxic terms of one kind and vote toxic from so
 many hits; pattern voters look at density, variety and absence. The label model estimates by expectation maximisation
 how each voter votes in each class, and how the voters correlate inside the classes; correlated voters share their weight.
@@ -24,9 +24,9 @@ from docspark.llm.words import ALNUM_LOWER, _Powers, mix, not_null, steps, words
 from docspark.session import prepare
 
 #: The bounded samples the model is fitted on, about: labelled rows, unlabelled rows, and the bytes of a row's text at most.
-LABELLED_ROWS, UNLABELLED_ROWS, SAMPLE_BYTES = 6000, 2000, 1 << 16
+LABELLED_ROWS, UNLABELLED_ROWS, SAMPLE_BYTES = 4000, 1000, 1 << 16
 #: Bytes of the word beginnings that count as terms.
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (4, 5, 6)
 #: Terms of the classifier: marking toxic and clean rows.
 TOXIC_TERMS, CLEAN_TERMS = 150, 50
 #: Toxic terms that are looked at one by one.
@@ -85,9 +85,9 @@ class Sample:
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
             at = np.flatnonzero(new)
-            rows.append(key["x"][at] + done)
+            rows.append((key["x"][at] + done).astype(np.int32))
             terms.append(key["t"][at])
-            counts.append(np.diff(np.append(at, len(key))))
+            counts.append(np.diff(np.append(at, len(key))).astype(np.int32))
             words.append(n)
             done += b - a
         return cls(np.concatenate(rows), np.concatenate(terms), np.concatenate(counts), np.concatenate(words), label)
