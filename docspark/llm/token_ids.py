@@ -18,7 +18,7 @@ from docspark.llm.words import SPACED, SPACED_LOWER, words_of
 #: Ends a document in a token stream.
 END_OF_DOCUMENT = 1
 #: Distinct pieces kept; past it the memory starts anew.
-MEMORY = 1_500_000
+MEMORY = 700_000
 #: Pieces in one string given to the tokenizer, and strings in one call.
 GROUP, CALL = 64, 64
 PLAIN_ENDS = (".", ",")
@@ -58,7 +58,7 @@ class HashTable:
         """Number new, distinct keys in their order."""
         if 2 * (self.count + len(keys)) > len(self.keys):
             old, at = self.keys[self.keys != 0], self.at[self.keys != 0]
-            self._alloc(int(2 * (self.count + len(keys))).bit_length() + 1)
+            self._alloc((2 * (self.count + len(keys)) - 1).bit_length())
             self._put(old, at)
         self._put(keys, np.arange(self.count, self.count + len(keys), dtype=np.int32))
         self.count += len(keys)
