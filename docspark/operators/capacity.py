@@ -63,11 +63,16 @@ def outcome_of(error_class: Column) -> Column:
     return out
 
 
-def error_class(status: Column, body: Column) -> Column:
-    """The class of an HTTP reply that isn't a success; only the body's first 4,096 bytes are looked at for budget words."""
-    broke = F.lower(F.substring(body, 1, 4096)).rlike("insufficient_quota|insufficient funds|billing|credit balance|budget")
+#: Words in a reply that tell of a spent budget, looked for in its first 4,096 bytes.
+BUDGET_WORDS = ("budget_exhausted", "spend_exceeded", "insufficient_quota", "billing_hard_limit")
+
+
+def error_class(status: Column, body: Column, retry_after: Column | None = None) -> Column:
+    """The class of an HTTP reply that isn't a success; retry_after in seconds, null or 0 for none."""
+    broke = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 4096)).rlike("|".join(BUDGET_WORDS))
+    waits = F.coalesce(retry_after > 0, F.lit(False)) if retry_after is not None else F.lit(False)
     return (
-        F.when((status == 402) | (status.isin(403, 429) & broke), "budget").when(status == 429, "rate_limited").when(status.isin(408, 425) | (status >= 500), "retryable").when(status.isin(413, 415, 422), "permanent").otherwise("misconfigured")
+        F.when((status == 402) | broke, "budget").when((status == 429) | ((status == 503) & waits), "rate_limited").when(status.isin(408, 409) | (status >= 500), "retryable").when(status.isin(413, 415), "permanent").otherwise("misconfigured")
     )
 
 

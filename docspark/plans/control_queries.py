@@ -90,10 +90,9 @@ def queue_view_pools(spark, sf_dir):
     return C.queue_pools(pools(spark, sf_dir), tasks(spark, sf_dir), now=60)
 
 
-@ENTRIES.add(f"WITH {SQL_PARSES} SELECT * FROM parses WHERE state IN ('queued', 'running') AND owner % 3 = 0 AND parse_id < 9000 ORDER BY parse_id DESC LIMIT 51")
+@ENTRIES.add(f"WITH {SQL_PARSES} SELECT * FROM parses WHERE state IN ('queued', 'running') AND owner BETWEEN 1 AND 400 AND parse_id < 9000 ORDER BY parse_id DESC LIMIT 51")
 def parses_listing_topk(spark, sf_dir):
-    own = parses(spark, sf_dir).where("owner % 3 = 0")
-    return C.listing(own, 50, states=["queued", "running"], after=9000)
+    return C.listing(parses(spark, sf_dir), 50, owners=list(range(1, 401)), states=["queued", "running"], after=9000)
 
 
 @ENTRIES.add(f"WITH {SQL_PARSES} SELECT parse_id, owner, label FROM parses WHERE label = 'BUILDING' AND file_id = 7 ORDER BY parse_id DESC LIMIT 21")
@@ -134,9 +133,9 @@ def expired_sweep(spark, sf_dir):
     return C.expired_parses(retained(spark, sf_dir), 20000)
 
 
-@ENTRIES.add(f"WITH {SQL_PARSES}, {SQL_FILES} SELECT file_id, kept_until FROM files f WHERE NOT EXISTS (SELECT 1 FROM parses p WHERE p.file_id = f.file_id AND p.state IN ('queued', 'running') AND p.owner % 90 = 1)")
+@ENTRIES.add(f"WITH {SQL_PARSES}, {SQL_FILES} SELECT file_id, kept_until FROM files f WHERE NOT EXISTS (SELECT 1 FROM parses p WHERE p.file_id = f.file_id AND p.state IN ('queued', 'running'))")
 def idle_files(spark, sf_dir):
-    return C.idle_files(files(spark, sf_dir), parses(spark, sf_dir).where("owner % 90 = 1"))
+    return C.idle_files(files(spark, sf_dir), parses(spark, sf_dir))
 
 
 @ENTRIES.add(f"""WITH {SQL_PARSES} SELECT parse_id, group_id, CASE WHEN row_number() OVER (PARTITION BY group_id ORDER BY created_day, parse_id) <= 100 THEN 'created' ELSE 'queue_full' END AS outcome FROM parses""")
@@ -250,10 +249,10 @@ def service_counters(spark, sf_dir):
 
 
 @ENTRIES.add(f"""WITH {SQL_PARSES}, {SQL_TASKS} SELECT p.parse_id, group_id, count(*) FILTER (t.state IN ('queued', 'leased')) AS canceled_tasks, CAST(greatest(9 - count(*) FILTER (t.state IN ('succeeded', 'failed')), 0) AS BIGINT) AS refund
-  FROM parses p LEFT JOIN tasks t USING (parse_id) WHERE p.state IN ('queued', 'running') AND owner % 11 = 3 GROUP BY ALL""")
+  FROM parses p LEFT JOIN tasks t USING (parse_id) WHERE p.state IN ('queued', 'running') AND label = 'BUILDING' GROUP BY ALL""")
 def cancel_cascade(spark, sf_dir):
     p = parses(spark, sf_dir).withColumn("reserved", F.lit(9))
-    return K.cancel_cascade(p, tasks(spark, sf_dir), F.col("owner") % 11 == 3)
+    return K.cancel_cascade(p, tasks(spark, sf_dir), F.col("label") == "BUILDING")
 
 
 @ENTRIES.add(f"WITH {SQL_PARSES} SELECT 'parses/' || event_id || '/result' AS object_key FROM events WHERE event_id NOT IN (SELECT parse_id FROM parses WHERE state <> 'failed')")

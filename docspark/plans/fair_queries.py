@@ -16,7 +16,7 @@ ENTRIES = Entries()
 _BACKLOG = f"""WITH {SQL_PARSES}, {SQL_TASKS}, b AS (SELECT class, group_id, project_id, priority, task_key, page, parse_id, day, t.input_tokens, cost,
     CASE class WHEN 0 THEN 4 ELSE 1 END AS class_weight, 1 + group_id % 7 AS group_weight, 1 + project_id % 3 AS project_weight,
     row_number() OVER (PARTITION BY parse_id ORDER BY page, task_key, day, t.input_tokens, cost) AS n
-  FROM tasks t JOIN parses USING (parse_id) WHERE t.state = 'queued' AND parse_id % 8 = 0),
+  FROM tasks t JOIN parses USING (parse_id) WHERE t.state = 'queued'),
   p1 AS (SELECT *, coalesce(sum(cost * 1000000 // project_weight) OVER (PARTITION BY class, group_id, project_id ORDER BY priority DESC, parse_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM b),
   p2 AS (SELECT *, row_number() OVER (PARTITION BY class, group_id ORDER BY t, project_id, priority DESC, parse_id, n) AS in_group FROM p1),
   p3 AS (SELECT *, coalesce(sum(cost * 1000000 // group_weight) OVER (PARTITION BY class, group_id ORDER BY in_group ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t2 FROM p2),
@@ -28,7 +28,7 @@ _BACKLOG = f"""WITH {SQL_PARSES}, {SQL_TASKS}, b AS (SELECT class, group_id, pro
 def backlog(spark, sf_dir):
     from pyspark.sql import Window
 
-    t = tasks(spark, sf_dir).where("state = 'queued' and parse_id % 8 = 0").drop("state")
+    t = tasks(spark, sf_dir).where("state = 'queued'").drop("state")
     p = parses(spark, sf_dir).select("parse_id", "class", "group_id", "project_id", "priority")
     n = F.row_number().over(Window.partitionBy("parse_id").orderBy("page", "task_key", "day", "input_tokens", "cost"))
     return t.join(p, "parse_id").select(
@@ -106,12 +106,12 @@ def runnable_lanes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(I.runnable_lanes(lanes, kinds), ",").alias("lanes"))
 
 
-@ENTRIES.add(f"""WITH {SQL_PARSES}, j AS (SELECT class, owner, priority, parse_id FROM parses WHERE state = 'queued' AND owner % 4 = 0),
+@ENTRIES.add(f"""WITH {SQL_PARSES}, j AS (SELECT class, owner, priority, parse_id FROM parses WHERE state = 'queued'),
   a AS (SELECT *, row_number() OVER (PARTITION BY class, owner ORDER BY priority, parse_id) AS turn, min(parse_id) OVER (PARTITION BY class, owner) AS first FROM j),
   n AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY turn, first, owner) AS n, count(*) FILTER (class = 1) OVER () AS bs, count(*) FILTER (class = 0) OVER () AS ins FROM a)
   SELECT class, owner, parse_id, CAST(CASE WHEN class = 0 THEN n + least((n - 1) // 4, bs) ELSE n + least(n * 4, ins) END AS BIGINT) AS seq FROM n""")
 def owner_turns(spark, sf_dir):
-    p = parses(spark, sf_dir).where("state = 'queued' and owner % 4 = 0").select("class", "owner", "priority", "parse_id", F.col("parse_id").alias("arrival"))
+    p = parses(spark, sf_dir).where("state = 'queued'").select("class", "owner", "priority", "parse_id", F.col("parse_id").alias("arrival"))
     return I.turn_order(p, ["priority", "parse_id"]).select("class", "owner", "parse_id", "seq")
 
 
@@ -138,8 +138,8 @@ def admit_ramp(spark, sf_dir):
     return scoped(spark, sf_dir).select("event_id", J.admits(F.col("held"), F.col("paused"), F.col("now")).alias("admits"))
 
 
-@ENTRIES.add(f"""WITH {SQL_TASKS}, p AS (SELECT s_suppkey AS reader_id, s_suppkey % 16 + 1 AS most, CASE WHEN s_suppkey % 3 > 0 THEN 1 + s_suppkey % 9 END AS ceiling, s_suppkey AS raised, CASE WHEN s_suppkey % 4 = 1 THEN s_suppkey * 2 END AS paused FROM supplier),
-  f AS (SELECT reader_id, count(*) AS n FROM tasks WHERE state = 'leased' AND parse_id % 7 = 2 GROUP BY 1),
+@ENTRIES.add(f"""WITH {SQL_TASKS}, p AS (SELECT s_suppkey AS reader_id, 200 + s_suppkey % 16 AS most, CASE WHEN s_suppkey % 3 > 0 THEN 1 + s_suppkey % 9 * 20 END AS ceiling, s_suppkey AS raised, CASE WHEN s_suppkey % 4 = 1 THEN s_suppkey * 2 END AS paused FROM supplier),
+  f AS (SELECT reader_id, count(*) AS n FROM tasks WHERE state = 'leased' GROUP BY 1),
   c AS (SELECT *, least(most, ceiling + greatest(0, (100 - raised) // 30) * greatest(1, most // 10)) AS now_ceiling FROM p LEFT JOIN f USING (reader_id)),
   a AS (SELECT *, coalesce(paused > 100, false) AS is_paused, CASE WHEN paused IS NOT NULL AND 100 >= paused AND 100 < paused + 10 THEN greatest(1, now_ceiling * (100 - paused) // 10) ELSE now_ceiling END AS admits FROM c)
   SELECT array_to_string(list_sort(list(reader_id) FILTER (ceiling IS NULL OR (NOT is_paused AND coalesce(n, 0) < admits))), ',') AS room, array_to_string(list_sort(list(reader_id) FILTER (is_paused)), ',') AS paused, min(paused) FILTER (is_paused) AS wake FROM a""")
@@ -147,11 +147,11 @@ def reader_room(spark, sf_dir):
     prepare(spark)
     k = F.col("s_suppkey")
     s = table(spark, sf_dir, "supplier")
-    pools = s.select(k.alias("reader_id"), (k % 16 + 1).alias("max_in_flight"))
-    scopes = s.where(k % 3 > 0).select(k.alias("reader_id"), F.lit("x").alias("scope"), (1 + k % 9).alias("ceiling"), k.alias("raised_at"), F.when(k % 4 == 1, k * 2).alias("paused_until"))
+    pools = s.select(k.alias("reader_id"), (200 + k % 16).alias("max_in_flight"))
+    scopes = s.where(k % 3 > 0).select(k.alias("reader_id"), F.lit("x").alias("scope"), (1 + k % 9 * 20).alias("ceiling"), k.alias("raised_at"), F.when(k % 4 == 1, k * 2).alias("paused_until"))
     # A pause of a scope that was never limited doesn't exist; the twin's rows with a pause and no ceiling are given one.
     scopes = scopes.unionByName(s.where((k % 3 == 0) & (k % 4 == 1)).select(k.alias("reader_id"), F.lit("x").alias("scope"), F.lit(None).cast("bigint").alias("ceiling"), k.alias("raised_at"), (k * 2).alias("paused_until")))
-    flying = tasks(spark, sf_dir).where("state = 'leased' and parse_id % 7 = 2").select("reader_id", F.lit("x").alias("scope"))
+    flying = tasks(spark, sf_dir).where("state = 'leased'").select("reader_id", F.lit("x").alias("scope"))
     out = J.room(pools, scopes, flying, "x", 100)
     return out.select(F.array_join("room", ",").alias("room"), F.array_join("paused", ",").alias("paused"), "wake")
 

@@ -1,0 +1 @@
+"""Structured Streaming forms of the meter and of the event feed."""
