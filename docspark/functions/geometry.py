@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The band at a page's edges, and how far two tables' sides may differ.
@@ -75,3 +75,31 @@ def around(a: Column, b: Column) -> Column:
 
 def meets(a: Column, b: Column) -> Column:
     return (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"]) & (a["y0"] <= b["y1"]) & (b["y0"] <= a["y1"])
+
+
+def pixels(points: Column, dpi: int = 160) -> Column:
+    """A page's side in pixels from points of a 72nd of an inch."""
+    return F.ceil(points * dpi / 72).cast("int")
+
+
+# --- intervals -----------------------------------------------------------------------------------------------------
+
+
+def joined_intervals(rows: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi", gap: float = 0) -> DataFrame:
+    """Intervals of each group that overlap, or lie within a gap, as one: a running maximum finds where islands begin."""
+    before = F.max(hi).over(Window.partitionBy(*by).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("__new", F.coalesce(F.col(lo) > before + gap, F.lit(True)).cast("int"))
+    island = F.sum("__new").over(Window.partitionBy(*by).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("__island", island).groupBy(*by, "__island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("__island")
+
+
+def gaps(rows: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """The open stretches between the joined intervals of each group."""
+    after = F.lead(lo).over(Window.partitionBy(*by).orderBy(lo))
+    out = joined_intervals(rows, by, lo, hi).withColumn("__next", after).where("__next is not null")
+    return out.select(*by, F.col(hi).alias(lo), F.col("__next").alias(hi))
+
+
+def covered(rows: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """How much of the line each group's intervals cover."""
+    return joined_intervals(rows, by, lo, hi).groupBy(*by).agg(F.sum(F.col(hi) - F.col(lo)).alias("covered"))

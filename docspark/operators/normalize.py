@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +79,41 @@ def page_faults(blocks: DataFrame) -> DataFrame:
 def latex_repaired(reply: Column) -> Column:
     """JSON whose strings hold LaTeX: backslashes that escape nothing are doubled."""
     return F.regexp_replace(reply, r'(?<!\\)((?:\\\\)*)\\(?![\\"/bfnrtu])', r"$1\\\\")
+
+
+def completed_reply(reply: str) -> str | None:
+    """A truncated JSON list of blocks, cut behind its last whole element and closed; None if it holds none.
+
+    A scan keeps the nesting and the strings; brackets inside strings count for nothing.
+    """
+    start = reply.find("[")
+    if start < 0:
+        return None
+    opened: list[str] = []
+    inside = escaped = False
+    last = -1
+    for i in range(start, len(reply)):
+        c = reply[i]
+        if inside:
+            inside = escaped or c != '"'
+            escaped = c == "\\" and not escaped
+        elif c == '"':
+            inside = True
+        elif c in "[{":
+            opened.append("]" if c == "[" else "}")
+        elif c in "]}":
+            if not opened or opened.pop() != c:
+                return None
+            if not opened:
+                return reply[: i + 1] + "}" * reply[:start].count("{")
+            if len(opened) == 1:
+                last = i
+    return None if last < 0 else reply[: last + 1] + "]" + "}" * reply[:start].count("{")
+
+
+def completed(reply: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(completed_reply)
+
+    return run(reply)

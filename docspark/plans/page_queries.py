@@ -170,3 +170,49 @@ def error_classes(spark, sf_dir):
     status = F.element_at(F.array(*[F.lit(x) for x in (402, 429, 503, 413, 400, 408, 429, 404)]), (F.col("event_id") % 8).cast("int") + 1)
     body = F.when(F.col("event_id") % 8 == 6, "Insufficient_Quota").otherwise("error")
     return table(spark, sf_dir, "events").select("event_id", error_class(status, body).alias("class"))
+
+
+_STRETCHES = "s AS (SELECT user_id, event_id AS lo, event_id + 20 + user_id % 60 AS hi FROM events), b AS (SELECT *, max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s), i AS (SELECT *, sum((m IS NULL OR lo > m)::INT) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS k FROM b), j AS (SELECT user_id, k, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY 1, 2)"
+
+
+def _stretches(spark, sf_dir):
+    e = table(prepare(spark), sf_dir, "events")
+    return e.select("user_id", F.col("event_id").alias("lo"), (F.col("event_id") + 20 + F.col("user_id") % 60).alias("hi"))
+
+
+@ENTRIES.add(f"WITH {_STRETCHES} SELECT user_id, lo, hi FROM j")
+def interval_join(spark, sf_dir):
+    return G.joined_intervals(_stretches(spark, sf_dir), ["user_id"])
+
+
+@ENTRIES.add(f"WITH {_STRETCHES}, g AS (SELECT user_id, hi AS lo, lead(lo) OVER (PARTITION BY user_id ORDER BY lo) AS hi FROM j) SELECT * FROM g WHERE hi IS NOT NULL")
+def interval_gaps(spark, sf_dir):
+    return G.gaps(_stretches(spark, sf_dir), ["user_id"])
+
+
+@ENTRIES.add(f"WITH {_STRETCHES} SELECT user_id, CAST(sum(hi - lo) AS BIGINT) AS covered FROM j GROUP BY 1")
+def interval_cover(spark, sf_dir):
+    return G.covered(_stretches(spark, sf_dir), ["user_id"])
+
+
+@ENTRIES.add("SELECT l.event_id, l.user_id, CAST(p.p_partkey AS BIGINT) AS cell FROM events l JOIN part p ON l.user_id % 25 = p.p_size AND floor(l.value) >= p.p_retailprice - 900 AND floor(l.value) < p.p_retailprice - 880")
+def words_in_cells(spark, sf_dir):
+    prepare(spark)
+    e, p = table(spark, sf_dir, "events"), table(spark, sf_dir, "part")
+    v = F.floor("value").cast("double")
+    words = e.select("event_id", "user_id", (F.col("user_id") % 25).alias("page"), v.alias("x0"), v.alias("x1"), F.lit(0.0).alias("y0"), F.lit(0.0).alias("y1"))
+    cells = p.select(F.col("p_size").cast("long").alias("page"), F.col("p_partkey").alias("cell"), (F.col("p_retailprice") - 900).alias("cx0"), (F.col("p_retailprice") - 880).alias("cx1"), F.lit(-1.0).alias("cy0"), F.lit(1.0).alias("cy1"))
+    return E.words_in_cells(words, cells).where("cell is not null").select("event_id", "user_id", "cell")
+
+
+@ENTRIES.add("""SELECT doc_id, '[{"t":"' || doc_id || '"},{"t":"]"}]' AS whole FROM documents""")
+def truncated_replies(spark, sf_dir):
+    d = table(prepare(spark), sf_dir, "documents")
+    reply = F.concat(F.lit('[{"t":"'), F.col("doc_id").cast("string"), F.lit('"},{"t":"]"},{"t":"cut of'))
+    return d.select("doc_id", N.completed(reply).alias("whole"))
+
+
+@ENTRIES.add(r"""SELECT event_id, '{"t":"' || chr(92) || chr(92) || 'alpha ' || chr(92) || 'n ' || chr(92) || chr(92) || 'cdot ' || event_id || '"}' AS repaired FROM events""")
+def latex_escapes(spark, sf_dir):
+    reply = F.concat(F.lit('{"t":"\\\\alpha \\n \\cdot '), F.col("event_id").cast("string"), F.lit('"}'))
+    return table(prepare(spark), sf_dir, "events").select("event_id", N.latex_repaired(reply).alias("repaired"))
