@@ -84,6 +84,12 @@ def child(e: ET.Element | None, *path: str) -> ET.Element | None:
     return e
 
 
+def children(e: ET.Element, name: str) -> list[ET.Element]:
+    """What stands below a child of that name."""
+    found = child(e, name)
+    return list(found) if found is not None else []
+
+
 # --- Word ----------------------------------------------------------------------------------------------------------
 
 #: Deleted and moved-away runs, and the fallback of alternate content, aren't part of the text.
@@ -234,8 +240,8 @@ class Workbook:
         self.formats: list[frozenset[str]] = []
         if package.has(targets.get("styles", "")):
             styles = package.xml(targets["styles"])
-            codes = {attribute(e, "numFmtId"): attribute(e, "formatCode") or "" for e in child(styles, "numFmts") or ()}
-            for xf in child(styles, "cellXfs") or ():
+            codes = {attribute(e, "numFmtId"): attribute(e, "formatCode") or "" for e in children(styles, "numFmts")}
+            for xf in children(styles, "cellXfs"):
                 number = attribute(xf, "numFmtId") or "0"
                 self.formats.append(number_format(codes[number]) if number in codes else frozenset(filter(None, BUILTIN.get(int(number), "").split(","))))
 
@@ -264,7 +270,7 @@ class Workbook:
         root = self.package.xml(name)
         values: dict[tuple[int, int], str] = {}
         row = -1
-        for r in child(root, "sheetData") or ():
+        for r in children(root, "sheetData"):
             row = int(r.get("r", row + 2)) - 1
             col = -1
             for c in r:
@@ -282,7 +288,7 @@ class Workbook:
         if (r1 - r0 + 1) * (c1 - c0 + 1) > MAX_CELLS:
             raise Corrupt("too many cells")
         covered: dict[tuple[int, int], tuple[int, int]] = {}
-        for m in child(root, "mergeCells") or ():
+        for m in children(root, "mergeCells"):
             a = area(m.get("ref", ""))
             if a is None:
                 raise Corrupt("a merged range can't be read")
@@ -308,7 +314,7 @@ class Workbook:
         setting = child(book, "workbookPr")
         date1904 = setting is not None and setting.get("date1904") in ("1", "true")
         out = []
-        for page, s in enumerate(child(book, "sheets") or (), 1):
+        for page, s in enumerate(children(book, "sheets"), 1):
             kind, target = self.parts.get(attribute(s, "id") or "", ("", ""))
             if not target:
                 raise Corrupt("a sheet names no part")
