@@ -63,3 +63,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Scratch:
+    """Tables written on the way to a result, removed once it no longer needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *paths: str) -> None:
+        """Remove the named tables' files, all by default."""
+        jvm = self.spark.sparkContext._jvm
+        for path in paths or tuple(self.paths):
+            hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+            if path in self.paths:
+                self.paths.remove(path)
