@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.words import SPACED_LOWER, mix, not_null, steps, windows, words_of
-from docspark.session import prepare, written
+from docspark.session import Scratch, prepare, written
 
 SHINGLE = 5
 #: Linked from 100 * intersection >= PERCENT * union.
@@ -127,15 +127,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return joined.where(100 * both >= percent * (n + m - both)).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """id and component (the least id reachable) of every id in links (a, b): least neighbours, then labels of labels."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
+    both = scratch.written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    labels = scratch.written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("next"))
         of = labels.select(F.col("id").alias("next"), F.col("component").alias("beyond"))
-        new = written(step.join(of, "next").select("id", "old", F.least("next", "beyond").alias("component")), "labels")
+        new = scratch.written(step.join(of, "next").select("id", "old", F.least("next", "beyond").alias("component")), "labels")
         moved = new.where("component <> old").limit(1).count()
         labels = new.select("id", "component")
         if not moved:
@@ -151,7 +151,7 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(cell, minlength=SKETCH).astype(np.uint8) & 1).view(np.int64)
 
 
-def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs of sets in different components that could be similar enough by the first shingle they share.
 
     Two similar sets share one of the rarest n - ceil(percent * n / 100) + 1 shingles of each. What they share is at most
@@ -181,7 +181,7 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(parts, 1)], names)
 
     rows = sets.mapInArrow(run, ", ".join(f"{x} long" for x in names)).join(labels, "id", "left").select(*names, F.coalesce("component", "id").alias("c"))
-    rows = written(rows, "prefixes")
+    rows = scratch.written(rows, "prefixes")
     several = rows.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
     rows = rows.join(several, "s", "left_semi")
     x, y = rows.alias("x"), rows.alias("y")
@@ -194,14 +194,14 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def _central_pairs(banded: DataFrame) -> DataFrame:
+def _central_pairs(banded: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): every set with the most central set of each bucket that it shares with others."""
     crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(banded.join(crowded, "band"), "shared")
+    shared = scratch.written(banded.join(crowded, "band"), "shared")
     central = shared.groupBy("id").agg(F.sum("n").alias("score"))
     heads = shared.join(central, "id").groupBy("band").agg(F.max(F.struct("score", -F.col("id"))).alias("head")).select("band", (-F.col("head.col2")).alias("a"))
-    pairs = shared.join(written(heads, "heads"), "band").where("a <> id")
-    return written(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
+    pairs = shared.join(scratch.written(heads, "heads"), "band").where("a <> id")
+    return scratch.written(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -216,26 +216,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = prepare(df.sparkSession)
     own = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("binary").alias("text"))
     signed = written(signatures(own), "signatures")
-    classes = written(signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
+    scratch = Scratch(spark)
+    classes = scratch.written(signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
     members = signed.join(classes, (signed["k1"] == classes["k1"]) & (signed["k2"] == classes["k2"]) & (signed["doc_id"] == classes["id"]))
-    banded = written(members.select("id", F.explode("bands").alias("band")).distinct(), "bands")
-    pairs = _central_pairs(banded)
+    banded = scratch.written(members.select("id", F.explode("bands").alias("band")).distinct(), "bands")
+    pairs = _central_pairs(banded, scratch)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(sets_of(own, ids).dropDuplicates(["id"]), "sets")
-    links = written(confirmed(pairs, sets, percent), "confirmed")
-    labels = components(links)
+    sets = scratch.written(sets_of(own, ids).dropDuplicates(["id"]), "sets")
+    links = scratch.written(confirmed(pairs, sets, percent), "confirmed")
+    labels = components(links, scratch)
 
     named = banded.join(sets.select("id"), "id", "left_semi").join(labels, "id", "left").select("id", "band", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("band")
-    open_ids = written(named.join(mixed, "band", "left_semi").select("id").distinct(), "open")
+    open_ids = scratch.written(named.join(mixed, "band", "left_semi").select("id").distinct(), "open")
     rest = sets.join(open_ids, "id", "left_semi")
-    more = confirmed(written(_prefix_pairs(rest, labels, percent), "pairs"), rest, percent)
-    more = written(more, "confirmed")
+    more = confirmed(scratch.written(_prefix_pairs(rest, labels, percent, scratch), "pairs"), rest, percent)
+    more = scratch.written(more, "confirmed")
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = components(links.union(more), scratch)
 
     found = classes.join(labels, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(written(found, "found"), ["k1", "k2"], "left")
+    found = written(found, "found")
+    scratch.drop()
+    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(found, ["k1", "k2"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
