@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docspark.llm import bfd_packing, chat_template, decontaminate, language_id, near_dedup, packing, quality_rules, token_counts, toxicity, url_filter
+from docspark.llm.oracles import ORACLES  # noqa: F401
 from docspark.session import table, written
 
 #: Where the public tokenizers' files lie; a parameter of every operator that needs one.
@@ -80,4 +81,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_packing, op2_minhash_near_dedup, op3_quality_rules, op4_chat_formatting, op5_language_id, op6_token_counts, op7_url_filter, op8_toxicity, op9_decontamination, op10_bfd_packing)
 }
-ORACLES: dict[str, str] = {"op7_url_filter": url_filter.SQL}

@@ -52,8 +52,9 @@ def test_scan_of_flat_files(spark, tmp_path):
     assert T.count_tokens(blocks.where("false")).count() == 0
 
 
-def test_urls(spark, sf_dir):
-    assert difference(queries.op7_url_filter(spark, sf_dir), connect(sf_dir), U.SQL) == ""
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_rows_as_sql(spark, sf_dir, name):
+    assert difference(queries.QUERIES[name](spark, sf_dir), connect(sf_dir), queries.ORACLES[name]) == ""
 
 
 @pytest.mark.parametrize(
