@@ -31,7 +31,7 @@ def merged(rows: DataFrame, entity: list[str], order: list[str], weight: str, na
     """rows with name: the place of each in the order that serves the entities of a scope by their virtual times."""
     tagged = rows.withColumn("__tag", _tag(scope + entity, order, weight))
     place = F.row_number().over(Window.partitionBy(*scope).orderBy("__tag", *entity, *order) if scope else Window.orderBy("__tag", *entity, *order))
-    return tagged.withColumn(name, place).drop("__tag")
+    return tagged.withColumn(name, place.cast("long")).drop("__tag")
 
 
 def dispatch_order(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -158,7 +158,8 @@ def figures(blocks: DataFrame, limit: int = MAX_FIGURES) -> DataFrame:
 
 def figure_key(content: Column, page: Column, box: Column, caption: Column, languages: Column, versions: Column) -> Column:
     """What makes two figures' descriptions the same; empty if a reader's version is unknown. versions: reader=version texts."""
-    place = F.format_string("%.5f,%.5f,%.5f,%.5f", box["x0"], box["y0"], box["x1"], box["y1"])
+    # Halves go to the even digit, as they do in C's and Go's printf; Java's would go up.
+    place = F.format_string("%.5f,%.5f,%.5f,%.5f", *(F.bround(box[x], 5) for x in ("x0", "y0", "x1", "y1")))
     known = (F.size(versions) > 0) & F.forall(versions, lambda v: ~v.endswith("=")) & content.isNotNull()
     return F.when(known, X.sha256_of(content, page.cast("string"), place, caption, languages, F.array_join(versions, "\0"))).otherwise("")
 

@@ -32,7 +32,7 @@ def backlog(spark, sf_dir):
     p = parses(spark, sf_dir).select("parse_id", "class", "group_id", "project_id", "priority")
     n = F.row_number().over(Window.partitionBy("parse_id").orderBy("page", "task_key", "day", "input_tokens", "cost"))
     return t.join(p, "parse_id").select(
-        "class", "group_id", "project_id", "priority", "parse_id", n.alias("n"), "cost", F.when(F.col("class") == 0, 4).otherwise(1).alias("class_weight"),
+        "class", "group_id", "project_id", "priority", "parse_id", n.cast("long").alias("n"), "cost", F.when(F.col("class") == 0, 4).otherwise(1).alias("class_weight"),
         I.clamped_weight(1 + F.col("group_id") % 7).alias("group_weight"), I.clamped_weight(1 + F.col("project_id") % 3).alias("project_weight"), (-F.col("priority")).alias("urgency"),
     )
 
@@ -142,7 +142,7 @@ def admit_ramp(spark, sf_dir):
   f AS (SELECT reader_id, count(*) AS n FROM tasks WHERE state = 'leased' GROUP BY 1),
   c AS (SELECT *, least(most, ceiling + greatest(0, (100 - raised) // 30) * greatest(1, most // 10)) AS now_ceiling FROM p LEFT JOIN f USING (reader_id)),
   a AS (SELECT *, coalesce(paused > 100, false) AS is_paused, CASE WHEN paused IS NOT NULL AND 100 >= paused AND 100 < paused + 10 THEN greatest(1, now_ceiling * (100 - paused) // 10) ELSE now_ceiling END AS admits FROM c)
-  SELECT array_to_string(list_sort(list(reader_id) FILTER (ceiling IS NULL OR (NOT is_paused AND coalesce(n, 0) < admits))), ',') AS room, array_to_string(list_sort(list(reader_id) FILTER (is_paused)), ',') AS paused, min(paused) FILTER (is_paused) AS wake FROM a""")
+  SELECT coalesce(array_to_string(list_sort(list(reader_id) FILTER (ceiling IS NULL OR (NOT is_paused AND coalesce(n, 0) < admits))), ','), '') AS room, coalesce(array_to_string(list_sort(list(reader_id) FILTER (is_paused)), ','), '') AS paused, min(paused) FILTER (is_paused) AS wake FROM a""")
 def reader_room(spark, sf_dir):
     prepare(spark)
     k = F.col("s_suppkey")
