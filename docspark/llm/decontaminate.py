@@ -183,14 +183,18 @@ def _pass(df: DataFrame, items: list[tuple[str, bytes]], window: int, text: str
     return df.mapInArrow(run, SCHEMA + (", text binary" if text else ""))
 
 
-def _passes(benchmark: DataFrame, item_col: str, text_col: str, bound: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items, at most about bound bytes of text at a time."""
+def _passes(benchmark: DataFrame, item_col: str, text_col: str, bound: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """How many searches the items need, and the items of each, about bound bytes of text at a time."""
     wanted = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("binary").alias("text")).where("text is not null and item is not null")
     total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // bound))
-    for k in range(passes):
-        part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
-        yield [(r.item, bytes(r.text)) for r in part.collect()]
+
+    def parts() -> Iterator[list[tuple[str, bytes]]]:
+        for k in range(passes):
+            part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
+            yield [(r.item, bytes(r.text)) for r in part.collect()]
+
+    return passes, parts()
 
 
 def contamination(
@@ -204,10 +208,10 @@ def contamination(
     texts each count; repeated rows each give a row; an empty benchmark hits nothing; other columns are ignored.
     """
     prepare(df.sparkSession)
-    parts = list(_passes(benchmark, item_col, item_text_col, bound))
+    passes, parts = _passes(benchmark, item_col, item_text_col, bound)
     own = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("binary").alias("text"))
-    if len(parts) == 1:
-        return _pass(own, parts[0], window, None)
+    if passes == 1:
+        return _pass(own, next(parts), window, None)
     own = own.selectExpr("doc_id", "0L as n_words", "0L as n_hit", "cast(array() as array<string>) as items", "cast(array() as array<struct<start:long,end:long>>) as spans", "text")
     for items in parts:
         own = written(_pass(own, items, window, "text"), "decontaminate")
@@ -218,7 +222,8 @@ def uncontaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """The rows of df, all columns, in whose text no test string occurs; a null text stays. Nothing is shuffled."""
     prepare(df.sparkSession)
     schema = df.schema
-    for items in _passes(benchmark, item_col, item_text_col, bound):
+    passes, parts = _passes(benchmark, item_col, item_text_col, bound)
+    for items in parts:
 
         def run(batches, items=items):
             strings = test_strings(items, window)
@@ -229,6 +234,7 @@ def uncontaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     yield pa.RecordBatch.from_arrays(part.columns[:-1], names=schema.names)
 
         df = df.select("*", df[text_col].cast("binary").alias("__bytes")).mapInArrow(run, schema)
+        df = written(df, "decontaminate") if passes > 1 else df
     return df
 
 
