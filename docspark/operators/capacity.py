@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.operators.folds import fold
+
 #: Fixed values, seconds: recovery, resume, pause, breaker's hold, and backoff's base and cap; failures that open a breaker; attempts and expiries of a task.
 RECOVERY, RESUME, PAUSE, HOLD, BASE, CAP = 30, 10, 5, 30, 1, 60
 FAILURES, ATTEMPTS, EXPIRIES = 3, 3, 3
@@ -105,42 +107,36 @@ def limited(events: DataFrame) -> DataFrame:
     events: scope, at, leased_at, wait, most. Rows: scope, at, ceiling, paused_until behind each reply. A fold, as each
     reply is judged by when the last halving was.
     """
-    one = F.struct(*[F.col(x).cast("long").alias(x) for x in ("at", "leased_at", "wait", "most")])
-    keys = events.groupBy("scope").agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    start = F.expr(
-        "named_struct('ceiling', cast(null as bigint), 'halved', cast(null as bigint), 'raised', cast(null as bigint), 'until', cast(null as bigint), 'done', cast(array() as array<struct<at:bigint,ceiling:bigint,paused_until:bigint>>))"
-    )
 
-    def step(held: Column, r: Column) -> Column:
-        now = ceiling(F.coalesce(held["ceiling"], r["most"]), held["raised"], r["most"], r["at"])
-        halves = held["ceiling"].isNull() | held["halved"].isNull() | (r["leased_at"] > held["halved"])
-        new = F.when(halves, F.greatest(F.floor(now / 2), F.lit(1))).otherwise(now).cast("long")
-        until = F.greatest(held["until"], r["at"] + r["wait"])
-        return F.struct(
-            new.alias("ceiling"), F.when(halves, r["at"]).otherwise(held["halved"]).alias("halved"), r["at"].alias("raised"), until.alias("until"),
-            F.concat(held["done"], F.array(F.struct(r["at"].alias("at"), new.alias("ceiling"), until.alias("paused_until")))).alias("done"),
-        )
+    def reply(state, r):
+        held, halved, raised, until = state
+        back = 0 if raised is None else max(0, (r.at - raised) // RECOVERY) * max(1, r.most // 10)
+        now = min(r.most, (r.most if held is None else held) + back)
+        if halved is None or r.leased_at > halved:
+            now, halved = max(1, now // 2), r.at
+        until = max(until or 0, r.at + r.wait)
+        return (now, halved, r.at, until), (r.at, now, until)
 
-    return keys.select("scope", F.inline(F.aggregate("rows", start, step)["done"]))
+    own = events.select("scope", "at", "leased_at", "wait", "most")
+    return fold(own, ["scope"], ["at", "leased_at"], lambda: (None, None, None, None), reply, "at long, ceiling long, paused_until long")
 
 
 def breaker(events: DataFrame) -> DataFrame:
     """A reader's breaker behind each settle: it opens at FAILURES in a row; a failure of a call leased since it opened opens
     it anew, a success closes it, other outcomes say nothing. events: reader_id, at, leased_at, health."""
-    one = F.struct(F.col("at").cast("long").alias("at"), F.col("leased_at").cast("long").alias("leased_at"), "health")
-    keys = events.groupBy("reader_id").agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    start = F.expr("named_struct('failures', cast(0 as bigint), 'opened', cast(null as bigint), 'done', cast(array() as array<struct<at:bigint,failures:bigint,opened_at:bigint>>))")
-
-    def step(held: Column, r: Column) -> Column:
-        bad, good = F.coalesce(r["health"] == "failure", F.lit(False)), F.coalesce(r["health"] == "success", F.lit(False))
-        failures = F.when(bad, held["failures"] + 1).when(good, 0).otherwise(held["failures"]).cast("long")
-        opens = (held["opened"].isNull() & (failures >= FAILURES)) | (held["opened"].isNotNull() & (r["leased_at"] > held["opened"]))
-        opened = F.when(bad & opens, r["at"]).when(good, F.lit(None)).otherwise(held["opened"])
-        return F.struct(
-            failures.alias("failures"), opened.alias("opened"), F.concat(held["done"], F.array(F.struct(r["at"].alias("at"), failures.alias("failures"), opened.alias("opened_at")))).alias("done")
-        )
-
-    return keys.select("reader_id", F.inline(F.aggregate("rows", start, step)["done"]))
+
+    def settle(state, r):
+        failures, opened = state
+        if r.health == "success":
+            failures, opened = 0, None
+        elif r.health == "failure":
+            failures += 1
+            if (failures >= FAILURES) if opened is None else (r.leased_at > opened):
+                opened = r.at
+        return (failures, opened), (r.at, failures, opened)
+
+    own = events.select("reader_id", "at", "leased_at", "health")
+    return fold(own, ["reader_id"], ["at", "leased_at"], lambda: (0, None), settle, "at long, failures long, opened_at long")
 
 
 def breaker_state(opened_at: Column, now: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.operators.folds import fold
+
 SUMS = ("pages", "calls", "input_tokens", "output_tokens")
 #: Most intervals of one usage read, parses of one sweep, and hours an idempotency key is held.
 MAX_INTERVALS, SWEEP, KEY_HOURS = 1000, 200, 24
@@ -149,28 +151,25 @@ def idempotency(requests: DataFrame, hours: int = KEY_HOURS) -> DataFrame:
 def submitted(requests: DataFrame, max_queued: int, pages_per_day: int) -> DataFrame:
     """The answers to submissions in their order, for each group: exists, file_not_found, queue_full, budget_exhausted or
     created. Rows: group_id, seq, parse_id, file_known, pages, day. A fold: what is refused takes neither a place nor pages."""
-    one = F.struct(F.col("seq").cast("long").alias("seq"), F.col("parse_id").cast("long").alias("parse_id"), "file_known", F.col("pages").cast("long").alias("pages"), F.col("day").cast("long").alias("day"))
-    groups = requests.groupBy("group_id").agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    start = F.expr("named_struct('seen', cast(array() as array<bigint>), 'day', cast(-1 as bigint), 'used', cast(0 as bigint), 'done', cast(array() as array<struct<parse_id:bigint,outcome:string>>))")
-
-    def step(held: Column, r: Column) -> Column:
-        used = F.when(held["day"] == r["day"], held["used"]).otherwise(0)
-        outcome = (
-            F.when(F.array_contains(held["seen"], r["parse_id"]), "exists")
-            .when(~r["file_known"], "file_not_found")
-            .when(F.size(held["seen"]) >= max_queued, "queue_full")
-            .when(used + r["pages"] > pages_per_day, "budget_exhausted")
-            .otherwise("created")
-        )
-        new = outcome == "created"
-        return F.struct(
-            F.when(new, F.array_append(held["seen"], r["parse_id"])).otherwise(held["seen"]).alias("seen"),
-            r["day"].alias("day"),
-            (used + F.when(new, r["pages"]).otherwise(0)).alias("used"),
-            F.concat(held["done"], F.array(F.struct(r["parse_id"].alias("parse_id"), outcome.alias("outcome")))).alias("done"),
-        )
 
-    return groups.select("group_id", F.inline(F.aggregate("rows", start, step)["done"]))
+    def answer(state, r):
+        seen, day, used = state
+        used = used if day == r.day else 0
+        if r.parse_id in seen:
+            outcome = "exists"
+        elif not r.file_known:
+            outcome = "file_not_found"
+        elif len(seen) >= max_queued:
+            outcome = "queue_full"
+        elif used + r.pages > pages_per_day:
+            outcome = "budget_exhausted"
+        else:
+            outcome, used = "created", used + r.pages
+            seen.add(r.parse_id)
+        return (seen, r.day, used), (r.parse_id, outcome)
+
+    own = requests.select("group_id", "seq", "parse_id", "file_known", "pages", "day")
+    return fold(own, ["group_id"], ["seq", "parse_id"], lambda: (set(), None, 0), answer, "parse_id long, outcome string")
 
 
 def reuse(pages: DataFrame, reads: DataFrame) -> DataFrame:
