@@ -19,7 +19,7 @@ from docspark.llm.packing import WIDTH, documents_only, encoded_parts
 from docspark.session import prepare
 
 #: Tokens packed together, unless a single batch has more.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 PAD = 0
 
 SCHEMA = "sequence_id long, n_tokens long, doc_ids array<long>, starts array<long>, cu_seqlens array<long>, ids binary, position_ids binary"

@@ -30,9 +30,9 @@ AT_DOCUMENT, AT_SENTENCE, INSIDE, SHORT = 0, 1, 6, 4
 #: Tokens between candidate cuts where no sentence ends.
 FILL = 32
 #: Tokens of a stream that are held at once, unless a single batch has more.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Bytes of text encoded in one step.
-STEP = 1 << 21
+STEP = 1 << 20
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
