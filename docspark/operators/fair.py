@@ -107,41 +107,47 @@ class Level:
         self.at[entity] = self.clock + cost * UNIT // weight
 
 
-def simulate(jobs: list[dict], slots: int = 1, hold: int = 1) -> Iterator[dict]:
-    """Dispatches of jobs (arrival, class, group_id, project_id, cost, weights, priority) in time; each holds a slot so long."""
+def simulate(jobs: list[dict], slots: int = 1, hold: int = 1, max_running: int | None = None) -> Iterator[dict]:
+    """Dispatches of jobs (arrival, class, group_id, project_id, cost, weights, priority) in time; each holds a slot so long.
+
+    A group with max_running jobs in slots isn't considered.
+    """
     waiting: dict[int, dict] = {}
     classes, groups, projects = Level(), {}, {}
     coming = sorted(range(len(jobs)), key=lambda i: (jobs[i]["arrival"], i))
-    now, busy = 0, []
+    now, busy = 0, []  # busy: (when it ends, group)
     while coming or waiting:
-        busy = [t for t in busy if t > now]
+        busy = [x for x in busy if x[0] > now]
         while coming and jobs[coming[0]]["arrival"] <= now:
             i = coming.pop(0)
             waiting[i] = jobs[i]
         while waiting and len(busy) < slots:
-            held = waiting.values()
+            full = {g for _, g in busy if max_running is not None and sum(x[1] == g for x in busy) >= max_running}
+            held = [j for j in waiting.values() if j["group_id"] not in full]
+            if not held:
+                break
             c = min({j["class"] for j in held}, key=lambda x: (classes.start(x), x))
             by_group = groups.setdefault(c, Level())
             g = min({j["group_id"] for j in held if j["class"] == c}, key=lambda x: (by_group.start(x), x))
             by_project = projects.setdefault((c, g), Level())
             p = min({j["project_id"] for j in held if (j["class"], j["group_id"]) == (c, g)}, key=lambda x: (by_project.start(x), x))
-            best = min((i for i, j in waiting.items() if (j["class"], j["group_id"], j["project_id"]) == (c, g, p)), key=lambda i: (-waiting[i]["priority"], waiting[i]["arrival"], i))
+            best = min((i for i, j in waiting.items() if j["group_id"] not in full and (j["class"], j["group_id"], j["project_id"]) == (c, g, p)), key=lambda i: (-waiting[i]["priority"], waiting[i]["arrival"], i))
             job = waiting.pop(best)
             by_project.charge(p, job["cost"], job["project_weight"])
             by_group.charge(g, job["cost"], job["group_weight"])
             classes.charge(c, job["cost"], job["class_weight"])
-            busy.append(now + hold)
+            busy.append((now + hold, g))
             yield {"job": best, "at": now}
         now += 1
 
 
-def dispatch_arrivals(rows: DataFrame, by: list[str], slots: int = 1, hold: int = 1) -> DataFrame:
+def dispatch_arrivals(rows: DataFrame, by: list[str], slots: int = 1, hold: int = 1, max_running: int | None = None) -> DataFrame:
     """The order of dispatch with arrivals over time, one fold for each independent queue (the columns by). The rows of one
     queue are one task's work: a queue's next decision needs all its earlier ones."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["arrival", "task_key"], kind="stable").reset_index(drop=True)
-        done = list(simulate(pdf.to_dict("records"), slots, hold))
+        done = list(simulate(pdf.to_dict("records"), slots, hold, max_running))
         out = pdf.loc[[d["job"] for d in done], [*by, "task_key"]].reset_index(drop=True)
         out["seq"] = range(1, len(out) + 1)
         out["at"] = [d["at"] for d in done]

@@ -364,6 +364,12 @@ def test_backlogged_groups_share_by_weight():
     assert all(abs(first.count(g) - n) <= 1 for g, n in ((0, 100), (1, 200), (2, 400)))
 
 
+def test_a_full_group_is_passed_over():
+    jobs = [{"arrival": 0, "class": 0, "group_id": g, "project_id": 0, "cost": 1, "priority": 0, "class_weight": 4, "group_weight": 1, "project_weight": 1} for g in (0, 0, 0, 1)]
+    got = [(jobs[d["job"]]["group_id"], d["at"]) for d in I.simulate(jobs, slots=3, hold=2, max_running=1)]
+    assert got == [(0, 0), (1, 0), (0, 2), (0, 4)]
+
+
 def test_capacity(spark):
     events = spark.createDataFrame([("a", 10, 5, 3, 16), ("a", 11, 6, 9, 16), ("a", 30, 25, 1, 16)], "scope string, at long, leased_at long, wait long, most long")
     assert sorted(tuple(r) for r in J.limited(events).collect()) == [("a", 10, 8, 13), ("a", 11, 8, 20), ("a", 30, 4, 31)]
