@@ -183,6 +183,7 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int, scratch: Scr
     rows = sets.mapInArrow(run, ", ".join(f"{x} long" for x in names)).join(labels, "id", "left").select(*names, F.coalesce("component", "id").alias("c"))
     rows = scratch.written(rows, "prefixes")
     several = rows.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
+    several = scratch.written(several, "several")
     rows = rows.join(several, "s", "left_semi")
     x, y = rows.alias("x"), rows.alias("y")
     sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
@@ -196,7 +197,8 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int, scratch: Scr
 
 def _central_pairs(banded: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): every set with the most central set of each bucket that it shares with others."""
-    crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written first, as the tables below are: then a crowded bucket's rows meet it in a join that can split them.
+    crowded = scratch.written(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
     shared = scratch.written(banded.join(crowded, "band"), "shared")
     central = shared.groupBy("id").agg(F.sum("n").alias("score"))
     heads = shared.join(central, "id").groupBy("band").agg(F.max(F.struct("score", -F.col("id"))).alias("head")).select("band", (-F.col("head.col2")).alias("a"))
@@ -228,6 +230,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     named = banded.join(sets.select("id"), "id", "left_semi").join(labels, "id", "left").select("id", "band", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("band")
+    mixed = scratch.written(mixed, "mixed")
     open_ids = scratch.written(named.join(mixed, "band", "left_semi").select("id").distinct(), "open")
     rest = sets.join(open_ids, "id", "left_semi")
     more = confirmed(scratch.written(_prefix_pairs(rest, labels, percent, scratch), "pairs"), rest, percent)
