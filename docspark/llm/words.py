@@ -6,7 +6,7 @@ object is made per word. Texts come as binary columns, so nothing is decoded.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,8 +84,11 @@ class Words:
     bounds: np.ndarray
 
 
-def words_of(data: np.ndarray, bounds: np.ndarray, alphabet: Alphabet) -> Words:
-    """data: the texts' bytes, end to end. bounds: n + 1 offsets into it."""
+def words_of(data: np.ndarray, bounds: np.ndarray, alphabet: Alphabet, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> Words:
+    """data: the texts' bytes, end to end. bounds: n + 1 offsets into it.
+
+    part(data, starts, ends) may name places inside words where they are cut in two.
+    """
     n = len(data)
     inside = ~alphabet.separator[data]
     edge = np.zeros(n + 1, bool)
@@ -98,6 +101,9 @@ def words_of(data: np.ndarray, bounds: np.ndarray, alphabet: Alphabet) -> Words:
     after[-1:] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    if part is not None:
+        cuts = part(data, starts, ends)
+        starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
     _Powers.need(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(alphabet.values[data] * _Powers.up[:n], out=total[1:])
