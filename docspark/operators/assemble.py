@@ -79,8 +79,19 @@ def outline(blocks: DataFrame) -> DataFrame:
 
 
 def assembled(blocks: DataFrame) -> DataFrame:
-    """All passes that re-label, in their order."""
-    return one_title(repeated(running_lines(page_numbers(blocks))))
+    """All passes that re-label, in their order.
+
+    Dealt by parse at once: the first pass's windows, by parse and page, would else be dealt by both and the rest anew.
+    """
+    return one_title(repeated(running_lines(page_numbers(blocks.repartition("parse_id")))))
+
+
+def with_outline(blocks: DataFrame) -> DataFrame:
+    """outline_level: the level that outline gives a title or heading, null for other blocks; no join, as it is a window."""
+    head = F.col("kind").isin("title", "heading")
+    rows = blocks.withColumn("__level", F.when(head, X.heading_level(F.col("kind"), F.col("text"), F.col("level"))))
+    dense = F.dense_rank().over(Window.partitionBy("parse_id", F.col("__level").isNull()).orderBy("__level"))
+    return rows.withColumn("outline_level", F.when(F.col("__level").isNotNull(), dense)).drop("__level")
 
 
 def usage_sum(pages: DataFrame) -> DataFrame:

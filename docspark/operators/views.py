@@ -123,10 +123,13 @@ def rendered(rows: DataFrame, out: Column, page_breaks: bool = False) -> DataFra
     return docs.select("parse_id", F.array_join(F.transform(pages, page), "\n").alias("body"))
 
 
-def markdown(blocks: DataFrame, outline: DataFrame, repeated: str = "once", pages: list[int] | None = None, page_breaks: bool = False) -> DataFrame:
-    levels = outline.select("parse_id", "ref", F.col("level").alias("__level"))
-    rows = viewed(blocks, repeated, pages).join(levels, ["parse_id", "ref"], "left")
-    return rendered(rows, block_markdown(F.col("__level")), page_breaks)
+def markdown(blocks: DataFrame, outline: DataFrame | None = None, repeated: str = "once", pages: list[int] | None = None, page_breaks: bool = False) -> DataFrame:
+    """Each parse as Markdown; heading levels are the outline's, or without one the column outline_level of the blocks."""
+    rows = viewed(blocks, repeated, pages)
+    if outline is not None:
+        levels = outline.select("parse_id", "ref", F.col("level").alias("outline_level"))
+        rows = rows.drop("outline_level").join(levels, ["parse_id", "ref"], "left")
+    return rendered(rows, block_markdown(F.col("outline_level")), page_breaks)
 
 
 def plain_text(blocks: DataFrame, repeated: str = "once", pages: list[int] | None = None) -> DataFrame:

@@ -111,8 +111,7 @@ _MD = f"CASE WHEN t.kind IN ('title', 'heading') THEN repeat('#', o.level) || '
 
 @ENTRIES.add(_ALL + f", {_OUTLINE}, md AS (SELECT t.parse_id, t.page, t.ord, {_MD} AS s FROM titled t LEFT JOIN (SELECT parse_id, ref, least(greatest(level, 1), 6) AS level FROM outline) o USING (parse_id, ref) WHERE state = 'succeeded' AND NOT repeated AND kind <> 'page_number') SELECT parse_id, string_agg(s, chr(10) || chr(10) ORDER BY page, ord) || chr(10) AS body FROM md WHERE s <> '' GROUP BY 1")
 def markdown_render(spark, sf_dir):
-    doc = A.assembled(blocks(spark, sf_dir))
-    return V.markdown(doc, A.outline(doc))
+    return V.markdown(A.with_outline(A.assembled(blocks(spark, sf_dir))))
 
 
 @ENTRIES.add()
