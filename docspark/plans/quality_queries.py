@@ -14,10 +14,15 @@ from docspark.session import prepare, table
 ENTRIES = Entries()
 
 
-def truth_and_found(spark, sf_dir):
-    """Benchmark passages as the truth, and a reading of each: words dropped, doubled or changed; ten items a document."""
+def truth_and_found(spark, sf_dir, ascii_only=False):
+    """Benchmark passages as the truth, and a reading of each: words dropped, doubled or changed; ten items a document.
+
+    ascii_only leaves out all other characters, as the SQL of the queries without _whole does.
+    """
     prepare(spark)
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    if ascii_only:
+        b = b.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", ""))
     by, page = F.floor(F.col("item_id") / 10).alias("doc"), (F.col("item_id") % 10 + 1).cast("int").alias("page")
     lines = b.select(by, page, "item_id", F.posexplode(F.split("text", r"\.")).alias("pos", "text")).where("text <> ''")
     truth = lines.select("doc", "page", (F.col("pos") + 1).alias("ord"), F.when(F.length("text") % 4 == 0, "heading").otherwise("text").alias("kind"), "text")
@@ -33,7 +38,7 @@ _TRUTH = r"""lines AS (SELECT item_id // 10 AS doc, CAST(item_id % 10 + 1 AS INT
 
 @ENTRIES.add(f"WITH {_TRUTH}, t AS (SELECT doc, page, string_agg({sql_squeeze('text')}, ' ' ORDER BY ord) FILTER ({sql_squeeze('text')} <> '') AS words FROM truth GROUP BY 1, 2) SELECT doc, page, coalesce(words, '') AS words FROM t")
 def transcriptions(spark, sf_dir):
-    truth, _ = truth_and_found(spark, sf_dir)
+    truth, _ = truth_and_found(spark, sf_dir, ascii_only=True)
     return Q.transcription(truth, ["doc", "page"])
 
 
@@ -43,13 +48,13 @@ _EDITS = f"""{_TRUTH}, t AS (SELECT doc, page, string_agg({sql_squeeze('text')},
 
 @ENTRIES.add(f"WITH {_EDITS} SELECT doc, page, CAST(characters AS BIGINT) AS characters, CAST(edits AS BIGINT) AS edits FROM e")
 def cer_by_page(spark, sf_dir):
-    truth, found = truth_and_found(spark, sf_dir)
+    truth, found = truth_and_found(spark, sf_dir, ascii_only=True)
     return Q.edits(truth, found, ["doc", "page"])
 
 
 @ENTRIES.add(f"WITH {_EDITS} SELECT doc, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(characters) AS BIGINT) AS characters, sum(edits) / CAST(greatest(sum(characters), 1) AS DOUBLE) AS cer FROM e GROUP BY 1")
 def cer_by_document(spark, sf_dir):
-    truth, found = truth_and_found(spark, sf_dir)
+    truth, found = truth_and_found(spark, sf_dir, ascii_only=True)
     return Q.cer(Q.edits(truth, found, ["doc", "page"]), ["doc"])
 
 
@@ -59,8 +64,8 @@ def greedy_match(spark, sf_dir):
     return Q.matches(truth, found, ["doc", "page"])
 
 
-def _pairs(spark, sf_dir):
-    truth, found = truth_and_found(spark, sf_dir)
+def _pairs(spark, sf_dir, ascii_only=False):
+    truth, found = truth_and_found(spark, sf_dir, ascii_only)
     other = found.select("doc", "page", F.col("ord"), F.col("ord").alias("found_ord"), F.col("kind").alias("found_kind"))
     swapped = other.withColumn("found_ord", F.when(F.col("ord") % 4 == 2, F.col("ord") + 9).otherwise(F.col("ord")))
     return truth.join(swapped, ["doc", "page", "ord"], "left").withColumn("ref", X.ref(F.col("page"), F.col("ord")))
@@ -71,17 +76,59 @@ _PAIRS = f"{_TRUTH}, pairs AS (SELECT t.doc, t.page, t.ord, t.kind, t.text, t.pa
 
 @ENTRIES.add(f"WITH {_PAIRS} SELECT doc, count(*) FILTER (kind = found_kind) AS kinds_right, count(*) AS blocks, count(*) FILTER (kind = found_kind) / CAST(count(*) AS DOUBLE) AS kinds FROM pairs GROUP BY 1")
 def kinds_share(spark, sf_dir):
-    return Q.kinds_share(_pairs(spark, sf_dir), ["doc"])
+    return Q.kinds_share(_pairs(spark, sf_dir, ascii_only=True), ["doc"])
 
 
 @ENTRIES.add(f"WITH {_PAIRS}, l AS (SELECT *, lag(found_ord) OVER (PARTITION BY doc, page ORDER BY ord) AS b FROM pairs), s AS (SELECT doc, count(*) FILTER (b < found_ord) AS order_right, count(*) FILTER (b IS NOT NULL AND found_ord IS NOT NULL) AS order_pairs FROM l GROUP BY 1) SELECT *, CASE WHEN order_pairs = 0 THEN 1.0::DOUBLE ELSE order_right / CAST(order_pairs AS DOUBLE) END AS \"order\" FROM s")
 def order_share(spark, sf_dir):
-    return Q.order_share(_pairs(spark, sf_dir), ["doc", "page"], ["doc"])
+    return Q.order_share(_pairs(spark, sf_dir, ascii_only=True), ["doc", "page"], ["doc"])
 
 
 @ENTRIES.add(f"""WITH {_PAIRS}, n AS (SELECT doc, page, ord, CASE WHEN found_kind IS NULL THEN ref || ' ' || kind || ' is not found: "' || CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END || '"' WHEN found_kind <> kind THEN ref || ' ' || kind || ' is found as ' || found_kind || ': "' || CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END || '"' END AS note FROM pairs),
   r AS (SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY page, ord) AS INT) AS n, note FROM n WHERE note IS NOT NULL) SELECT * FROM r WHERE n <= 40""")
 def score_notes(spark, sf_dir):
+    return Q.notes(_pairs(spark, sf_dir, ascii_only=True), ["doc"])
+
+
+# --- scores of whole texts -------------------------------------------------------------------------------------------
+
+_TRUTH_WHOLE = _TRUTH.replace(r"regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS t", "text AS t")
+
+
+def _whole(name: str) -> str:
+    """The SQL of a query above, over whole texts. DuckDB's levenshtein counts bytes, so those with an edit distance have none."""
+    return ENTRIES.oracles[name].replace(_TRUTH, _TRUTH_WHOLE)
+
+
+@ENTRIES.add(_whole("transcriptions"))
+def transcriptions_whole(spark, sf_dir):
+    truth, _ = truth_and_found(spark, sf_dir)
+    return Q.transcription(truth, ["doc", "page"])
+
+
+@ENTRIES.add()
+def cer_by_page_whole(spark, sf_dir):
+    truth, found = truth_and_found(spark, sf_dir)
+    return Q.edits(truth, found, ["doc", "page"])
+
+
+@ENTRIES.add()
+def cer_by_document_whole(spark, sf_dir):
+    return Q.cer(cer_by_page_whole(spark, sf_dir), ["doc"])
+
+
+@ENTRIES.add(_whole("kinds_share"))
+def kinds_share_whole(spark, sf_dir):
+    return Q.kinds_share(_pairs(spark, sf_dir), ["doc"])
+
+
+@ENTRIES.add(_whole("order_share"))
+def order_share_whole(spark, sf_dir):
+    return Q.order_share(_pairs(spark, sf_dir), ["doc", "page"], ["doc"])
+
+
+@ENTRIES.add(_whole("score_notes"))
+def score_notes_whole(spark, sf_dir):
     return Q.notes(_pairs(spark, sf_dir), ["doc"])
 
 
