@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docspark.operators import assemble as A
 from docspark.operators import chunks as D
 from docspark.operators import views as V
-from docspark.plans.bind import SQL_ATTEMPTS, SQL_BLOCKS, attempts, blocks, sql_fold, sql_squeeze
+from docspark.plans.bind import SQL_ATTEMPTS, SQL_BLOCKS, SQL_PARSE_IDS, attempts, blocks, parse_ids, sql_fold, sql_squeeze
 from docspark.plans.entry import Entries
 from docspark.session import prepare, table
 
@@ -84,6 +84,13 @@ def skipped_pages(spark, sf_dir):
     return A.filled_pages(selected, b.select("parse_id", "page", "state").distinct())
 
 
+@ENTRIES.add(f"WITH {SQL_BLOCKS}, {SQL_PARSE_IDS}, sel AS (SELECT parse_id, CAST(g.range AS INT) AS page FROM parse_ids, range(1, 15) g), r AS (SELECT DISTINCT parse_id, page, state FROM blocks) SELECT parse_id, page, coalesce(state, 'skipped') AS state FROM sel LEFT JOIN r USING (parse_id, page)")
+def skipped_pages_whole(spark, sf_dir):
+    """skipped_pages for every parse of the table."""
+    selected = parse_ids(spark, sf_dir).select("parse_id", F.explode(F.sequence(F.lit(1), F.lit(14))).alias("page"))
+    return A.filled_pages(selected, blocks(spark, sf_dir).select("parse_id", "page", "state").distinct())
+
+
 @ENTRIES.add(f"WITH {SQL_BLOCKS} SELECT parse_id, CASE WHEN parse_id % 9 = 8 THEN 'canceled' WHEN parse_id % 9 = 7 THEN 'failed' WHEN count(DISTINCT page) FILTER (state = 'failed') > parse_id % 2 THEN 'failed' ELSE 'succeeded' END AS outcome FROM blocks GROUP BY 1")
 def parse_finish(spark, sf_dir):
     from docspark.operators.lifecycle import finish_state
@@ -131,6 +138,13 @@ def block_lookup(spark, sf_dir):
     return V.lookup(blocks(spark, sf_dir), wanted)
 
 
+@ENTRIES.add(f"WITH {SQL_BLOCKS}, {SQL_PARSE_IDS}, w AS (SELECT parse_id, g.range || '.' || (1 + parse_id % 40) AS ref FROM parse_ids, range(1, 13) g) SELECT parse_id, ref, CASE WHEN state IS NULL THEN 'not_found' WHEN state <> 'succeeded' THEN 'not_ready' ELSE 'found' END AS answer, CASE WHEN state = 'succeeded' THEN kind END AS kind FROM w LEFT JOIN blocks USING (parse_id, ref)")
+def block_lookup_whole(spark, sf_dir):
+    """block_lookup for every parse of the table."""
+    wanted = parse_ids(spark, sf_dir).select("parse_id", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("p")).select("parse_id", F.concat_ws(".", "p", 1 + F.col("parse_id") % 40).alias("ref"))
+    return V.lookup(blocks(spark, sf_dir), wanted)
+
+
 _FIGURES = f"WITH {SQL_BLOCKS}, f AS (SELECT * REPLACE (CASE WHEN kind = 'list_item' THEN 'figure' ELSE kind END AS kind) FROM blocks), c AS (SELECT *, CASE WHEN lead(kind) OVER w = 'caption' THEN lead(text) OVER w END AS nx, CASE WHEN lag(kind) OVER w = 'caption' THEN lag(text) OVER w END AS pv FROM f WINDOW w AS (PARTITION BY parse_id, page ORDER BY ord)), g AS (SELECT *, coalesce(nx, pv, '') AS caption FROM c WHERE kind = 'figure' AND y0 IS NOT NULL AND state = 'succeeded')"
 
 

@@ -150,6 +150,16 @@ SQL_BLOCKS = """paged AS (
     CASE WHEN parse_id % 3 <> 0 THEN (ord - 1) / CAST(n AS DOUBLE) END AS y0, CASE WHEN parse_id % 3 <> 0 THEN ord / CAST(n AS DOUBLE) END AS y1 FROM kinds)"""
 
 
+def parse_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every parse of the documents table once, also one without a block."""
+    prepare(spark)
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.floor(F.col("doc_id") / PAGES_PER_PARSE).alias("parse_id")).where("parse_id is not null").distinct()
+
+
+SQL_PARSE_IDS = "parse_ids AS (SELECT DISTINCT doc_id // 10 AS parse_id FROM documents WHERE doc_id IS NOT NULL)"
+
+
 def raw_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an engine might return: a label, a text, and a box of four numbers on a grid."""
     prepare(spark)

@@ -60,3 +60,17 @@ def test_blocks_are_matched_by_whole_texts(spark, tmp_path):
             alike = [(1 - levenshtein(t, f) / max(len(t), len(f)), p) for p, f in found.get(at, [])]
             best = max(alike, default=(0, None))
             assert got[(*at, o)] == (best[1] if best[0] >= 0.5 else None)
+
+
+def test_every_parse_is_filled_and_looked_up(spark, tmp_path):
+    """Parses 2, 25 and 700, of which 700 has no block at all."""
+    docs = [(20, "one\ntwo\nthree"), (251, "first\nsecond"), (7003, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sf = str(tmp_path)
+    got = {(r.parse_id, r.page): r.state for r in QUERIES["skipped_pages_whole"](spark, sf).collect()}
+    read = {(2, 1): "failed", (25, 2): "succeeded"}
+    assert got == {(p, g): read.get((p, g), "skipped") for p in (2, 25, 700) for g in range(1, 15)}
+    rows = [(r.parse_id, r.ref, r.answer) for r in QUERIES["block_lookup_whole"](spark, sf).collect()]
+    # 20 is page 1 of parse 2, whose lines are behind a head; nothing has a block 26 or 21.
+    found = {(2, "1.3"): "not_ready"}
+    assert sorted(rows) == sorted((p, f"{g}.{1 + p % 40}", found.get((p, f"{g}.{1 + p % 40}"), "not_found")) for p in (2, 25, 700) for g in range(1, 13))
