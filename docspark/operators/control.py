@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,28 +151,46 @@ def idempotency(requests: DataFrame, hours: int = KEY_HOURS) -> DataFrame:
     return keys.select("owner", "key", F.inline(F.aggregate("rows", start, step)["done"]))
 
 
-def submitted(requests: DataFrame, max_queued: int, pages_per_day: int) -> DataFrame:
-    """The answers to submissions in their order, for each group: exists, file_not_found, queue_full, budget_exhausted or
-    created. Rows: group_id, seq, parse_id, file_known, pages, day. A fold: what is refused takes neither a place nor pages."""
+def submitted(requests: DataFrame, max_queued: int, pages_per_day: int, key_span: int = KEY_HOURS) -> DataFrame:
+    """The answers to submissions in their order, for each group: exists, conflict, file_not_found, queue_full,
+    budget_exhausted or created. Rows: group_id, seq, parse_id, file_known, pages, day, and where known at, ends, owner, key
+    and body. A fold: what is refused takes neither a place, nor pages, nor a key.
+
+    A created parse holds its place until it ends: one that ended before a request's time leaves room for it. at is that time
+    (seq where there is no such column), ends that of the parse's end, in the same unit; null: it doesn't end. A key of an
+    owner is held for key_span from the request that created: exists for the same body, conflict for another. A parse id and
+    an owner's keys are of one group.
+    """
 
     def answer(state, r):
-        seen, day, used = state
+        seen, keys, ends, day, used = state
         used = used if day == r.day else 0
+        while ends and ends[0] < r.at:
+            heapq.heappop(ends)
+        name = (r.owner, r.key)
+        since, body = keys.get(name, (None, None))
         if r.parse_id in seen:
             outcome = "exists"
+        elif since is not None and r.at - since < key_span:
+            outcome = "exists" if r.body == body else "conflict"
         elif not r.file_known:
             outcome = "file_not_found"
-        elif len(seen) >= max_queued:
+        elif len(ends) >= max_queued:
             outcome = "queue_full"
         elif used + r.pages > pages_per_day:
             outcome = "budget_exhausted"
         else:
             outcome, used = "created", used + r.pages
             seen.add(r.parse_id)
-        return (seen, r.day, used), (r.parse_id, outcome)
-
-    own = requests.select("group_id", "seq", "parse_id", "file_known", "pages", "day")
-    return fold(own, ["group_id"], ["seq", "parse_id"], lambda: (set(), None, 0), answer, "parse_id long, outcome string")
+            heapq.heappush(ends, math.inf if r.ends is None else r.ends)
+            if r.key is not None:
+                keys[name] = r.at, r.body
+        return (seen, keys, ends, r.day, used), (r.parse_id, outcome)
+
+    none = {"at": F.col("seq"), "ends": F.lit(None).cast("long"), **dict.fromkeys(("owner", "key", "body"), F.lit(None).cast("string"))}
+    more = [F.col(c) if c in requests.columns else other.alias(c) for c, other in none.items()]
+    own = requests.select("group_id", "seq", "parse_id", "file_known", "pages", "day", *more)
+    return fold(own, ["group_id"], ["seq", "parse_id"], lambda: (set(), {}, [], None, 0), answer, "parse_id long, outcome string")
 
 
 def reuse(pages: DataFrame, reads: DataFrame) -> DataFrame:

@@ -175,8 +175,12 @@ def idempotency_keys(spark, sf_dir):
 @ENTRIES.add()
 def submit_admission(spark, sf_dir):
     p = parses(spark, sf_dir)
-    own = p.select("group_id", F.col("created_day").alias("seq"), "parse_id", (F.col("file_id") % 9 != 0).alias("file_known"), (1 + F.col("tokens") % 9).alias("pages"), F.floor(F.col("created_day") / 30).alias("day"))
-    return C.submitted(own, 500, 60)
+    own = p.select(
+        "group_id", F.col("created_day").alias("seq"), "parse_id", (F.col("file_id") % 9 != 0).alias("file_known"), (1 + F.col("tokens") % 9).alias("pages"), F.floor(F.col("created_day") / 30).alias("day"),
+        F.col("finished_day").alias("ends"), "owner", (F.col("file_id") % 4).alias("key"), F.col("label").alias("body"),
+    )
+    # Thirty days of the table are one day here, and in idempotency_keys.
+    return C.submitted(own, 500, 60, key_span=30)
 
 
 _READS = "reads AS (SELECT event_id, user_id AS owner, CAST(floor(value) AS BIGINT) % 20 AS read_key, event_type = 'error' AS truncated, event_type = 'signup' AS reused FROM events)"

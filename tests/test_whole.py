@@ -1,5 +1,9 @@
 """Queries that answer for the whole table, on small tables in which a cut would show."""
 
+from pyspark.sql import functions as F
+
+from docspark.operators import control as K
+from docspark.plans.bind import parses
 from docspark.plans.registry import ORACLES, QUERIES
 from tests.oracle import connect, difference
 
@@ -74,3 +78,47 @@ def test_every_parse_is_filled_and_looked_up(spark, tmp_path):
     # 20 is page 1 of parse 2, whose lines are behind a head; nothing has a block 26 or 21.
     found = {(2, "1.3"): "not_ready"}
     assert sorted(rows) == sorted((p, f"{g}.{1 + p % 40}", found.get((p, f"{g}.{1 + p % 40}"), "not_found")) for p in (2, 25, 700) for g in range(1, 13))
+
+
+ROWS = "group_id long, seq long, parse_id long, file_known boolean, pages long, day long, ends long, owner string, key string, body string"
+
+
+def test_ended_parses_free_their_places(spark):
+    own = [(10, 1, 3), (11, 1, None), (12, 2, 9), (13, 3, 9), (14, 4, 4), (15, 5, None), (16, 6, None)]
+    df = spark.createDataFrame([(1, at, p, True, 1, 0, ends, "o", None, None) for p, at, ends in own], ROWS)
+    got = {r.parse_id: r.outcome for r in K.submitted(df, 2, 99).collect()}
+    # 10 ends at 3, which frees a place after 3; 14 ends at 4.
+    assert got == {10: "created", 11: "created", 12: "queue_full", 13: "queue_full", 14: "created", 15: "created", 16: "queue_full"}
+
+
+def test_keys_are_seen_before_files_and_places(spark):
+    rows = [
+        (1, 0, 1, True, 1, 0, None, "o", "k", "b"), (1, 5, 2, False, 1, 0, None, "o", "k", "b"), (1, 6, 3, False, 1, 0, None, "o", "k", "c"), (1, 7, 4, False, 1, 0, None, "o", "j", "b"),
+        (1, 8, 5, True, 1, 0, None, "o", "j", "c"), (1, 9, 6, True, 1, 0, None, "p", "k", "b"), (1, 23, 7, True, 1, 0, None, "o", "k", None), (1, 24, 8, True, 1, 0, None, "o", "k", "c"),
+    ]
+    got = [r.outcome for r in K.submitted(spark.createDataFrame(rows, ROWS), 3, 99).orderBy("parse_id").collect()]
+    assert got == ["created", "exists", "conflict", "file_not_found", "created", "created", "conflict", "queue_full"]
+
+
+def test_admission_of_the_table_is_the_replay(spark, sf_dir):
+    """The queue counted anew at each request, with few places so that the smallest table fills them."""
+    p = parses(spark, sf_dir)
+    df = p.select("group_id", F.col("created_day").alias("seq"), "parse_id", (F.col("file_id") % 9 != 0).alias("file_known"), F.lit(1).alias("pages"), F.floor(F.col("created_day") / 30).alias("day"), F.col("finished_day").alias("ends"), "owner", (F.col("file_id") % 4).alias("key"), F.col("label").alias("body"))
+    want, held, keys = {}, {}, {}
+    for r in sorted(df.collect(), key=lambda r: (r.group_id, r.seq, r.parse_id)):
+        created = held.setdefault(r.group_id, [])
+        since, body = keys.get((r.owner, r.key), (None, None))
+        if since is not None and r.seq < since + 30:
+            want[r.parse_id] = "exists" if body == r.body else "conflict"
+        elif not r.file_known:
+            want[r.parse_id] = "file_not_found"
+        elif sum(e is None or e >= r.seq for e, _ in created) >= 20:
+            want[r.parse_id] = "queue_full"
+        elif sum(d == r.day for _, d in created) >= 5:
+            want[r.parse_id] = "budget_exhausted"
+        else:
+            want[r.parse_id] = "created"
+            created.append((r.ends, r.day))
+            keys[r.owner, r.key] = r.seq, r.body
+    assert {"created", "queue_full", "file_not_found"} <= set(want.values())
+    assert {r.parse_id: r.outcome for r in K.submitted(df, 20, 5, key_span=30).collect()} == want
