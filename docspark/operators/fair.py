@@ -7,6 +7,8 @@ three nested windows. dispatch_arrivals is the fold that also holds for arrivals
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -112,27 +114,36 @@ def simulate(jobs: list[dict], slots: int = 1, hold: int = 1, max_running: int |
 
     A group with max_running jobs in slots isn't considered.
     """
-    waiting: dict[int, dict] = {}
+    # class, group, project: a heap of the jobs that wait, the next one first; what has no job isn't held.
+    waiting: dict = {}
     classes, groups, projects = Level(), {}, {}
-    coming = sorted(range(len(jobs)), key=lambda i: (jobs[i]["arrival"], i))
+    coming = deque(sorted(range(len(jobs)), key=lambda i: (jobs[i]["arrival"], i)))
     now, busy = 0, []  # busy: (when it ends, group)
     while coming or waiting:
         busy = [x for x in busy if x[0] > now]
         while coming and jobs[coming[0]]["arrival"] <= now:
-            i = coming.pop(0)
-            waiting[i] = jobs[i]
+            i = coming.popleft()
+            j = jobs[i]
+            heap = waiting.setdefault(j["class"], {}).setdefault(j["group_id"], {}).setdefault(j["project_id"], [])
+            heapq.heappush(heap, (-j["priority"], j["arrival"], i))
         while waiting and len(busy) < slots:
-            full = {g for _, g in busy if max_running is not None and sum(x[1] == g for x in busy) >= max_running}
-            held = [j for j in waiting.values() if j["group_id"] not in full]
+            full = {g for g, n in Counter(g for _, g in busy).items() if max_running is not None and n >= max_running}
+            held = [c for c, own in waiting.items() if own.keys() - full]
             if not held:
                 break
-            c = min({j["class"] for j in held}, key=lambda x: (classes.start(x), x))
+            c = min(held, key=lambda x: (classes.start(x), x))
             by_group = groups.setdefault(c, Level())
-            g = min({j["group_id"] for j in held if j["class"] == c}, key=lambda x: (by_group.start(x), x))
+            g = min(waiting[c].keys() - full, key=lambda x: (by_group.start(x), x))
             by_project = projects.setdefault((c, g), Level())
-            p = min({j["project_id"] for j in held if (j["class"], j["group_id"]) == (c, g)}, key=lambda x: (by_project.start(x), x))
-            best = min((i for i, j in waiting.items() if j["group_id"] not in full and (j["class"], j["group_id"], j["project_id"]) == (c, g, p)), key=lambda i: (-waiting[i]["priority"], waiting[i]["arrival"], i))
-            job = waiting.pop(best)
+            p = min(waiting[c][g], key=lambda x: (by_project.start(x), x))
+            best = heapq.heappop(waiting[c][g][p])[-1]
+            if not waiting[c][g][p]:
+                del waiting[c][g][p]
+                if not waiting[c][g]:
+                    del waiting[c][g]
+                    if not waiting[c]:
+                        del waiting[c]
+            job = jobs[best]
             by_project.charge(p, job["cost"], job["project_weight"])
             by_group.charge(g, job["cost"], job["group_weight"])
             classes.charge(c, job["cost"], job["class_weight"])

@@ -61,8 +61,9 @@ def fair_share_metrics(spark, sf_dir):
 
 @ENTRIES.add()
 def fair_dispatch_arrivals(spark, sf_dir):
+    """The whole backlog is one queue: all groups compete on the same clocks."""
     rows = backlog(spark, sf_dir).select(
-        F.expr("group_id % 5 * 1000 + parse_id % 50").alias("queue"), "class", "group_id", "project_id", "priority", "cost", "class_weight", "group_weight", "project_weight", (F.col("n") * 3).alias("arrival"), (F.col("parse_id") * 100 + F.col("n")).alias("task_key")
+        F.lit(0).cast("long").alias("queue"), "class", "group_id", "project_id", "priority", "cost", "class_weight", "group_weight", "project_weight", (F.col("n") * 3).alias("arrival"), (F.col("parse_id") * 100 + F.col("n")).alias("task_key")
     )
     return I.dispatch_arrivals(rows, ["queue"])
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docspark.operators import control as K
 from docspark.plans.bind import parses
+from docspark.plans.fair_queries import backlog
 from docspark.plans.registry import ORACLES, QUERIES
 from tests.oracle import connect, difference
 
@@ -122,3 +123,23 @@ def test_admission_of_the_table_is_the_replay(spark, sf_dir):
             keys[r.owner, r.key] = r.seq, r.body
     assert {"created", "queue_full", "file_not_found"} <= set(want.values())
     assert {r.parse_id: r.outcome for r in K.submitted(df, 20, 5, key_span=30).collect()} == want
+
+
+def test_the_backlog_is_one_queue(spark, sf_dir):
+    """All tasks on one set of clocks, each time the class, group and project furthest behind."""
+    tasks = backlog(spark, sf_dir).collect()
+    jobs = sorted(tasks, key=lambda r: (r.n * 3, r.parse_id * 100 + r.n))
+    waiting, clock, at, want = [], {}, {}, []
+    start = lambda level, x: max(at.get((level, x), 0), clock.get(level, 0))
+    for now in range(150):
+        while jobs and jobs[0].n * 3 <= now:
+            waiting.append(jobs.pop(0))
+        if waiting:
+            best = min(waiting, key=lambda r: (start((), r["class"]), r["class"], start(r["class"], r.group_id), r.group_id, start((r["class"], r.group_id), r.project_id), r.project_id, -r.priority, r.n * 3, r.parse_id * 100 + r.n))
+            waiting.remove(best)
+            for level, x, weight in (((), best["class"], best.class_weight), (best["class"], best.group_id, best.group_weight), ((best["class"], best.group_id), best.project_id, best.project_weight)):
+                clock[level] = start(level, x)
+                at[level, x] = clock[level] + best.cost * 1_000_000 // weight
+            want.append((best.parse_id * 100 + best.n, now))
+    got = QUERIES["fair_dispatch_arrivals"](spark, sf_dir).orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(1, len(tasks) + 1)) and [(r.task_key, r.at) for r in got[: len(want)]] == want
