@@ -155,7 +155,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(df: DataFrame, items: list[tuple[str, bytes]], window: int, text: str | None) -> DataFrame:
+def _pass(df: DataFrame, items: list[tuple[str | None, bytes]], window: int, text: str | None) -> DataFrame:
     """Search items; with a column of that name, results of earlier passes stand beside it and the text stays."""
 
     def run(batches):
@@ -164,7 +164,7 @@ def _pass(df: DataFrame, items: list[tuple[str, bytes]], window: int, text: str
             for a, b, data, bounds in steps(not_null(batch.column("text")), STEP):
                 counts, own, spans = search(data, bounds, strings)
                 part = batch.slice(a, b - a)
-                names = [sorted({items[k][0] for k in s}) for s in own]
+                names = [sorted({items[k][0] for k in s if items[k][0] is not None}) for s in own]
                 if text:
                     names = [sorted({*x, *y}) for x, y in zip(names, part.column("items").to_pylist(), strict=True)]
                     before = part.column("spans").to_pylist()
@@ -183,15 +183,15 @@ def _pass(df: DataFrame, items: list[tuple[str, bytes]], window: int, text: str
     return df.mapInArrow(run, SCHEMA + (", text binary" if text else ""))
 
 
-def _passes(benchmark: DataFrame, item_col: str, text_col: str, bound: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+def _passes(benchmark: DataFrame, item_col: str, text_col: str, bound: int) -> tuple[int, Iterator[list[tuple[str | None, bytes]]]]:
     """How many searches the items need, and the items of each, about bound bytes of text at a time."""
-    wanted = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("binary").alias("text")).where("text is not null and item is not null")
+    wanted = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("binary").alias("text")).where("text is not null")
     total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // bound))
 
-    def parts() -> Iterator[list[tuple[str, bytes]]]:
+    def parts() -> Iterator[list[tuple[str | None, bytes]]]:
         for k in range(passes):
-            part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
+            part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
             yield [(r.item, bytes(r.text)) for r in part.collect()]
 
     return passes, parts()
@@ -205,7 +205,8 @@ def contamination(
     Returns per row: doc_id, n_words, n_hit, items (ids of items with an occurrence, sorted as strings), spans (merged
     runs of hit words, from the text's first word). Words are runs of 0-9, a-z and non-ASCII characters, A-Z counting
     as a-z. A null or empty text has no words and no hits; a null or wordless item has no test string; items with equal
-    texts each count; repeated rows each give a row; an empty benchmark hits nothing; other columns are ignored.
+    texts each count; an item without an id is searched, and counts in n_hit and spans but not in items; repeated rows each
+    give a row; an empty benchmark hits nothing; other columns are ignored.
     """
     prepare(df.sparkSession)
     passes, parts = _passes(benchmark, item_col, item_text_col, bound)
