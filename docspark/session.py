@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -33,11 +34,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The session's spark.checkpoint.dir; where it is unset (tests on one machine) a temporary folder is made
-    and kept in the session's settings.
+    The session's spark.checkpoint.dir; where it is unset and everything runs in one process (tests) a temporary folder is
+    made and kept in the session's settings. On a cluster that folder would be the driver's alone, so it is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="docspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -71,6 +74,12 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *raised: object) -> None:
+        self.drop()
+
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
         self.paths.append(path)
