@@ -85,10 +85,44 @@ def test_odd_texts(odd_docs, odd_texts):
     assert sorted(ids) == sorted(i for i, (_, _, k) in brute(dict(odd_texts).items()).items() if k)
 
 
-def test_null_ids(spark):
-    rows = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (None, "other")], "doc_id long, text string")
-    found = {(r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(rows).collect()}
-    assert found == {(None, 5, False), (5, 5, True), (None, None, False)}
+def test_null_and_shared_ids(spark):
+    rows = [(None, "a b c d e f"), (5, "a b c d e f"), (None, "other"), (None, "other"), (7, "a text of its own"), (7, "another text with that id"), (7, "a text of its own"), (8, "another text with that id"), (9, ""), (9, ""), (9, "word"), (None, None), (4, "word")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(df).collect()), key=str)
+    want = [(None, 5, False), (5, 5, True), (None, None, False), (None, None, False), (7, 7, True), (7, 7, True), (7, 7, True), (8, 7, False), (9, 9, True), (9, 9, True), (9, 4, False), (None, None, False), (4, 4, True)]
+    assert found == sorted(want, key=str)
+    kept = sorted(((r.doc_id, r.text) for r in N.one_of_each(df).collect()), key=str)
+    assert kept == sorted([(5, "a b c d e f"), (None, "other"), (7, "a text of its own"), (7, "another text with that id"), (9, ""), (9, ""), (None, None), (4, "word")], key=str)
+
+
+def test_far_families_under_the_threshold(spark):
+    """Members of one family share most shingles with others, but few of them enough with any one."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(6):
+        base = [f"b{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(40):
+            own = list(base)
+            for i in rng.sample(range(120), rng.choice([2, 4, 5, 6, 7])):
+                own[i] = f"e{rng.randrange(30)}"
+            rows.append((len(rows), " ".join(own)))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+
+
+def test_set_join_finds_every_link_across_components(spark):
+    rng = random.Random(12)
+    sets = {i: sorted(rng.sample(range(60), rng.choice([8, 12, 16, 30, 40]))) for i in range(400)}
+    for i in range(400, 500):
+        own = set(sets[rng.randrange(400)])
+        sets[i] = sorted(own ^ set(rng.sample(range(60), rng.choice([1, 2, 3]))))
+    rows = [(i, i % 7, s) for i, s in sets.items()]
+    df = spark.createDataFrame(rows, "id long, c long, shingles array<long>")
+    want = {(a, b) for a in sets for b in sets if a % 7 < b % 7 and 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))}
+    assert len(want) > 50
+    with N.Scratch(spark) as scratch:
+        found = {(r.a, r.b) for r in N._prefix_pairs(N._reachable(df, 75, scratch), 75, scratch).collect()}
+        checked = {(r.a, r.b) for r in N.confirmed(spark.createDataFrame(list(found), "a long, b long"), df).collect()}
+    assert checked == want
 
 
 def test_empty_table(no_docs):
@@ -113,11 +147,3 @@ def test_signature_values_match_as_often_as_the_sets():
     x, y = np.concatenate([both, a]), np.concatenate([both, b])
     same = [f((x ^ r) * m) == f((y ^ r) * m) for r, m in zip(N._XOR, N._ODD, strict=True) for f in (np.min, np.max)]
     assert abs(np.mean(same) - 0.6) < 0.15
-
-
-def test_parities_bound_the_difference():
-    rng = np.random.default_rng(7)
-    for _ in range(50):
-        both, a, b = (rng.integers(1, 1 << 62, n, dtype=np.uint64).view(np.int64) for n in (200, rng.integers(0, 60), rng.integers(0, 60)))
-        x, y = N.parities(np.concatenate([both, a])), N.parities(np.concatenate([both, b]))
-        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(a) + len(b)
