@@ -1,115 +1,146 @@
-"""Chunks for retrieval and windows for extraction: greedy folds over a parse's blocks, one parse at a time."""
+"""Chunks for retrieval and windows for extraction: breaks searched in running sums of sizes, one parse at a time."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.functions import text as X
 
 #: Bounds and default of a chunk's characters, and the most windows of an extraction.
 MIN_CHARS, MAX_CHARS, DEFAULT_CHARS, MAX_WINDOWS = 200, 100_000, 6000, 32
 FURNITURE = frozenset(X.FURNITURE)
+HEADINGS = ("title", "heading")
 
 
-def table_parts(cells: list[dict], most: int) -> list[str]:
-    """A long table cut between rows; each part starts with the header rows, the marked ones or else the first."""
-    lines: dict[int, list[str]] = {}
-    marked: dict[int, bool] = {}
-    for c in sorted(cells, key=lambda c: (c["row"], c["col"])):
-        lines.setdefault(c["row"], []).append(c["text"])
-        marked[c["row"]] = marked.get(c["row"], False) or bool(c.get("header"))
-    rows = [(" | ".join(texts), marked[r]) for r, texts in lines.items()]
-    if not any(m for _, m in rows):
-        rows[0] = (rows[0][0], True)
-    head = "\n".join(t for t, m in rows if m)
-    parts: list[str] = []
-    size = most + 1
-    for line in (t for t, m in rows if not m):
-        # A part takes at least one row, and more while they fit.
-        if parts and size + len(line) + 1 <= most:
-            parts[-1] += "\n" + line
-        else:
-            parts.append(f"{head}\n{line}")
-            size = len(head)
-        size += len(line) + 1
-    return parts or [head]
+def sums(sizes: np.ndarray | list[int]) -> np.ndarray:
+    """0 and the running sums."""
+    return np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
 
 
-class _Chunk:
-    def __init__(self):
-        self.texts: list[str] = []
-        self.pages: list[int] = []
-        self.refs: list[str] = []
-        self.size, self.only_headings = 0, True
+def reach(total: np.ndarray, start: int, room: int) -> int:
+    """The end of the longest stretch from start whose sizes sum to room at most (start itself if none does)."""
+    return max(start, int(np.searchsorted(total, total[start] + room, "right")) - 1)
 
-    def add(self, block: dict, text: str) -> None:
-        self.size += len(text) + (2 if self.texts else 0)
-        self.texts.append(text)
-        for held, new in ((self.refs, block["ref"]), (self.pages, block["page"])):
-            if new not in held:
-                held.append(new)
 
+def table_parts(cells: list[dict], most: int) -> list[str]:
+    """A long table cut between rows; each part starts with the header rows, the marked ones or else the first.
 
-def cut(blocks: list[dict], by: str, most: int) -> Iterator[_Chunk]:
-    """Chunks of one document's blocks (page, ref, kind, text, cells) in their order.
-
-    By page a chunk is a page, by section it begins at a heading; both end before most characters would be passed. Headings
-    alone are no chunk unless they are past the bound themselves.
+    A part takes at least one row, and more while they fit. A null text counts as empty. A table without cells has no part.
     """
-    now = _Chunk()
-    page = None
+    if not cells:
+        return []
+    row, col = (np.array([c[name] for c in cells]) for name in ("row", "col"))
+    order = np.lexsort((col, row))
+    new = np.flatnonzero(np.diff(row[order], prepend=row[order[0]] - 1))
+    groups = np.split(order, new[1:])
+    lines = np.array([" | ".join(cells[i]["text"] or "" for i in own) for own in groups], object)
+    header = np.array([any(cells[i].get("header") for i in own) for own in groups])
+    header[0] |= not header.any()
+    head, body = "\n".join(lines[header]), lines[~header]
+    if not len(body):
+        return [head]
+    total = sums([len(x) + 1 for x in body])
+    out, at = [], 0
+    while at < len(body):
+        end = max(at + 1, reach(total, at, most - len(head)))
+        out.append("\n".join([head, *body[at:end]]))
+        at = end
+    return out
+
+
+def chunk_ends(length: np.ndarray, heading: np.ndarray, fresh: np.ndarray, joins: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Where chunks of items begin and end, of their lengths.
+
+    A chunk ends before a fresh item, and before most would be passed, two characters parting its items. Headings alone
+    are no chunk, unless they are past the bound themselves. An item that joins (the first part of a table) follows headings
+    alone whatever their size, and stands alone otherwise.
+    """
+    n = len(length)
+    total = sums(length + 2)
+    edges = np.append(np.flatnonzero(fresh), n)
+    bodies = np.append(np.flatnonzero(~heading), n)
+    at = 0
+    while at < n:
+        edge = int(edges[np.searchsorted(edges, at, "right")])
+        body = int(bodies[np.searchsorted(bodies, at)])
+        over = reach(total, at, most + 2)
+        end = over if body < over else over + 1
+        if joins[edge - 1] and at < edge - 1 < n:
+            # The stretch ends with a table's first part.
+            end = min(end, edge - 1) if body < edge - 1 else end if end < edge - 1 else edge
+        end = min(end, edge)
+        yield at, end
+        at = end
+
+
+def cut(blocks: list[dict], by: str, most: int) -> list[dict]:
+    """Chunks (texts, refs, pages) of one document's blocks (page, ref, kind, text, cells) in their order.
+
+    By page a chunk is a page, by section it begins at a heading; both end before most characters would be passed. A table that
+    is longer is cut between its rows. Furniture and blocks without a text are left out.
+    """
+    items: list[tuple[str, dict, int, bool]] = []
     for b in blocks:
-        if by == "page" and page is not None and b["page"] != page and now.refs:
-            yield now
-            now = _Chunk()
-        page = b["page"]
         if b["kind"] in FURNITURE or not b["text"]:
             continue
-        cells = b.get("cells")
-        if cells is not None and len(cells) and len(b["text"]) > most and len(parts := table_parts(list(cells), most)) > 1:
-            for i, part in enumerate(parts):
-                if now.refs and (i or not now.only_headings):
-                    yield now
-                    now = _Chunk()
-                now.add(b, part)
-                now.only_headings = False
-            yield now
-            now = _Chunk()
-            continue
-        heading = b["kind"] in ("title", "heading")
-        full = now.size + 2 + len(b["text"]) > most
-        if now.refs and (not now.only_headings or now.size > most) and (full or (by == "section" and heading)):
-            yield now
-            now = _Chunk()
-        now.add(b, b["text"])
-        now.only_headings &= heading
-    if now.refs:
-        yield now
+        parts = table_parts(b["cells"], most) if b.get("cells") and len(b["text"]) > most else []
+        if len(parts) > 1:
+            items += [(part, b, i + 1, i + 1 == len(parts)) for i, part in enumerate(parts)]
+        else:
+            items.append((b["text"], b, 0, False))
+    if not items:
+        return []
+    texts, own, part, last = zip(*items, strict=True)
+    part = np.array(part)
+    heading = np.array([b["kind"] in HEADINGS for b in own]) & (part == 0)
+    fresh = (part > 1) | np.array([True, *last[:-1]])
+    if by == "page":
+        pages = np.array([b["page"] for b in own])
+        fresh[1:] |= pages[1:] != pages[:-1]
+    else:
+        fresh[1:] |= heading[1:] & ~heading[:-1]
+    ends = chunk_ends(np.array([len(t) for t in texts]), heading, fresh, part == 1, most)
+    return [{"texts": list(texts[a:z]), "refs": list(dict.fromkeys(b["ref"] for b in own[a:z])), "pages": list(dict.fromkeys(b["page"] for b in own[a:z]))} for a, z in ends]
 
 
 def chunks(blocks: DataFrame, by: str = "section", max_chars: int = DEFAULT_CHARS) -> DataFrame:
-    """parse_id, id (c1 ..), text, pages, blocks. blocks: parse_id, page, ord, ref, state, kind, text, and cells if any."""
+    """parse_id, id (c1 ..), text, pages, blocks. blocks: parse_id, page, ord, ref, state, kind, text, and cells if any.
+
+    Blocks of pages that didn't succeed, furniture, and null or empty texts are left out; a parse with nothing else has no
+    row, nor has an empty table. Repeated blocks are each given.
+    """
     if by not in ("page", "section") or not MIN_CHARS <= max_chars <= MAX_CHARS:
         raise ValueError("by is page or section, max_chars 200 to 100,000")
     columns = ["parse_id", "page", "ord", "ref", "kind", "text", *(["cells"] if "cells" in blocks.columns else [])]
+    own = blocks.where((F.col("state") == "succeeded") & (F.col("text") != "")).select(*columns)
+    names = ["parse_id", "id", "text", "pages", "blocks"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["page", "ord"], kind="stable").to_dict("records")
-        out = list(cut(rows, by, max_chars))
-        return pd.DataFrame(
-            {"parse_id": [rows[0]["parse_id"]] * len(out), "id": [f"c{i + 1}" for i in range(len(out))], "text": ["\n\n".join(c.texts) for c in out], "pages": [c.pages for c in out], "blocks": [c.refs for c in out]}
-        )
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("page", "ascending"), ("ord", "ascending")])
+        found = cut(rows.to_pylist(), by, max_chars)
+        arrays = [
+            pa.repeat(rows.column("parse_id")[0], len(found)), pa.array([f"c{i + 1}" for i in range(len(found))], pa.string()), pa.array(["\n\n".join(c["texts"]) for c in found], pa.string()),
+            pa.array([c["pages"] for c in found], pa.list_(rows.schema.field("page").type)), pa.array([c["refs"] for c in found], pa.list_(pa.string())),
+        ]
+        return pa.Table.from_arrays(arrays, names)
 
-    own = blocks.where(F.col("state") == "succeeded").select(*columns)
-    schema = own.select("parse_id").schema.add("id", "string").add("text", "string")
-    from pyspark.sql import types as T
+    fields = [T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("pages", T.ArrayType(own.schema["page"].dataType)), T.StructField("blocks", T.ArrayType(T.StringType()))]
+    return own.groupBy("parse_id").applyInArrow(run, T.StructType([own.schema["parse_id"], *fields]))
 
-    schema = schema.add("pages", T.ArrayType(T.IntegerType())).add("blocks", T.ArrayType(T.StringType()))
-    return own.groupBy("parse_id").applyInPandas(run, schema)
+
+def text_cuts(text: bytes, room: int) -> list[bytes]:
+    """The text in pieces of room bytes (4 at least) or less, no character cut."""
+    marks = np.append(np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80), len(text))
+    at = [0]
+    while at[-1] < len(text):
+        at.append(int(marks[np.searchsorted(marks, at[-1] + max(room, 4), "right") - 1]))
+    return [text[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
 
 
 def pack(pieces: list[dict], budget: int) -> list[tuple[str, list[str]]]:
@@ -117,59 +148,73 @@ def pack(pieces: list[dict], budget: int) -> list[tuple[str, list[str]]]:
 
     Each piece is a line "[ref] text"; a cut one repeats the lead, and no character is cut. A budget of 0 is none.
     """
-    out: list[tuple[list[str], list[str]]] = []
-    held = 0
-
-    def fits(n: int) -> bool:
-        return budget <= 0 or (held + 1 + n <= budget if held else n <= budget)
-
-    def add(ref: str, line: str) -> None:
-        nonlocal held
-        if not held:
-            out.append(([], []))
-        lines, refs = out[-1]
-        held += len(line.encode()) + (1 if lines else 0)
-        lines.append(line)
-        if not refs or refs[-1] != ref:
-            refs.append(ref)
-
-    sections: list[list[dict]] = []
-    for p in pieces:
-        if not sections or p["section"]:
-            sections.append([])
-        sections[-1].append(p)
-    for section in sections:
-        lines = [f"[{p['ref']}] {p['text']}" for p in section]
-        if not fits(sum(len(x.encode()) + 1 for x in lines) - 1):
-            held = 0
-        for p, line in zip(section, lines, strict=True):
-            if not fits(len(line.encode())):
-                held = 0
-            if fits(len(line.encode())):
-                add(p["ref"], line)
-                continue
-            lead = f"[{p['ref']}] "
-            room = max(budget - len(lead.encode()), 4)
-            rest = p["text"].encode()
-            while rest:
-                at = min(room, len(rest))
-                while at < len(rest) and rest[at] & 0xC0 == 0x80:
-                    at -= 1
-                add(p["ref"], lead + rest[:at].decode())
-                rest = rest[at:]
-                if rest:
-                    held = 0
-    return [("\n".join(lines), refs) for lines, refs in out]
+    whole = budget + 1 if budget > 0 else 1 << 62
+    leads = [f"[{p['ref']}] ".encode() for p in pieces]
+    texts = [p["text"].encode(errors="replace") for p in pieces]
+    # A line costs itself and the newline before it; room for one newline more stands for the one a window's first line lacks.
+    total = sums([len(a) + len(t) + 1 for a, t in zip(leads, texts, strict=True)])
+    heads = np.array([i for i, p in enumerate(pieces) if i == 0 or p["section"]] + [len(pieces)])
+    out: list[list[tuple[int, bytes]]] = [[]]
+    room = whole
+
+    def shut() -> None:
+        nonlocal room
+        if out[-1]:
+            out.append([])
+        room = whole
+
+    def take(start: int, end: int) -> None:
+        nonlocal room
+        out[-1].extend((i, leads[i] + texts[i]) for i in range(start, end))
+        room -= int(total[end] - total[start])
+
+    at, section = 0, 0
+    while section < len(heads) - 1:
+        # As many whole sections as fit; then, in a window of its own, what fits of one that is too long.
+        to = reach(total[heads], section, room)
+        if to > section:
+            take(int(heads[section]), int(heads[to]))
+            section = to
+            continue
+        if room < whole:
+            shut()
+            continue
+        at, end = int(heads[section]), int(heads[section + 1])
+        while at < end:
+            to = min(reach(total, at, room), end)
+            if to > at:
+                take(at, to)
+                at = to
+            elif room < whole:
+                shut()
+            else:
+                for part in text_cuts(texts[at], budget - len(leads[at])):
+                    shut()
+                    out[-1].append((at, leads[at] + part))
+                    room -= len(leads[at]) + len(part) + 1
+                at += 1
+        section += 1
+    refs = [p["ref"] for p in pieces]
+    return [(b"\n".join(line for _, line in own).decode(), [refs[i] for k, (i, _) in enumerate(own) if not k or refs[i] != refs[own[k - 1][0]]]) for own in out if own]
 
 
 def windows(pieces: DataFrame, budget: int) -> DataFrame:
-    """parse_id, window (from 1), text, refs, code. A parse that takes more than MAX_WINDOWS has one row, its code too_many_pages."""
+    """parse_id, window (from 1), text, refs, code. A parse that takes more than MAX_WINDOWS has one row, its code too_many_pages.
+
+    Null texts are no pieces; a parse without a piece has no row, nor has an empty table. Repeated pieces are each given.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["page", "ord"], kind="stable")
-        found = pack([{"ref": r.ref, "text": r.text, "section": r.kind in ("title", "heading")} for r in rows.itertuples()], budget)
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("page", "ascending"), ("ord", "ascending")])
+        found = pack([{"ref": r["ref"], "text": r["text"], "section": r["kind"] in HEADINGS} for r in rows.select(["ref", "text", "kind"]).to_pylist()], budget)
         code = "too_many_pages" if len(found) > MAX_WINDOWS else None
         found = [("", [])] if code else found
-        return pd.DataFrame({"parse_id": [rows.parse_id.iloc[0]] * len(found), "window": range(1, len(found) + 1), "text": [t for t, _ in found], "refs": [r for _, r in found], "code": [code] * len(found)})
-
-    return pieces.groupBy("parse_id").applyInPandas(run, "parse_id long, window long, text string, refs array<string>, code string")
+        arrays = [
+            pa.repeat(rows.column("parse_id")[0], len(found)), pa.array(range(1, len(found) + 1), pa.int64()), pa.array([t for t, _ in found], pa.string()),
+            pa.array([r for _, r in found], pa.list_(pa.string())), pa.array([code] * len(found), pa.string()),
+        ]
+        return pa.Table.from_arrays(arrays, ["parse_id", "window", "text", "refs", "code"])
+
+    own = pieces.where("text is not null").select("parse_id", "page", "ord", "ref", "kind", "text")
+    fields = T._parse_datatype_string("window long, text string, refs array<string>, code string").fields
+    return own.groupBy("parse_id").applyInArrow(run, T.StructType([own.schema["parse_id"], *fields]))

@@ -6,13 +6,18 @@ at once; a page is one small group, so it runs as a function of the page's words
 
 from __future__ import annotations
 
+import bisect
+import functools
+import math
 import re
-from collections.abc import Iterable
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The gate's bounds.
 MIN_LETTERS, MOJIBAKE_PAIRS, MAX_VOWELLESS, VOWEL_SAMPLE = 0.5, 2, 0.15, 20
@@ -29,19 +34,7 @@ CAPTIONED = re.compile(r"^[^\W\d_]{2,}\.?\s?[0-9]+")
 NOTED = re.compile(r"^(?:[0-9¹²³⁰-⁹]{1,3}|[*†‡§])\s?\S")
 
 
-def usable_gate(words: DataFrame, key: str) -> DataFrame:
-    """Whether each page's words read as text: key, counts, and why they are declined. Built-in expressions only."""
-    t = F.col("text")
-    shown = words.where(~F.col("hidden")) if "hidden" in words.columns else words
-    bare = F.regexp_replace(t, r"^\P{L}+|\P{L}+$", "")
-    plain = bare.rlike("^[A-Za-z]{4,}$") & bare.rlike("[a-z]")
-    turned = F.bool_or("turned") if "turned" in words.columns else F.lit(False)
-    unmapped = F.bool_or(t.rlike("[\\x{FFFD}\\p{Cc}\\x{FDD0}-\\x{FDEF}]") | ((F.length(t) > 1) & t.rlike("\\p{Co}")))
-    pairs = F.sum(F.length(F.regexp_replace(t, "[\\x{C2}-\\x{F4}][\\x{80}-\\x{BF}€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸŽ]", "\x01\x01\x01")) - F.length(t))
-    sums = shown.groupBy(key).agg(
-        F.count(F.lit(1)).alias("words"), F.sum(F.length(t)).alias("chars"), F.sum(F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))).alias("letters"), F.count_if(plain).alias("plain"),
-        F.count_if(plain & ~bare.rlike("[aeiouyAEIOUY]")).alias("vowelless"), turned.alias("turned"), unmapped.alias("unmapped"), pairs.alias("pairs"),
-    )
+def _said(sums: DataFrame) -> DataFrame:
     answer = (
         F.when(F.col("turned"), "turned").when(F.col("unmapped"), "unmapped").when(F.col("pairs") >= MOJIBAKE_PAIRS, "decoded_twice").when(F.col("letters") < MIN_LETTERS * F.col("chars"), "not_letters")
         .when((F.col("plain") >= VOWEL_SAMPLE) & (F.col("vowelless") > MAX_VOWELLESS * F.col("plain")), "not_words").otherwise("usable")
@@ -49,6 +42,41 @@ def usable_gate(words: DataFrame, key: str) -> DataFrame:
     return sums.withColumn("answer", answer)
 
 
+#: Letters decoded twice: a lead byte's character and what a byte after it becomes.
+_TWICE = "[\\x{C2}-\\x{F4}][\\x{80}-\\x{BF}€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸŽ]"
+
+
+def usable_gate(words: DataFrame, key: str) -> DataFrame:
+    """Whether each page's words (key, text, and hidden and turned if any) read as text: key, counts, and why they are declined.
+
+    A page's shown words become one text for the gate. Null and empty words count as none; a page without others has no row.
+    """
+    shown = words.where(~F.col("hidden")) if "hidden" in words.columns else words
+    turned = F.bool_or("turned") if "turned" in words.columns else F.lit(False)
+    pages = shown.where("text <> ''").groupBy(key).agg(F.array_join(F.collect_list("text"), "\n").alias("__text"), turned.alias("turned"))
+    return usable_texts(pages, key, "__text", (r"\n", r"[^\n]"), "turned")
+
+
+def usable_texts(texts: DataFrame, key: str, text_col: str, blank: tuple[str, str] = (r"\s", r"\S"), turned: str | None = None) -> DataFrame:
+    """key, counts and answer of whole texts, their words parted by blank (patterns of a blank and of anything else).
+
+    Counts are taken in whole texts: no word is a row, and nothing is exchanged. A null text, or one without a word, has no
+    row; repeated rows are each given.
+    """
+    t, (empty, solid) = F.col(text_col), blank
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
+    left = lambda pattern: F.length(F.regexp_replace(t, pattern, "")).cast("long")
+    # Plain words are ASCII letters, four at least and a small one among them, once what isn't a letter is off their ends.
+    edge = rf"(?:(?!\p{{L}}){solid})*+"
+    plain = lambda letters: count(rf"(?<!{solid}){edge}(?=[A-Z]*[a-z]){letters}{{4,}}+{edge}(?!{solid})")
+    unmapped = rf"(?!{empty})[\x{{FFFD}}\p{{Cc}}\x{{FDD0}}-\x{{FDEF}}]|(?<={solid})\p{{Co}}|\p{{Co}}(?={solid})"
+    sums = texts.select(
+        key, count(rf"{solid}++").alias("words"), left(empty).alias("chars"), left(r"[^\p{L}\p{N}]+").alias("letters"), plain("[A-Za-z]").alias("plain"), plain("[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]").alias("vowelless"),
+        (F.col(turned) if turned else F.lit(False)).alias("turned"), t.rlike(unmapped).alias("unmapped"), count(_TWICE).alias("pairs"),
+    )
+    return _said(sums.where("words > 0"))
+
+
 # --- one page ------------------------------------------------------------------------------------------------------
 
 
@@ -64,217 +92,362 @@ class Word:
     bold: bool = False
 
 
-@dataclass(slots=True)
-class Line:
-    """Words from left to right."""
-
-    words: list[Word]
-    baseline: float = 0.0
-    x0: float = field(init=False)
-    y0: float = field(init=False)
-    x1: float = field(init=False)
-    y1: float = field(init=False)
-    size: float = field(init=False)
-    bold: bool = field(init=False)
-
-    def __post_init__(self):
-        self.words.sort(key=lambda w: w.x0)
-        self.x0, self.y0 = min(w.x0 for w in self.words), min(w.y0 for w in self.words)
-        self.x1, self.y1 = max(w.x1 for w in self.words), max(w.y1 for w in self.words)
-        self.bold = all(w.bold for w in self.words)
-        self.size = modal((w.size, len(w.text)) for w in self.words)
+class Page:
+    """A page's words as arrays, one field each."""
 
-    @property
-    def text(self) -> str:
-        return " ".join(w.text for w in self.words)
+    def __init__(self, text: list[str], fields: np.ndarray, bold: np.ndarray):
+        self.text = text
+        self.x0, self.y0, self.x1, self.y1, self.baseline, self.size = fields
+        self.bold = bold
+        self.chars = np.array([len(t) for t in text], np.int64)
 
-    @property
-    def marked(self) -> bool:
-        return len(self.words) > 1 and bool(MARKER.match(self.words[0].text))
+    @classmethod
+    def of(cls, words: list[Word]) -> Page:
+        fields = np.array([(w.x0, w.y0, w.x1, w.y1, w.baseline, w.size) for w in words], float).reshape(-1, 6).T
+        return cls([w.text for w in words], fields, np.array([w.bold for w in words], bool))
 
 
-def modal(pairs: Iterable[tuple[float, int]]) -> float:
+def modal(values: np.ndarray, weights: np.ndarray) -> float:
     """The value of the greatest weight, the greater of equals."""
-    weights: dict[float, int] = {}
-    for value, n in pairs:
-        weights[value] = weights.get(value, 0) + n
-    return max(weights, key=lambda v: (weights[v], v)) if weights else 0.0
+    if not len(values):
+        return 0.0
+    own, which = np.unique(values, return_inverse=True)
+    total = np.bincount(which, weights)
+    return float(own[np.flatnonzero(total == total.max())[-1]])
+
+
+class Lines:
+    """Lines, each a run of words from left to right, as arrays of what is measured on them."""
+
+    def __init__(self, page: Page, words: list[np.ndarray], baseline: Iterable[float]):
+        self.page, self.words, self.baseline = page, words, np.array(list(baseline), float)
+        n = np.array([len(w) for w in words], np.int64)
+        at = np.concatenate(words) if words else np.empty(0, np.int64)
+        heads = np.cumsum(n) - n
+        over = lambda f, x: f.reduceat(x[at], heads) if len(at) else np.empty(0)
+        self.x0, self.y0, self.x1, self.y1 = over(np.minimum, page.x0), over(np.minimum, page.y0), over(np.maximum, page.x1), over(np.maximum, page.y1)
+        self.bold = over(np.logical_and, page.bold).astype(bool)
+        self.n, self.chars = n, over(np.add, page.chars) + np.maximum(n - 1, 0)
+        self.size = over(np.maximum, page.size)
+        for i in np.flatnonzero(over(np.minimum, page.size) != self.size):
+            self.size[i] = modal(page.size[words[i]], page.chars[words[i]])
+        self.marked = np.array([len(w) > 1 and MARKER.match(page.text[w[0]]) is not None for w in words], bool)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def text(self, i: int) -> str:
+        return " ".join([self.page.text[w] for w in self.words[i]])
+
+    def picked(self, order: Sequence[int]) -> Lines:
+        return Lines(self.page, [self.words[i] for i in order], self.baseline[np.asarray(order, np.int64)])
 
 
-def lines_of(words: list[Word]) -> list[Line]:
+def lines_of(page: Page) -> Lines:
     """Words on one baseline; marks in small type beside a line are part of it."""
-    groups: list[tuple[float, float, list[Word]]] = []
-    for w in sorted(words, key=lambda w: (w.baseline, w.x0)):
-        if groups and w.baseline - groups[-1][0] <= LINE_DRIFT * min(w.size, groups[-1][1]):
-            groups[-1][2].append(w)
-        else:
-            groups.append((w.baseline, w.size, [w]))
-    lines = [Line(own, base) for base, _, own in groups]
-    sizes = sorted({x.size for x in lines})
-    for small in list(lines):
-        if small.size > SMALL_TYPE * sizes[-1]:
+    if not page.text:
+        return Lines(page, [], [])
+    order = np.lexsort((page.x0, page.baseline))
+    base, size = page.baseline[order], page.size[order]
+    # Runs of one baseline and size are on one line; only their first words are compared with lines.
+    runs = np.flatnonzero(np.concatenate([[True], (np.diff(base) != 0) | (np.diff(size) != 0)]))
+    heads = [0]
+    for i in runs[1:].tolist():
+        if base[i] - base[heads[-1]] > LINE_DRIFT * min(size[i], size[heads[-1]]):
+            heads.append(i)
+    by_x = lambda own: own[np.argsort(page.x0[own], kind="stable")]
+    lines = Lines(page, [by_x(own) for own in np.split(order, heads[1:])], base[heads])
+    hosts = SMALL_TYPE * lines.size.max()
+    gone, here = np.zeros(len(lines), bool), np.arange(len(lines))
+    for i in range(len(lines)):
+        if lines.size[i] > hosts:
             continue
-        for host in [x for x in lines if small.size <= SMALL_TYPE * x.size]:
-            over = host.y0 <= small.baseline <= host.y1 + LINE_DRIFT * host.size
-            if over and any(small.x0 <= w.x1 + host.size / 2 and small.x1 >= w.x0 - host.size / 2 for w in host.words):
-                lines[lines.index(host)] = Line(host.words + small.words, host.baseline)
-                lines.remove(small)
+        over = ~gone & (here != i) & (lines.size[i] <= SMALL_TYPE * lines.size) & (lines.y0 <= lines.baseline[i]) & (lines.baseline[i] <= lines.y1 + LINE_DRIFT * lines.size)
+        for j in np.flatnonzero(over).tolist():
+            own, slack = lines.words[j], lines.size[j] / 2
+            if ((lines.x0[i] <= page.x1[own] + slack) & (lines.x1[i] >= page.x0[own] - slack)).any():
+                one = Lines(page, [by_x(np.concatenate([own, lines.words[i]]))], [lines.baseline[j]])
+                lines.words[j], gone[i] = one.words[0], True
+                for name in ("x0", "y0", "x1", "y1", "size", "bold", "n", "chars", "marked"):
+                    getattr(lines, name)[j] = getattr(one, name)[0]
                 break
-    return lines
-
-
-def pieces_of(line: Line) -> list[Line]:
-    """A line's parts that stand apart; more room is left behind a list marker."""
-    parts = [[line.words[0]]]
-    for a, b in zip(line.words, line.words[1:], strict=False):
-        reach = BULLET_REACH if len(parts[-1]) == 1 and MARKER.match(a.text) else COLUMN_GAP
-        if b.x0 - a.x1 > reach * max(a.size, b.size):
-            parts.append([])
-        parts[-1].append(b)
-    return [Line(p, line.baseline) for p in parts]
-
-
-def gutters(rows: list[list[Line]]) -> list[tuple[float, float]]:
-    """Strips between pieces that every row of a run leaves clear."""
-    spans = sorted((p.x0, p.x1) for row in rows for p in row)
-    out, right = [], spans[0][1]
-    for a, z in spans[1:]:
-        if a - right >= MIN_GUTTER:
-            out.append((right, a))
-        right = max(right, z)
-    return out
+    return lines.picked(here[~gone].tolist())
 
 
-def is_prose(side: list[list[Line]]) -> bool:
-    own = [p for row in side for p in row]
-    widest = max(p.x1 - p.x0 for p in own)
-    full = sum(p.x1 - p.x0 >= FULL_LINE * widest for p in own)
-    return len(own) >= COLUMN_LINES and full >= FULL_LINES * len(own) and sum(len(p.words) for p in own) >= COLUMN_WORDS * len(own)
+def pieces_of(lines: Lines) -> tuple[Lines, np.ndarray]:
+    """The lines' parts that stand apart, and the line of each; more room is left behind a list marker."""
+    page, parts, line = lines.page, [], []
+    for i, own in enumerate(lines.words):
+        gap = page.x0[own[1:]] - page.x1[own[:-1]]
+        type_size = np.maximum(page.size[own[1:]], page.size[own[:-1]])
+        cuts = [0]
+        for k in (np.flatnonzero(gap > COLUMN_GAP * type_size) + 1).tolist():
+            if k - cuts[-1] > 1 or gap[k - 1] > BULLET_REACH * type_size[k - 1] or not MARKER.match(page.text[own[k - 1]]):
+                cuts.append(k)
+        parts += np.split(own, cuts[1:]) if len(cuts) > 1 else [own]
+        line += [i] * len(cuts)
+    line = np.array(line, np.int64)
+    return Lines(page, parts, lines.baseline[line]), line
 
 
-def reading_order(rows: list[list[Line]]) -> list[Line]:
-    """Rows downward; where the longest run from here leaves a gutter and both sides are prose, left before right."""
-    out: list[Line] = []
-    at = 0
-    while at < len(rows):
-        end, gutter = at + 1, None
-        if len(rows[at]) > 1:
-            while end < len(rows) and gutters(rows[at : end + 1]):
-                end += 1
-            clear = gutters(rows[at:end])
-            gutter = max(clear, key=lambda g: g[1] - g[0]) if clear else None
-        if gutter and end - at > 1:
-            middle = (gutter[0] + gutter[1]) / 2
-            sides = [[kept for row in rows[at:end] if (kept := [p for p in row if (p.x0 < middle) == left])] for left in (True, False)]
-            if all(side and is_prose(side) for side in sides):
-                for side in sides:
-                    out += reading_order(side)
-                at = end
+class Strips:
+    """The strips between pieces side by side, and the paper that no piece enters, of a run of rows.
+
+    A strip that holds another is clear where that one is, so only the inmost ones are looked at, by their left ends.
+    """
+
+    def __init__(self):
+        self.clear: list[tuple[float, float]] = [(-math.inf, math.inf)]
+        self.all: list[tuple[float, float]] = []
+        self.inmost: list[tuple[float, float]] = []
+
+    def after(self, spans: list[tuple[float, float]], more: list[tuple[float, float]]) -> Strips:
+        new = Strips()
+        new.clear = list(self.clear)
+        for lo, hi in spans:
+            i = max(0, bisect.bisect_right(new.clear, (lo, math.inf)) - 1)
+            j = i
+            while j < len(new.clear) and new.clear[j][0] < hi:
+                j += 1
+            new.clear[i:j] = [(a, z) for own in new.clear[i:j] for a, z in ((own[0], min(own[1], lo)), (max(own[0], hi), own[1])) if a < z]
+        new.all, new.inmost = self.all + more if more else self.all, list(self.inmost)
+        for lo, hi in more:
+            i = bisect.bisect_left(new.inmost, (lo, -math.inf))
+            if i < len(new.inmost) and new.inmost[i][1] <= hi:
                 continue
-        out += rows[at]
-        at += 1
+            j = i
+            while j and new.inmost[j - 1][1] >= hi:
+                j -= 1
+            new.inmost[j:i] = [(lo, hi)]
+        return new
+
+    def parted(self) -> bool:
+        """Whether every strip still holds a stretch of clear paper as wide as a gutter."""
+        at = 0
+        for lo, hi in self.inmost:
+            while at < len(self.clear) and self.clear[at][1] < lo + MIN_GUTTER:
+                at += 1
+            k = at
+            while k < len(self.clear) and min(hi, self.clear[k][1]) - max(lo, self.clear[k][0]) < MIN_GUTTER and self.clear[k][0] < hi:
+                k += 1
+            if k == len(self.clear) or min(hi, self.clear[k][1]) - max(lo, self.clear[k][0]) < MIN_GUTTER:
+                return False
+        return True
+
+    def widest(self) -> tuple[float, float] | None:
+        if not self.all:
+            return None
+        s, c = np.array(self.all), np.array(self.clear)
+        lo, hi = np.maximum(s[:, :1], c[None, :, 0]), np.minimum(s[:, 1:], c[None, :, 1])
+        best = int(np.argmax(hi - lo))
+        lo, hi = float(lo.flat[best]), float(hi.flat[best])
+        return (lo, hi) if hi - lo >= MIN_GUTTER else None
+
+
+#: The share of the lower of two pieces that lies beside the other, and how far a stray line stands off, in pitches.
+SIDE_BY_SIDE, MAX_STRAY = 0.3, 1.5
+
+
+def band(pieces: Lines, rows: list[list[int]]) -> tuple[int, tuple[float, float] | None]:
+    """How many of the rows (pieces, downward) share their gutters, and the widest one."""
+    held = Strips()
+    # Pieces above that reach down to the row at hand; rows come by their tops, so the others never meet another row.
+    beside: list[int] = []
+    for n, row in enumerate(rows):
+        top = min(pieces.y0[i] for i in row)
+        beside = [i for i in beside if pieces.y1[i] > top]
+        more = [(pieces.x1[a], pieces.x0[b]) for a, b in zip(row, row[1:], strict=False)]
+        for i in beside:
+            for j in row:
+                lap = min(pieces.y1[i], pieces.y1[j]) - max(pieces.y0[i], pieces.y0[j])
+                if lap <= SIDE_BY_SIDE * min(pieces.y1[i] - pieces.y0[i], pieces.y1[j] - pieces.y0[j]):
+                    continue
+                a, b = (i, j) if pieces.x1[i] <= pieces.x0[j] else (j, i)
+                if pieces.x1[a] > pieces.x0[b]:
+                    return n, held.widest()
+                more.append((pieces.x1[a], pieces.x0[b]))
+        new = held.after([(pieces.x0[i], pieces.x1[i]) for i in row], more)
+        if n and not new.parted():
+            return n, held.widest()
+        held = new
+        beside += row
+    return len(rows), held.widest()
+
+
+def is_prose(pieces: Lines, side: list[list[int]]) -> bool:
+    """Whether one side of a gutter is a column of prose: lines enough, most as wide as the column, words enough."""
+    own = np.concatenate(side)
+    wide = pieces.x1[own] - pieces.x0[own]
+    return len(own) >= COLUMN_LINES and np.mean(wide >= FULL_LINE * wide.max()) >= FULL_LINES and pieces.n[own].mean() >= COLUMN_WORDS
+
+
+def is_stray(pieces: Lines, left: list[list[int]], right: list[list[int]]) -> bool:
+    """Whether the order of columns may misplace a line: one on the left that begins below the right side's end, or one on the
+    right that ends above the left side's start, and that stands off its column by more than MAX_STRAY pitches."""
+    tops = [np.array([pieces.y0[row].min() for row in side]) for side in (left, right)]
+    steps = [np.diff(t) for t in tops]
+    pitch = [np.sort(s)[len(s) // 2] if len(s) else 0.0 for s in steps]
+    below = np.flatnonzero(tops[0][1:] >= pieces.y1[np.concatenate(right)].max())
+    ends = np.array([pieces.y1[row].max() for row in right])
+    above = np.flatnonzero(ends[:-1] <= pieces.y0[np.concatenate(left)].min())
+    return bool(len(below) and steps[0][below[0]] > MAX_STRAY * pitch[0]) or bool(len(above) and steps[1][above[-1]] > MAX_STRAY * pitch[1])
+
+
+class Declined(ValueError):
+    """A page whose order can't be told."""
+
+
+def reading_order(pieces: Lines, row_of: np.ndarray) -> list[int]:
+    """The pieces' order: rows downward, and where a run of rows leaves a gutter between columns of prose, left before right."""
+    top = np.full(int(row_of.max(initial=-1)) + 1, math.inf)
+    np.minimum.at(top, row_of, pieces.y0)
+    rows: list[list[int]] = [[] for _ in top]
+    for i, r in enumerate(row_of.tolist()):
+        rows[r].append(i)
+    todo = [[rows[r] for r in np.argsort(top, kind="stable").tolist()]]
+    out: list[int] = []
+    while todo:
+        rows = todo.pop()
+        n, gutter = band(pieces, rows)
+        head, rest = rows[:n], rows[n:]
+        if rest:
+            todo.append(rest)
+        if gutter is None or n == 1:
+            out += [i for row in head for i in row]
+            continue
+        left, right = ([own for row in head if (own := [i for i in row if (pieces.x0[i] >= gutter[1]) == after])] for after in (False, True))
+        if not (is_prose(pieces, left) and is_prose(pieces, right)):
+            raise Declined("text stands side by side and is neither columns of prose nor a ruled table")
+        if is_stray(pieces, left, right):
+            raise Declined("a line beside the columns may belong under them")
+        todo += [right, left]
     return out
 
 
 @dataclass
 class Block:
-    lines: list[Line]
-    above: float = 0.0
+    lines: list[str]
+    size: float
+    bold: bool
+    marked: bool
     kind: str = "text"
     level: int = 0
 
-    @property
-    def size(self) -> float:
-        return self.lines[0].size
-
     @property
     def text(self) -> str:
-        return join_lines([x.text for x in self.lines])
+        return join_lines(self.lines)
 
 
 def join_lines(lines: list[str]) -> str:
     """Lines of a paragraph as one: a soft hyphen goes, a hyphen inside a word stays without a blank."""
-    out = ""
-    for text in lines:
-        if out.endswith("­"):
-            out = out[:-1] + text
-        elif out.endswith("-") and out[-2:-1].isalpha() and text[:1].islower():
-            out += text
-        else:
-            out = f"{out} {text}" if out else text
-    return out
-
-
-def goes_on(block: Block, line: Line) -> bool:
-    first, last = block.lines[0], block.lines[-1]
-    pitch, single = line.baseline - last.baseline, len(block.lines) == 1
-    if line.marked or pitch <= 0 or abs(line.size - block.size) > SAME * block.size or line.bold != first.bold:
-        return False
-    if single and (pitch > MAX_LEADING * block.size or 0 < (1 + SAME) * block.above < pitch):
-        return False
-    if not single and pitch > PITCH_SLACK * (block.lines[1].baseline - first.baseline):
-        return False
-    shift = (line.x0 - (first.x0 if single or first.marked else block.lines[1].x0)) / block.size
-    if first.marked:
-        return -INDENT <= shift <= BULLET_REACH
-    return shift <= INDENT if single else abs(shift) <= INDENT
-
-
-def paragraphs(lines: list[Line]) -> list[Block]:
-    out: list[Block] = []
-    before: Line | None = None
-    for line in lines:
-        if out and goes_on(out[-1], line):
-            out[-1].lines.append(line)
-        else:
-            near = before is not None and line.baseline > before.baseline and abs(before.size - line.size) <= SAME * line.size
-            out.append(Block([line], line.baseline - before.baseline if near else 0.0))
-        before = line
-    return out
+    out = lines[:1]
+    for text in lines[1:]:
+        last = out[-1]
+        if last.endswith("\u00ad"):
+            out[-1] = last[:-1]
+        elif not (last.endswith("-") and last[-2:-1].isalpha() and text[:1].islower()):
+            out.append(" ")
+        out.append(text)
+    return "".join(out)
+
+
+def paragraph_ends(lines: Lines) -> Iterator[tuple[int, int]]:
+    """Where paragraphs begin and end, of lines in the order they are read in.
+
+    What two neighbours must have in common is tested for all lines at once; what a line must have in common with the
+    first two of its paragraph, for stretches that double until one ends it.
+    """
+    n = len(lines)
+    pitch = np.diff(lines.baseline, prepend=lines.baseline[:1])
+    alike = np.abs(np.diff(lines.size, prepend=lines.size[:1])) <= SAME * lines.size
+    above = np.where((pitch > 0) & alike, pitch, 0.0)
+    joins = (pitch > 0) & ~lines.marked
+    at = 0
+    while at < n:
+        size, first = lines.size[at], lines.x0[at]
+        low, high = (-INDENT, BULLET_REACH) if lines.marked[at] else (-math.inf, INDENT)
+        end = at + 1
+        leading = min(MAX_LEADING * size, (1 + SAME) * above[at] if above[at] > 0 else math.inf)
+        if end < n and joins[end] and abs(lines.size[end] - size) <= SAME * size and lines.bold[end] == lines.bold[at] and pitch[end] <= leading and low * size <= lines.x0[end] - first <= high * size:
+            # Where the lines begin is told by the second one, or by a list marker.
+            left, low = (first, low) if lines.marked[at] else (lines.x0[end], -INDENT)
+            slack, step = PITCH_SLACK * pitch[end], 16
+            end += 1
+            while end < n:
+                own = slice(end, min(n, end + step))
+                off = lines.x0[own] - left
+                fits = joins[own] & (np.abs(lines.size[own] - size) <= SAME * size) & (lines.bold[own] == lines.bold[at]) & (pitch[own] <= slack) & (off >= low * size) & (off <= high * size)
+                if not fits.all():
+                    end += int(np.argmin(fits))
+                    break
+                end, step = own.stop, 2 * step
+        yield at, end
+        at = end
 
 
-def label(blocks: list[Block]) -> None:
+def label(blocks: list[Block], body: float, bold_body: bool) -> None:
     """Kinds by type: larger or bold is a heading, the largest alone a title."""
-    body = modal((x.size, len(x.text)) for b in blocks for x in b.lines)
-    chars = sum(len(x.text) for b in blocks for x in b.lines)
-    bold_body = 2 * sum(len(x.text) for b in blocks for x in b.lines if x.bold) > chars
     for b in blocks:
-        first = b.lines[0]
-        if b.size >= HEADING * body or (first.bold and not bold_body and b.size >= body and len(b.lines) <= HEADING_LINES):
+        short = len(b.lines) <= HEADING_LINES
+        if b.size >= HEADING * body or (b.bold and not bold_body and b.size >= body and short):
             b.kind = "heading"
-        elif first.marked:
+        elif b.marked:
             b.kind = "list_item"
         elif b.size < body and NOTED.match(b.text):
             b.kind = "footnote"
-        elif len(b.lines) <= HEADING_LINES and CAPTIONED.match(b.text) and b.size < body:
+        elif b.size < body and short and CAPTIONED.match(b.text):
             b.kind = "caption"
-    sizes = sorted({b.size for b in blocks if b.kind == "heading"}, reverse=True)
-    for b in blocks:
-        if b.kind == "heading":
-            b.level = min(sizes.index(b.size) + 1, 6)
-    largest = [b for b in blocks if b.kind == "heading" and b.level == 1]
+    heads = [b for b in blocks if b.kind == "heading"]
+    rank = {size: i + 1 for i, size in enumerate(sorted({b.size for b in heads}, reverse=True))}
+    for b in heads:
+        b.level = min(rank[b.size], 6)
+    largest = [b for b in heads if b.level == 1]
     if len(largest) == 1 and largest[0].size >= TITLE * body:
         largest[0].kind = "title"
 
 
-def read_page(words: list[Word]) -> list[Block]:
-    rows = [pieces_of(x) for x in sorted(lines_of(words), key=lambda x: x.y0)]
-    out = paragraphs(reading_order(rows))
-    label(out)
+def page_of(page: Page) -> list[Block]:
+    """A page's blocks in the order they are read in; Declined if that can't be told."""
+    pieces, row_of = pieces_of(lines_of(page))
+    lines = pieces.picked(reading_order(pieces, row_of))
+    out = [Block([lines.text(i) for i in range(a, z)], float(lines.size[a]), bool(lines.bold[a]), bool(lines.marked[a])) for a, z in paragraph_ends(lines)]
+    label(out, modal(lines.size, lines.chars), 2 * int(lines.chars[lines.bold].sum()) > int(lines.chars.sum()))
     return out
 
 
-def page_blocks(words: DataFrame) -> DataFrame:
-    """page, ord, kind, level, text, lines of each page. words: page, text, x0, y0, x1, y1, baseline, size, bold."""
+def read_page(words: list[Word]) -> list[Block]:
+    return page_of(Page.of(words))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = ["text", "x0", "y0", "x1", "y1", "baseline", "size", "bold"]
-        found = read_page([Word(*r) for r in pdf[names].itertuples(index=False, name=None)])
-        return pd.DataFrame(
-            {"page": pdf.page.iloc[0], "ord": range(1, len(found) + 1), "kind": [b.kind for b in found], "level": [b.level for b in found], "text": [b.text for b in found], "lines": [len(b.lines) for b in found]}
-        )
 
-    return words.groupBy("page").applyInPandas(run, "page long, ord int, kind string, level int, text string, lines int")
+def page_blocks(words: DataFrame) -> DataFrame:
+    """page, ord, kind, level, text, lines, declined of each page. words: page, text, x0, y0, x1, y1, baseline, size, bold.
+
+    A page whose order can't be told has one row: ord 0, and the reason in declined. Words with a null text, place or size are
+    left out (a null bold is false); a page without others has no row, nor has an empty table. Repeated words are each read.
+    """
+    numbers = ["x0", "y0", "x1", "y1", "baseline", "size"]
+    known = [F.col(n).isNotNull() & ~F.isnan(n) for n in numbers]
+    own = words.where(functools.reduce(lambda a, b: a & b, known, F.col("text").isNotNull())).select("page", "text", *[F.col(n).cast("double") for n in numbers], F.coalesce("bold", F.lit(False)).alias("bold"))
+    # One row a page: its words as arrays, each in the same order.
+    pages = own.groupBy("page").agg(F.collect_list(F.struct("text", *numbers, "bold")).alias("words"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for number, at in zip(batch.column(0).to_pylist(), range(batch.num_rows), strict=True):
+                w = batch.column(1)[at].values
+                fields = np.array([w.field(n).to_numpy(zero_copy_only=False) for n in numbers])
+                try:
+                    found = page_of(Page(w.field("text").to_pylist(), fields, w.field("bold").to_numpy(zero_copy_only=False)))
+                    out += [(number, i + 1, b.kind, b.level, b.text, len(b.lines), None) for i, b in enumerate(found)]
+                except Declined as why:
+                    out.append((number, 0, None, 0, None, 0, str(why)))
+            types = [batch.column(0).type, pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+            columns = zip(*out, strict=True) if out else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page", "ord", "kind", "level", "text", "lines", "declined"])
+
+    fields = T._parse_datatype_string("ord int, kind string, level int, text string, lines int, declined string").fields
+    return pages.mapInArrow(run, T.StructType([own.schema["page"], *fields]))
 
 
 def words_of_documents(docs: DataFrame, size: float = 10.0) -> DataFrame:

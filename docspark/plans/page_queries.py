@@ -151,10 +151,8 @@ def page_validation(spark, sf_dir):
   s AS (SELECT doc_id, count(*) AS words, CAST(sum(n) AS BIGINT) AS chars, CAST(sum(letters) AS BIGINT) AS letters, count(*) FILTER (regexp_matches(bare, '^[A-Za-z]{4,}$') AND regexp_matches(bare, '[a-z]')) AS plain, count(*) FILTER (regexp_matches(bare, '^[A-Za-z]{4,}$') AND regexp_matches(bare, '[a-z]') AND NOT regexp_matches(bare, '[aeiouyAEIOUY]')) AS vowelless FROM v GROUP BY 1)
   SELECT doc_id, words, chars, letters, plain, vowelless, CASE WHEN letters < 0.5 * chars THEN 'not_letters' WHEN plain >= 20 AND vowelless > 0.15 * plain THEN 'not_words' ELSE 'usable' END AS answer FROM s""")
 def text_usable_gate(spark, sf_dir):
-    prepare(spark)
-    d = table(spark, sf_dir, "documents")
-    words = d.select("doc_id", F.explode(F.split("text", r"\s+")).alias("text")).where("text <> ''")
-    return E.usable_gate(words, "doc_id").select("doc_id", "words", "chars", "letters", "plain", "vowelless", "answer")
+    d = table(prepare(spark), sf_dir, "documents")
+    return E.usable_texts(d, "doc_id", "text").select("doc_id", "words", "chars", "letters", "plain", "vowelless", "answer")
 
 
 @ENTRIES.add()

@@ -3,6 +3,7 @@
 import io
 import json
 import struct
+import time
 import zipfile
 import zlib
 
@@ -234,17 +235,18 @@ def test_spans(spark):
 def test_chunks_keep_headings_with_what_follows():
     block = lambda ref, kind, text, page=1, cells=None: {"page": page, "ref": ref, "kind": kind, "text": text, "cells": cells}
     doc = [block("1.1", "title", "A"), block("1.2", "heading", "B"), block("1.3", "text", "é" * 50), block("1.4", "page_footer", "f"), block("1.5", "heading", "C"), block("2.1", "text", "d" * 300, 2)]
-    assert [(c.refs, c.pages) for c in D.cut(doc, "section", 200)] == [(["1.1", "1.2", "1.3"], [1]), (["1.5", "2.1"], [1, 2])]
-    assert [c.refs for c in D.cut(doc, "page", 1000)] == [["1.1", "1.2", "1.3", "1.5"], ["2.1"]]
+    refs = lambda own, by, most: [c["refs"] for c in D.cut(own, by, most)]
+    assert [(c["refs"], c["pages"]) for c in D.cut(doc, "section", 200)] == [(["1.1", "1.2", "1.3"], [1]), (["1.5", "2.1"], [1, 2])]
+    assert refs(doc, "page", 1000) == [["1.1", "1.2", "1.3", "1.5"], ["2.1"]]
     heads = [block(f"1.{i}", "heading", "h" * 90) for i in range(6)]
-    assert [len(c.refs) for c in D.cut(heads, "section", 200)] == [3, 3]
+    assert [len(own) for own in refs(heads, "section", 200)] == [3, 3]
     cells = [{"row": r, "col": c, "header": r == 0, "text": f"{r}{c}" * 10} for r in range(12) for c in range(2)]
     table = block("1.2", "table", "x" * 600, 1, cells)
-    parts = list(D.cut([block("1.1", "heading", "H"), table, block("1.3", "text", "z")], "section", 200))
-    assert parts[0].refs == ["1.1", "1.2"] and all(c.refs == ["1.2"] for c in parts[1:-1]) and parts[-1].refs == ["1.3"]
+    parts = D.cut([block("1.1", "heading", "H"), table, block("1.3", "text", "z")], "section", 200)
+    assert parts[0]["refs"] == ["1.1", "1.2"] and all(c["refs"] == ["1.2"] for c in parts[1:-1]) and parts[-1]["refs"] == ["1.3"]
     head = "00" * 10 + " | " + "01" * 10
-    assert all(head in "\n\n".join(c.texts) for c in parts[:-1])
-    lines = [x for c in parts[:-1] for t in c.texts for x in t.split("\n") if x not in (head, "H")]
+    assert all(head in "\n\n".join(c["texts"]) for c in parts[:-1])
+    lines = [x for c in parts[:-1] for t in c["texts"] for x in t.split("\n") if x not in (head, "H")]
     assert lines == [f"{r}0" * 10 + " | " + f"{r}1" * 10 for r in range(1, 12)]
 
 
@@ -257,6 +259,23 @@ def test_windows_cut_sections_then_blocks_then_text():
     assert all(len(t.encode()) <= 26 for t, _ in long) and "".join(t.removeprefix("[2.1] ") for t, _ in long) == "é" * 30
 
 
+PARSED = "parse_id long, page int, ord int, ref string, state string, kind string, text string"
+
+
+def test_chunks_and_windows_of_odd_rows(spark):
+    rows = [(1, 1, 1, "1.1", "succeeded", "text", None), (2, 1, 1, "1.1", "failed", "text", "a"), (3, 1, 1, "1.1", "succeeded", "page_header", "b"), (4, 1, 1, "1.1", "succeeded", "text", "c"), (4, 1, 1, "1.1", "succeeded", "text", "c"), (5, 1, 1, "1.1", "succeeded", "text", "日" * 70_000), (6, 1, 1, "1.1", "succeeded", None, "d")]
+    blocks = spark.createDataFrame(rows, PARSED)
+    for by in ("section", "page"):
+        found = {r.parse_id: (r.id, r.text, r.pages, r.blocks) for r in D.chunks(blocks, by, 200).collect()}
+        assert found == {4: ("c1", "c\n\nc", [1], ["1.1"]), 5: ("c1", "日" * 70_000, [1], ["1.1"]), 6: ("c1", "d", [1], ["1.1"])}
+    own = {}
+    for r in D.windows(blocks, 8000).collect():
+        own.setdefault(r.parse_id, {})[r.window] = (r.text, r.refs, r.code)
+    assert own[4] == {1: ("[1.1] c\n[1.1] c", ["1.1"], None)} and 1 not in own and len(own[5]) == 27
+    assert "".join(own[5][i][0].removeprefix("[1.1] ") for i in range(1, 28)) == "日" * 70_000 and {r.code for r in D.windows(blocks, 4000).where("parse_id = 5").collect()} == {"too_many_pages"}
+    assert D.chunks(blocks.where("false")).count() == 0 and D.windows(blocks.where("false"), 9).count() == 0
+
+
 def test_table_renderings(spark):
     cells = [(0, 0, 1, 2, True, "A & B"), (1, 0, 1, 1, False, "x|y"), (1, 1, 1, 1, False, "z")]
     df = spark.createDataFrame([((2, 2, cells),)], f"table struct<rows:int,cols:int,cells:{texts.CELLS}>")
@@ -295,12 +314,10 @@ def test_miss_texts(spark):
 
 
 def test_merging_moves_citations():
-    m = E.Merger()
-    m.add({"a": 1, "l": [{"x": 1}], "n": None}, {"/a": ["1.1"], "/l/0/x": ["1.2"]})
-    m.add({"a": 2, "l": [{"x": 2}, {"x": 1.0}], "n": "s"}, {"/a": ["2.1"], "/l/0": ["2.2"], "/l/1": ["2.3"], "/n": ["2.4"]})
-    m.add({"a": 1}, {"/a": ["3.1", "1.1"]})
-    data, citations = m.result()
-    assert json.loads(data) == {"a": 1, "l": [{"x": 1}, {"x": 2}], "n": "s"}
+    one = ({"a": 1, "l": [{"x": 1}], "n": None}, {"/a": ["1.1"], "/l/0/x": ["1.2"]})
+    two = ({"a": 2, "l": [{"x": 2}, {"x": 1.0}], "n": "s"}, {"/a": ["2.1"], "/l/0": ["2.2"], "/l/1": ["2.3"], "/n": ["2.4"]})
+    data, citations = E.merged([one, two, ({"a": 1}, {"/a": ["3.1", "1.1"]})])
+    assert data == {"a": 1, "l": [{"x": 1}, {"x": 2}], "n": "s"}
     assert citations == {"/a": ["1.1", "3.1"], "/l/0/x": ["1.2"], "/l/1": ["2.2"], "/l/0": ["2.3"], "/n": ["2.4"]}
     assert E.cited({"a/b": [1]}, {"/a~1b/0": ["1.1", "9.9"], "/c": ["1.1"], "": ["1.1", "1.1"]}, ["1.1"]) == {"/a~1b/0": ["1.1"], "": ["1.1"]}
 
@@ -316,7 +333,65 @@ def test_merging_moves_citations():
     ],
 )
 def test_validation(schema, value, rules):
-    assert [f["rule"] for f in E.check(json.dumps(value), E.compile_schema(json.dumps(schema)))] == rules
+    # A schema's root is an object's, so the case is a member of one.
+    root = {"type": "object", "properties": {"v": {k: x for k, x in schema.items() if k != "$defs"}}, "$defs": schema.get("$defs", {})}
+    assert [f["rule"] for f in E.check(json.dumps({"v": value}), E.compile_schema(json.dumps(root)))] == rules
+
+
+def test_parts_that_cannot_be_read_are_passed_over(spark):
+    rows = [(1, 1, '{"a": 1', None), (1, 2, '{"a": 2, "t": "\\ud800"}', "no json"), (1, 3, None, None), (2, 1, "null", None), (3, 1, "[" * 200, '{"": 5}'), (4, 1, '{"b": null}', '{"/b": ["1.1", 3]}'), (4, 1, '{"b": null}', '{"/b": ["1.1", 3]}')]
+    found = E.merge(spark.createDataFrame(rows, "id long, window int, data string, citations string"), ["id"])
+    assert {r.id: (r.data, r.citations, r.unread) for r in found.collect()} == {1: ('{"a": 2, "t": "\ufffd"}', "{}", 2), 2: ("{}", "{}", 0), 3: ("{}", "{}", 1), 4: ('{"b": null}', '{"/b": ["1.1"]}', 0)}
+    assert E.merge(spark.createDataFrame([], "id long, window int, data string, citations string"), ["id"]).count() == 0
+
+
+def chained(n):
+    links = {f"a{i}": {"allOf": [{"$ref": f"#/$defs/a{i + 1}"}] * 2} for i in range(n)}
+    return {"type": "object", "$ref": "#/$defs/a0", "$defs": links | {f"a{n}": {"type": "object"}}}
+
+
+@pytest.mark.parametrize(
+    ("schema", "why"),
+    [
+        ({"type": "object", "$ref": "#"}, "without end"), ({"type": "object", "not": {"$ref": "#"}}, "without end"), ({"type": "object", "if": True, "then": {"$ref": "#"}}, "without end"), ({"type": "object", "dependentSchemas": {"a": {"$ref": "#"}}}, "without end"),
+        ({"type": "object", "$ref": "#/$defs/a", "$defs": {"a": {"$ref": "#/$defs/b"}, "b": {"$ref": "#/$defs/a"}}}, "without end"), (chained(40), "more than 256"), (chained(7), "more than 256"),
+        ({"type": "object", "oneOf": [{"$ref": "#/$defs/a"}] * 128, "$defs": {"a": {"type": "object"}}}, "more than 256"), ({"type": "array"}, "root"), ({"items": {}}, "root"), ({"type": "object", "$schema": "http://json-schema.org/draft-07/schema#"}, "dialect"),
+        ({"type": "object", "multipleOf": 0}, "multipleOf"), ({"type": "object", "properties": []}, "properties"), ({"type": "object", "required": "a"}, "required"), ({"type": "object", "pattern": "(?=a)"}, "pattern"), ({"type": "object", "pattern": "("}, "pattern"), ({"type": "object", "pattern": "(a{900}){900}"}, "steps"),
+        ({"type": "object", "patternProperties": {f"{c}{{1000}}": {} for c in "abcdefghijklmnopq"}}, "steps"), ({"type": "object", "$id": "x"}, "$id"), ({"type": "object", "minLength": -1}, "minLength"), ({"type": "object", "type2": 1}, "type2"),
+    ],
+)
+def test_schemas_that_cannot_be_held_are_refused(schema, why):
+    with pytest.raises(E.Refused, match=why.replace("$", r"\$")):
+        E.compile_schema(json.dumps(schema))
+
+
+def test_schemas_that_end_are_taken():
+    assert E.applied(dict(E.subschemas(chained(6))))[""] == 254 and E.compile_schema(json.dumps(chained(6)))
+    tree = {"type": "object", "required": ["title"], "additionalProperties": False, "properties": {"title": {"type": "string"}, "first": {"$ref": "#"}, "sections": {"type": "array", "items": {"$ref": "#"}}}}
+    own = E.compile_schema(json.dumps(tree))
+    assert E.check('{"title":"1","first":{"title":"1.1"},"sections":[{"title":"1.1","sections":[{"title":"a"}]}]}', own) == []
+    found = E.check('{"title":"1","sections":[{"title":"1.1","sections":[{"title":7},{"name":"x"}]}]}', own)
+    assert {(f["pointer"], f["rule"]) for f in found} == {("/sections/0/sections/0/title", "type"), ("/sections/0/sections/1", "required"), ("/sections/0/sections/1/name", "additionalProperties")}
+
+
+def test_patterns_take_linear_time():
+    own = E.compile_schema(json.dumps({"type": "object", "properties": {"a": {"pattern": "^(a+)+$"}, "b": {"pattern": "^\\p{L}{2,}$"}}}))
+    began = time.perf_counter()
+    assert [f["pointer"] for f in E.check(json.dumps({"a": "a" * 5000 + "!", "b": "été"}), own)] == ["/a"]
+    assert time.perf_counter() - began < 1
+
+
+def test_findings_of_rows_that_are_no_json(spark):
+    schema = {"type": "object", "properties": {"a": {"type": "array", "items": {"$ref": "#/$defs/n"}}}, "$defs": {"n": {"type": "array", "items": {"$ref": "#/$defs/n"}}}}
+    rows = [(1, None), (2, ""), (3, "{"), (4, '{"a": []}'), (5, '{"a": ' + "[" * 60 + "]" * 60 + "}"), (6, '{"a": ' + "[" * 900 + "]" * 900 + "}"), (7, '{"a": 3}')]
+    found = spark.createDataFrame(rows, "id int, t string").select("id", E.findings(F.col("t"), schema)["rule"].alias("rules"))
+    assert {r.id: r.rules for r in found.collect()} == {1: ["refused"], 2: ["refused"], 3: ["refused"], 4: [], 5: [], 6: ["refused"], 7: ["type"]}
+
+
+def test_constrainable():
+    closed = {"type": "object", "properties": {"a": {"anyOf": [{"type": "string"}, {"type": "null"}]}, "l": {"items": {"$ref": "#/$defs/x"}}}, "additionalProperties": False, "$defs": {"x": {"enum": [1]}}}
+    assert E.constrainable(closed) and E.constrainable({"type": "object", "default": {}, "examples": []})
+    assert not any(map(E.constrainable, (True, closed | {"additionalProperties": True}, closed | {"minProperties": 1}, {"items": True}, {"anyOf": []}, {"$defs": {"x": {"minimum": 1}}})))
 
 
 def test_parts_of_a_document_need_not_be_whole():
@@ -416,6 +491,57 @@ def test_paragraphs_headings_and_lists():
     assert LY.join_lines(["soft­", "ened", "-", "x"]) == "softened - x"
 
 
+def test_side_by_side_text_that_is_no_prose_is_declined():
+    rows = [(50, 100 + 12 * i, "label") for i in range(6)] + [(300, 100 + 12 * i, "9") for i in range(6)]
+    with pytest.raises(LY.Declined, match="side by side"):
+        LY.read_page(words_at(rows))
+    body = "several words of plain prose here"
+    columns = [(50, 100 + 12 * i, f"l{i} {body}") for i in range(6)] + [(300, 100 + 12 * i, f"r{i} {body}") for i in range(6)]
+    # The line under the left column may belong to either column.
+    with pytest.raises(LY.Declined, match="under them"):
+        LY.read_page(words_at([*columns, (50, 230, f"stray {body}")]))
+    assert LY.read_page(words_at([*columns, (50, 172, f"next {body}")]))[0].text.endswith(f"next {body}")
+    heading = LY.read_page(words_at([(50, 60, "one long line above both of the columns that spans all of the page from left to right"), *columns, (50, 220, "and a line below them that spans all of the page, from its left edge to its right")]))
+    assert [b.text.split()[0] for b in heading] == ["one", "l0", "r0", "and"]
+
+
+def test_three_columns_are_read_in_turn():
+    body = "some words of prose in it"
+    rows = [(50 + 200 * c, 100 + 12 * i, f"c{c}l{i} {body}") for c in range(3) for i in range(5)]
+    text = " ".join(b.text for b in LY.read_page(words_at(rows)))
+    assert [text.index(f"c{c}l{i}") for c in range(3) for i in range(5)] == sorted(text.index(f"c{c}l{i}") for c in range(3) for i in range(5))
+
+
+def test_large_pages_take_little_time():
+    prose = [LY.Word("words", 50 + 250 * c + 30 * k, 12.0 * i, 75 + 250 * c + 30 * k, 12.0 * i + 10, 12.0 * i + 10, 10.0) for i in range(800) for c in range(2) for k in range(5)]
+    cells = [LY.Word("w", 50 + 60 * (i % 40), 12.0 * (i // 40), 60 + 60 * (i % 40), 12.0 * (i // 40) + 10, 12.0 * (i // 40) + 10, 10.0) for i in range(8000)]
+    began = time.perf_counter()
+    assert len(LY.read_page(prose)) == 2
+    with pytest.raises(LY.Declined):
+        LY.read_page(cells)
+    assert time.perf_counter() - began < 2
+
+
+def test_pages_of_odd_words(spark):
+    schema = "page long, text string, x0 double, y0 double, x1 double, y1 double, baseline double, size double, bold boolean"
+    rows = [(1, None, 0.0, 0.0, 5.0, 10.0, 10.0, 10.0, False), (2, "a", None, 0.0, 5.0, 10.0, 10.0, 10.0, False), (3, "a", 0.0, 0.0, 5.0, 10.0, 10.0, 10.0, None), (3, "a", 0.0, 0.0, 5.0, 10.0, 10.0, 10.0, None)]
+    rows += [(4, w.text, w.x0, w.y0, w.x1, w.y1, w.baseline, w.size, w.bold) for w in words_at([(50, 100 + 12 * i, "label") for i in range(6)] + [(300, 100 + 12 * i, "9") for i in range(6)])]
+    found = {r.page: (r.ord, r.kind, r.text, r.lines, r.declined) for r in LY.page_blocks(spark.createDataFrame(rows, schema)).collect()}
+    assert found[3] == (1, "text", "a a", 1, None) and found[4][:4] == (0, None, None, 0) and "side by side" in found[4][4] and set(found) == {3, 4}
+    assert LY.page_blocks(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_text_gate(spark):
+    word = "qwrtz"
+    cases = {"usable": "plain words of a text", "not_letters": "a 1 --- === ...", "not_words": " ".join([word] * 20), "decoded_twice": "cafÃ© and thÃ© again", "unmapped": "a b\ufffdc"}
+    df = spark.createDataFrame([*cases.items(), ("none", None), ("blank", " \n ")], "id string, text string")
+    assert {r.id: r.answer for r in LY.usable_texts(df, "id", "text").collect()} == {k: k for k in cases}
+    words = spark.createDataFrame([(k, w, False, k == "turned") for k, t in [*cases.items(), ("turned", "a")] for w in t.split()] + [("usable", "\ufffd", True, True), ("usable", None, False, False), ("usable", "\ue000", False, False)], "id string, text string, hidden boolean, turned boolean")
+    assert {r.id: r.answer for r in LY.usable_gate(words, "id").collect()} == {k: k for k in (*cases, "turned")}
+    one = LY.usable_texts(spark.createDataFrame([(1, "Don't (stop) XYZZ bcdfg it's a1 ab, \ue000x")], "id int, text string"), "id", "text").first()
+    assert (one.words, one.chars, one.letters, one.plain, one.vowelless, one.answer) == (8, 33, 26, 2, 1, "unmapped")
+
+
 def test_ruled_tables():
     across = [(0, y, 90, y + 1) for y in (0, 20, 40)]
     down = [(x, 0, x + 1, 41) for x in (0, 30, 60, 90)]
