@@ -220,7 +220,11 @@ def contamination(
 
 
 def uncontaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, bound: int = BOUND) -> DataFrame:
-    """The rows of df, all columns, in whose text no test string occurs; a null text stays. Nothing is shuffled."""
+    """The rows of df, all columns, in whose text no test string occurs. Nothing is shuffled.
+
+    A null or empty text stays; repeated rows share their text's fate; an empty table stays empty, and an empty benchmark, or
+    one of null and wordless texts, changes nothing.
+    """
     prepare(df.sparkSession)
     schema = df.schema
     passes, parts = _passes(benchmark, item_col, item_text_col, bound)

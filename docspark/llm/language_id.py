@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from docspark.session import prepare
 
 UNDETERMINED = "und"
-#: The labelled sample: texts for each language (about), characters taken from each, and languages.
-SAMPLE_TEXTS, SAMPLE_CHARS, MAX_LANGUAGES = 400, 600, 200
+#: The labelled sample by default: texts for each language (about), and characters taken from each.
+SAMPLE_TEXTS, SAMPLE_CHARS = 400, 600
 #: Bytes of a dictionary, bytes of a block.
 DICTIONARY_BYTES, BLOCK_BYTES = 112 << 10, 4096
 #: Matches of three bytes count: most of a short text's evidence is in them.
@@ -34,31 +34,26 @@ def letters(text: str) -> str:
     return _OTHER.sub(" ", text).lower()
 
 
+def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
+    """About that many stretches of text for each language; the rows are chosen by a hash, alike in all partitions.
 
-def sample(labelled: DataFrame) -> dict[str, list[str]]:
-    """About SAMPLE_TEXTS stretches of text for each language; the rows are chosen by a hash, alike in all partitions.
-
-    labelled: key, text, lang. Two cheap passes: counts of each language, then the rows under its share.
+    labelled: key, text, lang. Two cheap passes: counts of each language, then the rows under its share. Every language is
+    learned, so what comes to the driver is bounded by the languages: texts * chars characters for each.
     """
-    counts = {r.lang: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, 1.2 * SAMPLE_TEXTS / n) * (1 << 30))))])
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
     chance = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30))
-    start = F.pmod(F.xxhash64("text", "key"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
+    start = F.pmod(F.xxhash64("text", "key"), F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
     rows = (
-        labelled.where(chance < share[F.col("lang")])
-        .select("lang", chance.alias("chance"), F.col("text").substr(start, F.lit(SAMPLE_CHARS)).alias("part"))
-        .groupBy("lang", "chance", "part")
-        .agg(F.count(F.lit(1)))
+        labelled.join(F.broadcast(counts), "lang")
+        .where(chance < F.least(F.lit(1.0), 1.2 * texts / F.col("__n")) * (1 << 30))
+        .select("lang", chance.alias("chance"), F.col("text").substr(start, F.lit(chars)).alias("part"))
+        .distinct()
         .orderBy("lang", "chance", "part")
-        .limit(2 * SAMPLE_TEXTS * len(counts))
-        .collect()
     )
     out: dict[str, list[str]] = {}
-    for r in rows:
+    for r in rows.toLocalIterator():
         own = out.setdefault(r.lang, [])
-        if len(own) < SAMPLE_TEXTS:
+        if len(own) < texts:
             own.append(r.part)
     return out
 
@@ -109,7 +104,11 @@ def in_fold(id_col: Column, folds: int, fold: int) -> Column:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2) -> Model:
-    """Learn the dictionaries from labelled rows outside the held-out fold, at most SAMPLE_TEXTS for each language."""
+    """Learn the dictionaries from labelled rows outside the held-out fold, at most SAMPLE_TEXTS for each language.
+
+    A null id is in no fold; null and empty texts, and null languages, teach nothing. Copies count as often as they are
+    chosen, equal stretches of one choice once. Every language is learned; a model takes DICTIONARY_BYTES for each.
+    """
     prepare(df.sparkSession)
     labelled = df.select(df[id_col].alias("key"), df[text_col].alias("text"), df[lang_col].alias("lang")).where("lang is not null and text is not null and length(text) > 0")
     return Model.fit(sample(labelled.where(~in_fold(F.col("key"), folds, held_out))))

@@ -5,7 +5,8 @@ that mark either class are chosen. Lexicon voters each hold a share of the toxic
 many hits; pattern voters look at density, variety and absence. The label model estimates by expectation maximisation
 how each voter votes in each class, and how the voters correlate inside the classes; correlated voters share their weight.
 Labelled rows have their label as one more, more reliable voter. Its posteriors over labelled and unlabelled sample rows
-train a logistic regression over the terms, which then scores whole texts.
+train a logistic regression over the terms; scores of rows that were left out of a fit say how sure a score makes, and
+set its scale. It then scores whole texts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.language_id import in_fold
@@ -23,7 +24,7 @@ from docspark.llm.token_ids import HashTable
 from docspark.llm.words import ALNUM_LOWER, _Powers, mix, not_null, steps, words_of
 from docspark.session import prepare
 
-#: The bounded samples the model is fitted on, about: labelled rows, unlabelled rows, and the bytes of a row's text at most.
+#: The sample that fit learns from by default, about: labelled rows, unlabelled rows, and the bytes of a row's text at most.
 LABELLED_ROWS, UNLABELLED_ROWS, SAMPLE_BYTES = 4000, 1000, 1 << 16
 #: Bytes of the word beginnings that count as terms.
 PREFIXES = (4, 5, 6)
@@ -31,10 +32,12 @@ PREFIXES = (4, 5, 6)
 TOXIC_TERMS, CLEAN_TERMS = 150, 50
 #: Toxic terms that are looked at one by one.
 CANDIDATES = 6000
+#: A term's bound as a share of the greatest that chance would make of so many terms.
+CHANCE = 0.8
 #: Lexicons of each kind of term, and terms in each.
 LEXICONS, LEXICON_TERMS = 4, 12
-#: How often a given label is taken to be right.
-LABEL_ACCURACY = 0.98
+#: How often a given label is taken to be right when the label model begins, and the parts that scores are calibrated over.
+LABEL_ACCURACY, PARTS = 0.98, 4
 #: A row is toxic from this score.
 THRESHOLD = 0.7
 ROUNDS, STEPS, RATE, DECAY = 12, 400, 0.05, 1e-4
@@ -93,8 +96,12 @@ class Sample:
         return cls(np.concatenate(rows), np.concatenate(terms), np.concatenate(counts), np.concatenate(words), label)
 
 
-def choose_terms(sample: Sample) -> tuple[np.ndarray, np.ndarray]:
-    """The terms that mark toxic and clean rows best, by log-odds, the surest first.
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def choose_terms(sample: Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms that mark toxic and clean rows best, by log-odds, and how sure each toxic one is.
 
     Toxic terms are picked one after the other, each for the toxic rows that hold it; a row counts half as much with
     every term picked from it, so many copies of one text can't fill the list.
@@ -107,8 +114,12 @@ def choose_terms(sample: Sample) -> tuple[np.ndarray, np.ndarray]:
     a = np.bincount(where, is_toxic, len(terms))
     b = np.bincount(where, ~is_toxic, len(terms))
     odds = np.log((a + 0.5) / (toxic_rows + 1)) - np.log((b + 0.5) / (clean_rows + 1))
-    sure = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    fit = np.flatnonzero((a >= 2) & (sure > 1.5))
+    # The root of the likelihood ratio: how far a term's rows are from falling on the classes by chance. Among many terms
+    # some are far from it by chance as well, so the bound grows with how many there are.
+    expected = (a + b) * toxic_rows / (toxic_rows + clean_rows)
+    ratio = _xlogx(a) + _xlogx(b) - a * np.log(expected) - b * np.log(a + b - expected)
+    sure = np.sign(odds) * np.sqrt(2 * np.maximum(ratio, 0))
+    fit = np.flatnonzero((a >= 2) & (sure > CHANCE * np.sqrt(2 * np.log(len(terms) + 1))))
     fit = fit[np.lexsort((terms[fit], -sure[fit]))][:CANDIDATES]
     row_of = np.cumsum(sample.label == 1) - 1
     place = np.full(len(terms), -1)
@@ -123,9 +134,9 @@ def choose_terms(sample: Sample) -> tuple[np.ndarray, np.ndarray]:
         picked.append(best)
         left[best] = 0
         weight = weight * np.where(holds[:, best] > 0, 0.5, 1).astype(np.float32)
-    clean = np.flatnonzero((b >= 3) & (sure < -1.5))
+    clean = np.flatnonzero((b >= 3) & (sure < -CHANCE * np.sqrt(2 * np.log(len(terms) + 1))))
     clean = clean[np.lexsort((terms[clean], sure[clean]))][:CLEAN_TERMS]
-    return terms[fit[picked]], terms[clean]
+    return terms[fit[picked]], terms[clean], sure[fit[picked]]
 
 
 def votes_of(counts: np.ndarray, terms: np.ndarray, n_toxic: int, words: np.ndarray) -> np.ndarray:
@@ -174,11 +185,12 @@ def label_model(votes: np.ndarray, label: np.ndarray) -> np.ndarray:
     return q
 
 
-def features(counts: np.ndarray, words: np.ndarray, n_toxic: int) -> np.ndarray:
-    """Terms, damped; then hits and different hits of toxic terms, and their density."""
-    toxic = counts[:, :n_toxic]
+def features(counts: np.ndarray, words: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Terms, damped; then hits and different hits of toxic terms, how sure they are, and their density."""
+    toxic = counts[:, : len(sure)]
     hits, kinds = toxic.sum(1), (toxic > 0).sum(1)
-    more = np.stack([np.log1p(hits), np.log1p(kinds), np.sqrt(hits / (words + 20.0)), 1 / np.sqrt(words + 1.0)], 1)
+    surest = ((toxic > 0) * sure).max(1)
+    more = np.stack([np.log1p(hits), np.log1p(kinds), surest, np.sqrt((toxic > 0) @ sure), np.sqrt(hits / (words + 20.0)), 1 / np.sqrt(words + 1.0)], 1)
     return np.concatenate([counts / (counts + 1.0), more], 1).astype(np.float32)
 
 
@@ -195,12 +207,23 @@ def fit_linear(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return w
 
 
+def calibrated(z: np.ndarray, q: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept that turn scores of rows a model wasn't fitted on into the posteriors' odds."""
+    up, down = q.sum(), (1 - q).sum()
+    target = q * (up + 1) / (up + 2) + (1 - q) / (down + 2)
+    x, w = np.stack([z, np.ones_like(z)], 1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w - np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + 1e-6 * np.eye(2), x.T @ (p - target))
+    return (float(w[0]), float(w[1])) if w[0] > 0 and np.isfinite(w).all() else (1.0, 0.0)
+
+
 @dataclass(frozen=True)
 class Model:
-    """terms: toxic ones first, n_toxic of them. weights: one per feature, then the intercept. None of them: no labels."""
+    """terms: toxic ones first, sure says how much each tells. weights: one per feature, then the intercept."""
 
     terms: np.ndarray
-    n_toxic: int
+    sure: np.ndarray
     weights: np.ndarray
 
     @classmethod
@@ -213,18 +236,44 @@ class Model:
         if not (label == 1).any() or not (label == 0).any():
             return None
         sample = Sample.of(texts, label)
-        toxic, clean = choose_terms(sample)
-        terms = np.concatenate([toxic, clean])
+        whole = cls.learned(sample)
+        if whole is None:
+            return None
+        own, q = whole
+        # Scores of rows that were left out tell how sure a score makes.
+        part, z = np.argsort(np.argsort(label, kind="stable"), kind="stable") % PARTS, np.full(len(texts), np.nan)
+        for k in range(PARTS):
+            rest = cls.learned(Sample(sample.text, sample.term, sample.count, sample.words, np.where(part == k, -2, label)))
+            if rest is not None:
+                z[part == k] = rest[0].odds(*rest[0].counts(sample))[part == k]
+        known = (label >= 0) & ~np.isnan(z)
+        slope, intercept = calibrated(z[known], q[known]) if known.any() else (1.0, 0.0)
+        weights = own.weights * np.float32(slope)
+        weights[-1] += np.float32(intercept)
+        return cls(own.terms, own.sure, weights)
+
+    @classmethod
+    def learned(cls, sample: Sample) -> tuple[Model, np.ndarray] | None:
+        """A model and the posteriors it was fitted on, from rows whose label isn't -2."""
+        toxic, clean, sure = choose_terms(sample)
         if not len(toxic):
             return None
-        table = HashTable(14)
-        table.add(terms)
-        column = table.find(sample.term)
+        own = cls(np.concatenate([toxic, clean]), sure.astype(np.float32), np.empty(0, np.float32))
+        counts, words = own.counts(sample)
+        there = sample.label > -2
+        q = np.zeros(len(words))
+        q[there] = label_model(votes_of(counts[there], own.terms, len(sure), words[there]), sample.label[there])
+        return cls(own.terms, own.sure, fit_linear(features(counts[there], words[there], own.sure), q[there])), q
+
+    def counts(self, sample: Sample) -> tuple[np.ndarray, np.ndarray]:
+        column = self.table().find(sample.term)
         own = column >= 0
-        counts = np.zeros((len(texts), len(terms)), np.float32)
+        counts = np.zeros((len(sample.words), len(self.terms)), np.float32)
         counts[sample.text[own], column[own]] = sample.count[own]
-        q = label_model(votes_of(counts, terms, len(toxic), sample.words), label)
-        return cls(terms, len(toxic), fit_linear(features(counts, sample.words, len(toxic)), q))
+        return counts, sample.words
+
+    def odds(self, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return features(counts, words, self.sure) @ self.weights[:-1] + self.weights[-1]
 
     def table(self) -> HashTable:
         out = HashTable(14)
@@ -245,36 +294,49 @@ class Model:
             z = min(n, a + 256)
             lo, hi = np.searchsorted(text, (a, z))
             counts = np.bincount((text[lo:hi] - a) * m + column[lo:hi], minlength=(z - a) * m).reshape(z - a, m)
-            x = features(counts, words[a:z], self.n_toxic)
-            out[a:z] = 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+            out[a:z] = 1 / (1 + np.exp(-np.clip(self.odds(counts, words[a:z]), -30, 30)))
         return out
 
 
-def _chosen(key: str, total: int, rows: int):
-    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(min(1.0, rows / max(1, total)) * (1 << 30)) + 1
+def _chosen(key: Column, total: int, rows: int) -> Column:
+    return F.pmod(key, F.lit(1 << 30)) < int(min(1.0, rows / max(1, total)) * (1 << 30)) + 1
 
 
 def fit(
-    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", folds: int = 3, held_out: int = 1
+    df: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_id_col: str = "doc_id",
+    label_col: str = "toxic",
+    folds: int = 3,
+    held_out: int = 1,
+    labelled_rows: int = LABELLED_ROWS,
+    unlabelled_rows: int = UNLABELLED_ROWS,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> Model | None:
-    """Learn from labels outside the held-out fold; texts are sampled from all rows.
+    """Learn from a bounded sample of labels outside the held-out fold, and of all rows.
 
-    A null label or text teaches nothing; an id with several labels is toxic if one of them is. None if either class
-    has no row.
+    labelled_rows and unlabelled_rows are about how many rows the sample has; hashes choose them, alike however the table is
+    dealt out. A row whose text is longer than sample_bytes teaches by one stretch of that length, which a hash places.
+    A null label, id or empty text teaches nothing; an id with several labels is toxic if one of them is, and of several
+    texts of one id one teaches. Equal texts count once. None if either class has no row.
     """
     prepare(df.sparkSession)
-    own = df.select(df[id_col].alias("id"), df[text_col].cast("binary").alias("text")).where((F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES))
+    own = df.select(df[id_col].alias("id"), df[text_col].cast("binary").alias("text")).where(F.octet_length("text") > 0)
     given = labels.select(labels[label_id_col].alias("id"), labels[label_col].cast("int").alias("label")).where("label is not null and id is not null")
     given = given.where(~in_fold(F.col("id"), folds, held_out)).groupBy("id").agg(F.max("label").alias("label"))
-    given = given.where(_chosen("id", given.count(), LABELLED_ROWS)).limit(2 * LABELLED_ROWS)
-    labelled = own.join(F.broadcast(given), "id").dropDuplicates(["id"])
-    total = df.count()
-    unlabelled = own.where(_chosen("text", total, UNLABELLED_ROWS)).limit(2 * UNLABELLED_ROWS).select("id", "text", F.lit(-1).alias("label"))
+    given = given.where(_chosen(F.xxhash64("id"), given.count(), labelled_rows))
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.octet_length("text") - sample_bytes, F.lit(0)) + 1).cast("int") + 1
+    part = F.substring("text", start, F.lit(sample_bytes)).alias("text")
+    labelled = own.join(F.broadcast(given), "id").select("id", part, "label").dropDuplicates(["id"])
+    # Copies of a text are chosen together and count once.
+    unlabelled = own.where(_chosen(F.xxhash64("text"), df.count(), unlabelled_rows)).select(part).distinct().select(F.lit(None).cast(own.schema["id"].dataType).alias("id"), "text", F.lit(-1).alias("label"))
     # Labelled rows first: the unlabelled sample may hold them too, and the first of equal texts stays.
-    rows = sorted(((-r.label, -1 if r.id is None else r.id, bytes(r.text)) for r in labelled.select("id", "text", "label").union(unlabelled).toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
+    rows = sorted((-r.label, bytes(r.text)) for r in labelled.select("id", "text", "label").union(unlabelled).toLocalIterator())
     if not rows:
         return None
-    return Model.fit([r[2] for r in rows], np.clip(np.array([-r[0] for r in rows]), -1, 1))
+    return Model.fit([r[1] for r in rows], np.clip(np.array([-r[0] for r in rows]), -1, 1))
 
 
 def score(df: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:

@@ -154,6 +154,26 @@ def test_pipeline(spark, sf_dir, tmp_path):
     assert P.run(spark, sf_dir).agg(F.sum("length")).first()[0] == docs.agg(F.sum("length")).first()[0]
 
 
+def test_pipeline_stages_on_odd_tables(spark, sf_dir, odd_docs, no_docs):
+    import corpus_pipeline as P
+
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    whole = table(spark, sf_dir, "documents").where("doc_id >= 50")
+    for name, stage in P.STAGES[:-1]:
+        assert stage(spark, no_docs, sf_dir).columns == no_docs.columns and stage(spark, no_docs, sf_dir).count() == 0, name
+    # A table with the columns that operators name their own, null and repeated rows, very long texts.
+    docs = whole.select("doc_id", "text", "lang", "source", F.lit(-1).cast("long").alias("n_words"), F.lit(0.5).alias("score"), F.lit(True).alias("kept"), F.lit("k").alias("k1")).unionByName(odd_docs.withColumn("lang", F.lit(None).cast("string")))
+    kept = {name: stage(spark, docs, sf_dir) for name, stage in P.STAGES[:-1]}
+    assert all(df.columns == docs.columns for df in kept.values())
+    assert not {1, 2, 3, 13} & set(ids(kept["language ID"])) and {6, 7, 9} <= set(ids(kept["language ID"]))
+    assert {1, 2, 3, 6, 7} <= set(ids(kept["toxicity"])) and {1, 2, 3, 7} <= set(ids(kept["benchmark decontamination"]))
+    one = [i for i in ids(kept["near duplicates"]) if i < 50]
+    assert one == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14]
+    assert set(ids(P.STAGES[-1][1](spark, odd_docs, sf_dir))) == {i for i in range(1, 15)}
+    # Without a language to learn from nothing is thrown away for its language.
+    assert ids(P.keep_identified(spark, odd_docs.withColumn("lang", F.lit(None).cast("string")), sf_dir)) == ids(odd_docs)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

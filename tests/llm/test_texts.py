@@ -130,6 +130,43 @@ def test_language_on_held_out_rows(spark, sf_dir, odd_docs, no_docs):
     assert L.classify(no_docs, model).count() == 0
 
 
+def test_language_is_the_smallest_by_brute_force(spark, sf_dir):
+    import zstandard as z
+
+    docs = table(spark, sf_dir, "documents")
+    model = L.fit(docs)
+    # Each block and dictionary anew, every byte counted, nothing kept from one text to the next.
+    params = z.ZstdCompressionParameters(strategy=z.STRATEGY_GREEDY, window_log=18, hash_log=17, chain_log=17, search_log=4, min_match=3, target_length=16, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+    def size(raw, lang):
+        dictionary = z.ZstdCompressionDict(model.dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
+        return sum(len(z.ZstdCompressor(dict_data=dictionary, compression_params=params).compress(raw[i : i + L.BLOCK_BYTES])) for i in range(0, len(raw), L.BLOCK_BYTES))
+
+    for r in L.classify(docs.select("doc_id", "text"), model).collect()[:80]:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert r.lang_pred == "und"
+            continue
+        raw = re.sub(r"[\W\d_]+", " ", r.text).lower().encode()
+        sizes = sorted((size(raw, lang), lang) for lang in model.dictionaries)
+        assert r.lang_pred == sizes[0][1] and r.margin == (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        assert r.score == min(1.0, r.margin / L.FULL_MARGIN) and r.rejected == (r.margin < L.MIN_MARGIN)
+
+
+def test_language_ties_and_clashing_columns(spark):
+    model = L.Model.fit({"b": ["same words here"], "a": ["same words here"]})
+    df = spark.createDataFrame([(1, "same words", "x", 0.5, "y"), (1, "same words", "x", 0.5, "y")], "doc_id long, text string, lang_pred string, margin double, score string")
+    found = L.classify(df, model)
+    assert found.columns == ["doc_id", "text", "lang_pred", "score", "margin", "rejected"]
+    assert [tuple(r) for r in found.collect()] == [(1, "same words", "a", 0.0, 0.0, True)] * 2
+    one = L.classify(df, L.Model.fit({"a": ["other"]})).first()
+    assert (one.lang_pred, one.score, one.rejected) == ("a", 1.0, False)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i * 10 + k, f"word{i} other{i} text{i}", f"l{i:03}") for i in range(300) for k in range(3)]
+    assert len(L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).dictionaries) == 300
+
+
 def test_language_learns_nothing_from_nothing(odd_docs, no_docs):
     model = L.fit(no_docs)
     assert model.dictionaries == {}
@@ -173,6 +210,40 @@ def test_toxicity_on_held_out_rows(spark, odd_docs, no_docs):
     assert again.terms.tolist() == model.terms.tolist() and np.allclose(again.weights, model.weights)
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    rows = toxic_rows(2, 300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = X.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+
+    def term(word, kind):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return next(t for t in X.terms_of(raw, np.array([0, len(raw)]))[1].tolist() if t & 7 == kind + 1)
+
+    column, n = {t: i for i, t in enumerate(model.terms.tolist())}, len(model.sure)
+    for r in X.score(docs, model).collect()[:60]:
+        words = ALNUM.findall(r.text.encode().lower())
+        counts = np.zeros(len(column))
+        for w in words:
+            for kind, k in enumerate((0, *X.PREFIXES)):
+                if len(w) >= k and (at := column.get(term(w.decode()[:k] if k else w.decode(), kind))) is not None:
+                    counts[at] += 1
+        hits, own = counts[:n].sum(), counts[:n] > 0
+        more = [np.log1p(hits), np.log1p(own.sum()), (own * model.sure).max(), np.sqrt((own * model.sure).sum()), np.sqrt(hits / (len(words) + 20)), 1 / np.sqrt(len(words) + 1)]
+        odds = np.concatenate([counts / (counts + 1), more, [1]]) @ model.weights
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(odds, -30, 30)))) < 1e-4
+
+
+def test_toxicity_learns_from_long_texts_and_the_worst_label(spark):
+    rows = toxic_rows(3, 400)
+    long = [(i, (t + " ") * 30 if y else t, y) for i, t, y in rows]
+    docs = spark.createDataFrame([(i, t, 0.1, "x") for i, t, _ in long], "doc_id long, text string, score double, label string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in long] + [(i, 0) for i, _, _ in long], "doc_id long, toxic int")
+    model = X.fit(docs, labels, sample_bytes=900)
+    found = X.score(docs, model)
+    truth = {i: y for i, _, y in long}
+    assert found.columns == ["doc_id", "text", "label", "score", "predicted"] and np.mean([r.predicted == truth[r.doc_id] for r in found.collect()]) > 0.95
+
+
 def test_toxicity_without_labels(spark, odd_docs):
     assert X.fit(odd_docs, spark.createDataFrame([], "doc_id long, toxic int")) is None
     assert {r.score for r in X.score(odd_docs.drop("score"), None).collect()} == {0.0}
