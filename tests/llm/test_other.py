@@ -16,40 +16,73 @@ from docspark.session import table, written
 from tests.oracle import connect, difference
 
 
-def test_token_counts(spark, odd_docs, odd_texts, no_docs, tokenizer):
+def test_token_counts(spark, odd_docs, odd_texts, no_docs, tokenizer, tmp_path):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer)
     own.encode_special_tokens = True
-    want = sorted((i, len(own.encode(t or "", add_special_tokens=False).ids)) for i, t in odd_texts)
+    want = sorted(((i or 0, len(own.encode(t or "", add_special_tokens=False).ids)) for i, t in [*odd_texts, (None, "no id"), (None, "no id")]))
+    docs = odd_docs.unionByName(spark.createDataFrame([(None, "no id")] * 2, "doc_id long, text string"), allowMissingColumns=True).withColumn("path", F.lit("p")).withColumn("file_id", F.lit("f"))
+    files = written(T.write_files(docs.repartition(3), tokenizer, f"file://{tmp_path}/t"), "t")
     for size in (97, T.BLOCK_IDS):
-        files = written(T.token_files(odd_docs.repartition(3), tokenizer, block_ids=size), "t")
-        found = T.manifest(files).join(T.count_tokens(files.where("block_no is not null")), ["file_id", "doc_index"])
-        assert sorted((r.doc_id, r.n_tokens) for r in found.collect()) == want
-    assert T.token_files(no_docs, tokenizer).count() == 0
+        found = T.manifest(files).join(T.count_tokens(T.blocks_of(files.where("path is not null"), size)), ["file_id", "doc_index"])
+        assert sorted((r.doc_id or 0, r.n_tokens) for r in found.collect()) == want
+    row = files.where("path is not null").first()
+    assert row.id_bytes == 2 and row.separator == own.token_to_id(T.END)
+    # The files are plain: ids and separators alone.
+    assert sum(int((np.fromfile(r.path.removeprefix("file://"), "<u2") == row.separator).sum()) for r in files.where("path is not null").collect()) == len(want)
+    assert T.write_files(no_docs, tokenizer, f"file://{tmp_path}/n").count() == 0
+
+
+def test_wide_ids_and_other_separators(spark, odd_docs, tmp_path):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    files = written(T.write_files(odd_docs.coalesce(1), path, f"file://{tmp_path}/t"), "t")
+    row = files.where("path is not null").first()
+    assert row.separator == Tokenizer.from_file(path).token_to_id(T.END) == 50256
+    raw = np.fromfile(row.path.removeprefix("file://"), "<u2")
+    (tmp_path / "wide.bin").write_bytes(raw.astype("<u4").tobytes())
+    counts = lambda blocks: sorted((r.doc_index, r.start, r.n_tokens) for r in T.count_tokens(blocks).collect())
+    narrow = counts(T.blocks_of(files.where("path is not null"), 100))
+    assert counts(T.read_files(spark, f"file://{tmp_path}/wide.bin", row.separator, 4, 100)) == narrow and len(narrow) == odd_docs.count()
+    with pytest.raises(Exception, match="can't be the separator"):
+        T.write_files(odd_docs, path, f"file://{tmp_path}/u", separator=1 << 16).count()
 
 
 def test_scan_of_flat_files(spark, tmp_path):
     rng = random.Random(1)
+    end = 49407
     rows, want = [], []
     for f in range(5):
-        ids = [rng.choice([7, 7, 8, T.SEPARATOR]) for _ in range(rng.choice([0, 1, 50, 4000]))]
+        ids = [rng.choice([7, 7, 8, end]) for _ in range(rng.choice([0, 1, 50, 4000]))]
         begin = k = 0
         for i, x in enumerate(ids):
-            if x == T.SEPARATOR:
+            if x == end:
                 want.append((f, k, begin, i - begin, True))
                 begin, k = i + 1, k + 1
         if begin < len(ids):
             want.append((f, k, begin, len(ids) - begin, False))
         raw = np.array(ids, "<u2")
         (tmp_path / f"{f}.bin").write_bytes(raw.tobytes())
-        rows += [(f, b // 3, raw[b : b + 3].tobytes()) for b in range(0, len(raw), 3)] + [(f, 10**6, None)]
-    blocks = spark.createDataFrame(rows, "file_id long, block_no long, payload binary")
+        rows += [(f, b // 3, raw[b : b + 3].tobytes(), 2, end) for b in range(0, len(raw), 3)] + [(f, 10**6, None, 2, end)]
+    blocks = spark.createDataFrame(rows, "file_id long, block_no long, payload binary, id_bytes int, separator long")
     got = T.count_tokens(blocks).select("file_id", "doc_index", "start", "n_tokens", "closed")
     assert sorted(map(tuple, got.collect())) == sorted(want)
-    files = T.count_tokens(T.read_files(spark, f"file://{tmp_path}", 64)).select(F.regexp_extract("file_id", r"(\d+)\.bin$", 1).cast("long"), "doc_index", "start", "n_tokens", "closed")
-    assert sorted(map(tuple, files.collect())) == sorted(want)
+    for size in (32, 1 << 16):
+        files = T.count_tokens(T.read_files(spark, f"file://{tmp_path}", end, block_ids=size)).select(F.regexp_extract("file_id", r"(\d+)\.bin$", 1).cast("long"), "doc_index", "start", "n_tokens", "closed")
+        assert sorted(map(tuple, files.collect())) == sorted(want)
     assert T.count_tokens(blocks.where("false")).count() == 0
+    assert T.count_tokens(T.read_files(spark, f"file://{tmp_path}/4.bin", end).where("false")).count() == 0
+
+
+def test_files_that_only_spark_reaches(spark, tmp_path, monkeypatch):
+    raw = np.array([5, 9, 9, 5, 5, 9, 4], "<u2")
+    (tmp_path / "a.bin").write_bytes(raw.tobytes())
+    monkeypatch.setattr(T, "reachable", lambda path: False)
+    found = T.count_tokens(T.read_files(spark, f"file://{tmp_path}", 9, block_ids=3))
+    assert sorted((r.doc_index, r.start, r.n_tokens, r.closed) for r in found.collect()) == [(0, 0, 1, True), (1, 2, 0, True), (2, 3, 2, True), (3, 6, 1, False)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -78,13 +111,58 @@ def test_only_candidates_run():
             fits = super().compiled()
             return lambda h, p: ran.append(self.anywhere) or fits(h, p)
 
-    rules = [Counting(None, "block", 0, anywhere=f"w{i}", literals=("www", f"w{i}")) for i in range(100)]
-    assert U.Index(rules).judge("http://www.w7.com/")[3] == "block" and ran == ["w7"]
+    rules = [Counting(None, "block", 0, anywhere=rf"\bwww\.w{i}\b") for i in range(100)]
+    assert U.Index(rules).judge("http://www.w7.com/")[3] == "block" and ran == [r"\bwww\.w7\b"]
+
+
+@pytest.mark.parametrize(
+    ("pattern", "tokens"),
+    [
+        (r"\bcasino\b", [{"casino"}]), (r"casino", [set()]), (r"-(?:bets|pills?)\.", [{"bets"}, {"pill"}, {"pills"}]), (r"(?<![0-9a-z])[ck]asino(?![0-9a-z])", [{"casino"}, {"kasino"}]), (r"/ad[0-9]+/", [set()]), (r"/ads/+track/", [{"ads", "track"}]),
+        (r"^www\.x$", [{"www", "x"}]), (r"\.(?i:Poker)\.", [set()]), (r"\.(?ai:Poker)\.", [{"poker"}]), (r"\.(?i:Bet)\.", [{"bet"}]), (r"\b(?:a|b|c){2}\b", [{x + y} for x in "abc" for y in "abc"]), (r"\bab*\b", [set()]), (r"_ad_", [{"ad"}]), (r"\bad\B", [set()]), (r"\w+\.ru$", [{"ru"}]), (r"[^a-z]ad[^a-z]", [set()]),
+        (r"\.(x-)?yy\.", [{"yy"}, {"x", "yy"}]), (r"\b[a-h][a-h]x\b", [set()]), (r"\b(?:[abcd][abcd][abcd][abcd])\b", [set()] * 64), (r"\b(?=casino)c", [set()]), (r"(?:-spam)+-", [set()]), (r"-(?:spam-)+", [{"spam"}]),
+    ],
+)
+def test_tokens_that_a_match_must_hold(pattern, tokens):
+    assert sorted(map(sorted, U.needed(pattern, U.GAP, U.GAP))) == sorted(map(sorted, tokens))
+
+
+def test_the_index_finds_what_all_rules_find(spark, sf_dir):
+    rng = random.Random(9)
+    pieces = ["casino", "ads", "www", "x1", "bet", "s", "-", ".", "/", "_", "Ads", "é", "ru", "ſ", "\n", "7"]
+    shapes = [r"\b{0}\b", r"{0}", r"[-./]{0}s?[-./]", r"(?:{0}|{1})\.{2}", r"^{0}", r"{0}$", r"(?<![0-9a-z]){0}[-_]{1}(?![0-9a-z])", r"(?i:{0})-{1}", r"{0}+{1}", r"(?:{0}-)*{1}\b", r"[{0}]{1}\.", r"\b{0}(?={1})", r"(?:{0}){{2}}", r"\W{0}\W", r"{0}.*{1}"]
+    rules = []
+    for i in range(400):
+        own = [re.escape(rng.choice(pieces)) for _ in range(3)]
+        host, path, anywhere = (rng.choice(shapes).format(*own) for _ in range(3))
+        rules.append(U.Rule(f"r{i}", rng.choice(["allow", "block"]), rng.randrange(5), host=f"(?:.*){host}(?:.*)", path=path) if rng.random() < 0.5 else U.Rule(f"r{i}", rng.choice(["allow", "block"]), rng.randrange(5), anywhere=anywhere))
+    urls = ["x://" + "".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(600)] + [r.url for r in table(spark, sf_dir, "pages").collect()]
+    for own in (rules, U.RULES):
+        index = U.Index(own)
+        compiled = [(r, r.compiled()) for r in own]
+        for url in urls:
+            host, path = U.parts(url)
+            fits = [r for r, fit in compiled if fit(host, path)]
+            best = max(fits, key=lambda r: (r.weight, r.verdict, r.name or ""), default=None)
+            assert index.judge(url) == (host, path, best.name if best else None, best.verdict if best else "allow"), url
+    own = U.Index(U.RULES)
+    assert len(U.RULES) > 150 and len(own.always) == 1
+
+
+def test_rules_of_a_table(spark):
+    schema = "name string, verdict string, weight int, host string, path string, anywhere string"
+    rows = [("a", "block", 2, None, None, r"\bspam\b"), ("b", "allow", 2, ".*", "/spam/", None), (None, "block", None, None, None, r"\bspam\b"), ("b", "allow", 2, ".*", "/spam/", None)]
+    rules = U.rules_of(spark.createDataFrame(rows, schema))
+    assert len(rules) == 4 and U.Index(rules).judge("x://h/spam/")[2:] == ("a", "block") and U.Index(rules).judge("x://h/eggs/")[2:] == (None, "allow")
+    for bad in [("a", "block", 1, None, None, "("), ("a", "deny", 1, None, None, "x"), ("a", "block", 1, None, None, None)]:
+        with pytest.raises(ValueError, match="rule"):
+            U.rules_of(spark.createDataFrame([bad], schema))
 
 
 def test_url_operator_on_odd_tables(spark):
-    df = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "http://a.net/", "y")], "page_id long, url string, host string")
-    assert sorted((r.page_id or 0, r.host, r.verdict) for r in U.judge(df).collect()) == [(0, "a.net", "block"), (1, "", "allow"), (1, "", "allow")]
+    long = "http://a.com/" + "x-casinos." * 200_000
+    df = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "http://a.net/", "y"), (2, long, "z"), (3, long + "/casino", "z")], "page_id long, url string, host string")
+    assert sorted((r.page_id or 0, r.host, r.verdict) for r in U.judge(df).collect()) == [(0, "a.net", "block"), (1, "", "allow"), (1, "", "allow"), (2, "a.com", "allow"), (3, "a.com", "block")]
     assert U.judge(df.where("false")).count() == 0
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm import bfd_packing, packing
 from docspark.llm.token_ids import Encoder, HashTable
-from docspark.session import table
+from docspark.session import table, written
 
 
 def whole(tokenizer, texts):
@@ -145,6 +145,31 @@ def test_matrix_round_trip(spark, odd_docs, odd_texts, tokenizer):
         assert got == lists[0] if len(lists) == 1 else sorted(got) == sorted(x for ids in lists for x in ids)
 
 
+def test_matrices_are_read_back(spark, odd_docs, no_docs, tokenizer, tmp_path):
+    docs = odd_docs.unionByName(spark.createDataFrame([(None, "no id")], "doc_id long, text string"), allowMissingColumns=True).withColumn("ids", F.lit(b"x")).withColumn("starts", F.lit(0))
+    for width in (64, 2048):
+        packed = written(bfd_packing.pack_matrix(docs.repartition(3), tokenizer, width=width, segment=9000), "packed")
+        manifest = written(bfd_packing.write_matrices(packed, f"file://{tmp_path}/{width}", width), "manifest")
+        fields = ("n_tokens", "doc_ids", "starts", "cu_seqlens", "ids", "position_ids")
+        key = lambda r: tuple(map(repr, (r[f] for f in fields)))
+        assert sorted(map(key, bfd_packing.read_matrices(manifest, 7).collect())) == sorted(map(key, packed.collect()))
+        m = manifest.first()
+        assert np.fromfile(m["ids"].removeprefix("file://"), "<u4").reshape(-1, width).shape == (m["rows"], width) and m.position_bytes == 2
+    with pytest.raises(Exception, match="of width 32"):
+        bfd_packing.write_matrices(packed, f"file://{tmp_path}/w", 32).count()
+    empty = written(bfd_packing.write_matrices(bfd_packing.pack_matrix(no_docs, tokenizer), f"file://{tmp_path}/e"), "manifest")
+    assert empty.count() == 0 and bfd_packing.read_matrices(empty).count() == 0
+
+
+def test_positions_of_wide_rows(spark, tokenizer, tmp_path):
+    docs = spark.createDataFrame([(1, "a b " * 70_000), (2, "c")], "doc_id long, text string").coalesce(1)
+    wide = bfd_packing.pack_matrix(docs, tokenizer, width=100_000)
+    rows = wide.collect()
+    assert all(np.frombuffer(r.position_ids, "<u4")[: r.cu_seqlens[1]].tolist() == list(range(r.cu_seqlens[1])) for r in rows) and max(r.n_tokens for r in rows) == 100_000
+    manifest = written(bfd_packing.write_matrices(wide, f"file://{tmp_path}/m", 100_000), "manifest")
+    assert {bytes(r.position_ids) for r in bfd_packing.read_matrices(manifest).collect()} == {bytes(r.position_ids) for r in rows}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fit_takes_the_least_room(seed):
     rng = np.random.default_rng(seed)
