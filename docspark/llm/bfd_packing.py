@@ -3,11 +3,15 @@
 Documents longer than a row are split into full rows and a rest, without loss. Rests and short documents, longest
 first, go to the row with the least room that still holds them; a segment tree over room sizes finds it in
 logarithmic time. Packing runs over stretches of a partition's stream, so a task holds SEGMENT tokens.
+
+Matrices are written as flat files: a task's ids and positions row after row, its cumulative segment lengths and where each
+row's begin. A manifest tells the files, and from it rows are read back by their places.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.llm.flat_files import Files, id_type, reader
 from docspark.llm.packing import WIDTH, documents_only, encoded_parts
 from docspark.session import prepare
 
@@ -120,10 +125,13 @@ def pack_matrix(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     Returns one row per sequence: sequence_id, n_tokens (the rest of the row is padding), doc_ids and starts (ids of
     its document before each segment), cu_seqlens (0, then each segment's end), ids (width little-endian unsigned
-    32-bit ids) and position_ids (width 16-bit positions: from 0 in each segment, 0 in the padding). A null or empty
+    32-bit ids) and position_ids (width positions: from 0 in each segment, 0 in the padding; of 16 bits, or of 32 where the
+    width is over 65,536). A null or empty
     text is its end id alone; repeated rows are packed each on its own; a null id stays null; other columns are
     ignored; an empty table gives no rows.
     """
+    if width < 1:
+        raise ValueError("a row holds one id at least")
     prepare(df.sparkSession)
 
     def run(batches):
@@ -143,7 +151,7 @@ def pack_matrix(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
             n = int(ends[-1])
             row = np.full(width, pad, "<u4")
             row[:n] = np.concatenate(segments)
-            positions = np.zeros(width, "<u2")
+            positions = np.zeros(width, id_type(width))
             positions[:n] = np.arange(n) - np.repeat(ends[:-1], lengths)
             out.append((at, n, doc_ids, starts, ends, row.tobytes(), positions.tobytes()))
             at += 1
@@ -155,6 +163,80 @@ def pack_matrix(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     return documents_only(df, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
-def digests(packed: DataFrame) -> DataFrame:
-    """pack_matrix's rows with checksums in place of the two matrices."""
-    return packed.select("sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", F.crc32("ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
+KINDS = ("ids", "positions", "lengths", "bounds", "docs", "starts")
+_NO_ID = -(1 << 63)
+MANIFEST = "part long, rows long, width int, position_bytes int, first_sequence long, " + ", ".join(f"{k} string" for k in KINDS)
+
+
+def write_matrices(packed: DataFrame, folder: str, width: int = WIDTH) -> DataFrame:
+    """pack_matrix's rows as files in the folder, and a manifest: one row per part with rows.
+
+    ids and positions: rows * width numbers, of 4 and of position_bytes bytes. lengths: every row's cumulative segment
+    lengths (from 0), end to end, as 64-bit numbers; bounds: where each row's begin in them, and the end. docs and starts: each
+    segment's document (the least number for none) and its place there, signed 64-bit numbers. All are little-endian. Read the manifest from a written table: running its rows again writes other files. A part without
+    rows has no files and no row.
+    """
+    kind = id_type(width)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        files, rows, end, first = Files(folder, part), 0, 0, None
+        try:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if len(r["ids"]) != 4 * width or len(r["position_ids"]) != np.dtype(kind).itemsize * width:
+                        raise ValueError(f"a row isn't of width {width}")
+                    first = r["sequence_id"] if first is None else first
+                    files.append("ids", np.frombuffer(r["ids"], "<u4"))
+                    files.append("positions", np.frombuffer(r["position_ids"], kind))
+                    files.append("lengths", np.array(r["cu_seqlens"], "<u8"))
+                    files.append("bounds", np.array([end], "<u8"))
+                    files.append("docs", np.array([_NO_ID if d is None else d for d in r["doc_ids"]], "<i8"))
+                    files.append("starts", np.array(r["starts"], "<i8"))
+                    rows, end = rows + 1, end + len(r["cu_seqlens"])
+            if rows:
+                files.append("bounds", np.array([end], "<u8"))
+        finally:
+            files.close()
+        if rows:
+            values = [part, rows, width, np.dtype(kind).itemsize, first, *map(files.path, KINDS)]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.string()] * len(KINDS)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [x.split()[0] for x in MANIFEST.split(", ")])
+
+    return packed.select("sequence_id", "doc_ids", "starts", "cu_seqlens", "ids", "position_ids").mapInArrow(run, MANIFEST)
+
+
+def read_matrices(manifest: DataFrame, rows: int = 256) -> DataFrame:
+    """What pack_matrix gave, part and row for sequence_id, of every row in a manifest's files, read rows at a time."""
+    stretches = manifest.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(rows).cast("long"))).alias("at"))
+    schema = "part long, row long, " + SCHEMA.removeprefix("sequence_id long, ")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ExitStack() as stack:
+            files = {k: stack.enter_context(reader()) for k in KINDS}
+            for batch in batches:
+                for m in batch.to_pylist():
+                    at, n = m["at"], min(rows, m["rows"] - m["at"])
+                    numbers = lambda k, a, z, kind="<i8", m=m: np.frombuffer(files[k].read(m[k], 8 * int(a), 8 * int(z - a)), kind).astype(np.int64)
+                    wide = lambda k, size, m=m, at=at, n=n: _rows_of(files[k].read(m[k], size * at, size * n), size)
+                    edges = numbers("bounds", at, at + n + 1, "<u8")
+                    # A row has one segment less than it has bounds of segments.
+                    own = edges - np.arange(at, at + n + 1)
+                    lengths, docs, starts = numbers("lengths", edges[0], edges[-1], "<u8"), numbers("docs", own[0], own[-1]), numbers("starts", own[0], own[-1])
+                    listed = lambda e, values: pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), values)
+                    columns = [
+                        pa.array([m["part"]] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array(lengths[edges[1:] - edges[0] - 1]), listed(own, pa.array(docs, mask=docs == _NO_ID)), listed(own, pa.array(starts)), listed(edges, pa.array(lengths)),
+                        pa.array(wide("ids", 4 * m["width"]), pa.binary()), pa.array(wide("positions", m["position_bytes"] * m["width"]), pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+
+    return stretches.mapInArrow(run, schema)
+
+
+def _rows_of(raw: bytes, size: int) -> list[bytes]:
+    return [raw[a : a + size] for a in range(0, len(raw), size)]
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """read_matrices' rows with checksums in place of the two matrices."""
+    return rows.select("part", "row", "n_tokens", "doc_ids", "starts", "cu_seqlens", F.crc32("ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docspark.llm import bfd_packing, chat_template, decontaminate, language_id, near_dedup, packing, quality_rules, token_counts, toxicity, url_filter
 from docspark.llm.oracles import ORACLES  # noqa: F401
-from docspark.session import table, written
+from docspark.session import new_path, table, written
 
 #: Where the public tokenizers' files lie; a parameter of every operator that needs one.
 TOKENIZER = "word_bpe_49k.json"
@@ -51,8 +51,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = written(token_counts.token_files(table(spark, sf_dir, "documents"), tokenizer_path()), "token-files")
-    counts = token_counts.count_tokens(files.where("block_no is not null"))
+    files = written(token_counts.write_files(table(spark, sf_dir, "documents"), tokenizer_path(), new_path(spark, "token-files")), "token-files")
+    counts = token_counts.count_tokens(token_counts.blocks_of(files.where("path is not null")))
     named = token_counts.manifest(files).join(counts, ["file_id", "doc_index"], "left")
     return named.select("doc_id", "file_id", "doc_index", "start", "n_tokens")
 
@@ -74,7 +74,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bfd_packing.digests(bfd_packing.pack_matrix(table(spark, sf_dir, "documents"), tokenizer_path()))
+    """The rows as they are read back from the files."""
+    packed = bfd_packing.pack_matrix(table(spark, sf_dir, "documents"), tokenizer_path())
+    manifest = written(bfd_packing.write_matrices(packed, new_path(spark, "matrices")), "matrices")
+    return bfd_packing.digests(bfd_packing.read_matrices(manifest))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
