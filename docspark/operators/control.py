@@ -80,6 +80,17 @@ def merged_filter(owners: list | None, allowed: list | None, labels: dict, force
     return both, labels | forced
 
 
+def filter_met(asked: Column, allowed: Column, wanted: Column, forced: Column) -> Column:
+    """merged_filter of columns: struct(owners, labels), null where nothing can match. A null list of owners is everybody, a
+    null map of labels is none. Built-in expressions only."""
+    both = F.when(asked.isNull(), allowed).when(allowed.isNull(), asked).otherwise(F.filter(asked, lambda x: F.array_contains(allowed, x)))
+    none = F.create_map().cast("map<string,string>")
+    own, must = F.coalesce(wanted, none), F.coalesce(forced, none)
+    against = F.exists(F.map_entries(must), lambda e: F.coalesce(own[e["key"]] != e["value"], F.lit(False)))
+    labels = F.map_concat(F.map_filter(own, lambda k, v: ~F.array_contains(F.map_keys(must), k)), must)
+    return F.when(~against & F.coalesce(F.size(both) > 0, F.lit(True)), F.struct(both.alias("owners"), labels.alias("labels")))
+
+
 def failure_codes(tasks: DataFrame) -> DataFrame:
     """A parse's failure: the one code of its failed pages, or page_unreadable where they differ."""
     failed = tasks.where("state = 'failed'").groupBy("parse_id").agg(F.min("code").alias("lo"), F.max("code").alias("hi"))

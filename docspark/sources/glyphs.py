@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed values, in sizes of type: how far a glyph may stand off its word's line, and before or behind its reach.
 ACROSS, BACK, AHEAD = 0.8, 0.2, 1.0
@@ -60,3 +61,18 @@ def rectangle(points: list[tuple[float, float]]) -> tuple[float, float, float, f
         return None
     xs, ys = [p[0] for p in points], [p[1] for p in points]
     return min(xs), min(ys), max(xs), max(ys)
+
+
+def rectangles(paths: DataFrame) -> DataFrame:
+    """paths (path_id, points: array of struct x, y) with the box of each, null unless it is a rectangle; the same test as
+    rectangle, in built-in expressions. Null points make none."""
+    p = F.when(F.size("points") == 4, F.concat("points", F.slice("points", 1, 1))).otherwise(F.col("points"))
+    near = lambda a, b: F.abs(a - b) <= CLOSE
+    rows = paths.withColumn("__p", p)
+    at = lambda i: F.get("__p", F.lit(i))
+    closed = (F.size("__p") == 5) & near(at(0)["x"], at(4)["x"]) & near(at(0)["y"], at(4)["y"])
+    level, upright = ([near(at(i)[axis], at(i + 1)[axis]) for i in range(4)] for axis in ("y", "x"))
+    fits = (level[0] & upright[1] & level[2] & upright[3]) | (upright[0] & level[1] & upright[2] & level[3])
+    ends = [f(F.col("__p").getField(axis)) for f in (F.array_min, F.array_max) for axis in ("x", "y")]
+    box = F.struct(*[e.alias(n) for e, n in zip(ends, ("x0", "y0", "x1", "y1"), strict=True)])
+    return rows.withColumn("box", F.when(closed & fits, box)).drop("__p")
