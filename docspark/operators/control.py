@@ -8,6 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.operators import capacity
 from docspark.operators.folds import fold
 
 SUMS = ("pages", "calls", "input_tokens", "output_tokens")
@@ -57,8 +58,11 @@ def queue_pools(pools: DataFrame, tasks: DataFrame, now: int, open_seconds: int
     return pools.join(flying, "reader_id", "left").select("reader_id", "max_in_flight", F.coalesce("in_flight", F.lit(0)).alias("in_flight"), breaker.alias("breaker"))
 
 
-def listing(parses: DataFrame, limit: int, owners: list[int] | None = None, states: list[str] | None = None, after: int | None = None, file_id: int | None = None, labels: dict[str, str] | None = None) -> DataFrame:
-    """The newest parses below a cursor, one more than the limit so a caller sees whether there are more."""
+def listing(parses: DataFrame, limit: int, owners: list[int] | None = None, states: list[str] | None = None, after: int | None = None, file_id: int | None = None, labels: dict[str, str] | None = None, origin: dict[str, str] | None = None) -> DataFrame:
+    """The newest parses below a cursor, one more than the limit so a caller sees whether there are more.
+
+    origin: what members of the JSON in the column origin must be, by their paths ("source.name").
+    """
     rows = parses
     for name, wanted in (("owner", owners), ("state", states)):
         if wanted is not None:
@@ -69,6 +73,8 @@ def listing(parses: DataFrame, limit: int, owners: list[int] | None = None, stat
         rows = rows.where(F.col("file_id") == file_id)
     for k, v in (labels or {}).items():
         rows = rows.where(F.col("labels")[k] == v)
+    for path, v in (origin or {}).items():
+        rows = rows.where(F.get_json_object("origin", "$." + path) == v)
     return rows.orderBy(F.desc("parse_id")).limit(limit + 1)
 
 
@@ -211,9 +217,11 @@ def reuse(pages: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def settle_counters(tasks: DataFrame) -> DataFrame:
-    """Pages open, done, failed and in all, of each parse."""
+    """Pages open, done, failed and in all, of each parse; where tasks say which were reused, those too."""
     s = F.col("state")
+    more = [F.count_if((s == "succeeded") & F.coalesce("reused", F.lit(False))).alias("pages_reused")] if "reused" in tasks.columns else []
     return tasks.groupBy("parse_id").agg(
+        *more,
         F.count_if(s.isin("queued", "leased")).alias("pages_open"), F.count_if(s == "succeeded").alias("pages_done"), F.count_if(s == "failed").alias("pages_failed"), F.count(F.lit(1)).alias("pages_total")
     )
 
@@ -233,6 +241,70 @@ def retry_answer(parses: DataFrame, counters: DataFrame, now: int, max_queued: i
     return p.select("parse_id", answer.alias("answer"))
 
 
+def retry_answers(asked: DataFrame, parses: DataFrame, tasks: DataFrame, groups: DataFrame, used: DataFrame, now: int) -> DataFrame:
+    """What asking for a retry meets: missing, not_terminal, busy, expired, unassembled, nothing, gone, queue_full,
+    budget_exhausted or retried; the first that holds. Each is judged alone, as things stand.
+
+    asked: owner, parse_id. parses: parse_id, owner, group_id, state, index_key, expires, pages_failed, pages_total. tasks: their
+    pages' rows (parse_id, state). groups: group_id, max_queued, pages_per_day (null or 0: no bound). used: group_id and the
+    pages its day has taken. A parse of another owner is missing; repeated asks are each answered; nulls in asked are missing.
+    """
+    s = F.col("state")
+    rows = tasks.groupBy("parse_id").agg(F.count_if(s.isin("queued", "leased")).alias("open"), F.count_if(s == "failed").alias("failed"), F.count(F.lit(1)).alias("rows"))
+    running = parses.where(s.isin("queued", "running")).groupBy("group_id").agg(F.count(F.lit(1)).alias("open_parses"))
+    facts = parses.join(rows, "parse_id", "left").join(groups, "group_id", "left").join(running, "group_id", "left").join(used.select("group_id", F.col("pages").alias("taken")), "group_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    answer = (
+        F.when(s.isNull(), "missing").when(s.isin("queued", "running"), "not_terminal").when(zero("open") > 0, "busy").when(F.col("expires") <= now, "expired").when(F.col("index_key").isNull(), "unassembled")
+        .when(F.col("pages_failed") == 0, "nothing").when((zero("failed") != F.col("pages_failed")) | (zero("rows") != F.col("pages_total")), "gone")
+        .when((zero("max_queued") > 0) & (zero("open_parses") >= F.col("max_queued")), "queue_full").when((zero("pages_per_day") > 0) & (zero("taken") + F.col("failed") > F.col("pages_per_day")), "budget_exhausted").otherwise("retried")
+    )
+    return asked.join(facts, ["owner", "parse_id"], "left").select("owner", "parse_id", answer.alias("answer"))
+
+
+#: What a claim of each kind is told beside the owner.
+TOLD = {"prepare": ("file", "pages"), "page": ("languages", "manifest", "reuse"), "assemble": ("manifest",), "extract": ("manifest", "index", "request", "progress"), "figure": ("languages", "figure")}
+
+
+def claim_told(claims: DataFrame) -> DataFrame:
+    """claims with context: what a worker is told, as JSON, by the claim's kind; what is null isn't told.
+
+    claims: kind, owner, and of TOLD's columns those there are, each null where the parse has none. A page's manifest is its
+    selection left out (manifest and selected are columns of their own), a figure's is {page, reuse}.
+    """
+    names = ["owner", *dict.fromkeys(n for own in TOLD.values() for n in own)]
+    told = [F.col(n) if n == "owner" else F.when(F.col("kind").isin([k for k, own in TOLD.items() if n in own]), F.col(n)) for n in names if n in claims.columns]
+    body = F.struct(*[c.alias(n) for c, n in zip(told, [n for n in names if n in claims.columns], strict=True)])
+    return claims.withColumn("context", F.to_json(body))
+
+
+def queue_bounds(view: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
+    """queue_groups' rows with the weight, and where there are any the bounds, of their group or project; 1 without a weight."""
+    more = [c for c in ("max_running", "max_queued") if c in bounds.columns]
+    return view.join(bounds.select(*by, "weight", *more), by, "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+
+
+def queue_scopes(pools: DataFrame, scopes: DataFrame, calls: DataFrame, now: int, groups: list[str] | None = None) -> DataFrame:
+    """Each pool's scopes: the ceiling as it has recovered by now, the pause that is on, and calls in flight.
+
+    Of some groups, only their scopes and the shared one (''), and their calls.
+    """
+    own, flying = scopes, calls
+    if groups is not None:
+        own, flying = own.where(F.col("scope").isin("", *groups)), flying.where(F.col("group_id").isin(groups))
+    flying = flying.groupBy("reader_id", "scope").agg(F.count(F.lit(1)).alias("in_flight"))
+    held = capacity.ceiling(F.col("ceiling"), F.col("raised_at"), F.col("max_in_flight"), F.lit(now))
+    paused = F.when(F.col("paused_until") > now, F.col("paused_until"))
+    rows = own.join(pools.select("reader_id", "max_in_flight"), "reader_id").join(flying, ["reader_id", "scope"], "left")
+    return rows.select("reader_id", "scope", held.alias("ceiling"), paused.alias("paused_until"), F.coalesce("in_flight", F.lit(0)).alias("in_flight"))
+
+
+def usage_window(since: Column, until: Column, now: Column, hourly: bool) -> Column:
+    """aligned_span with what is left out filled in: until now, and since a day before it by the hour, 30 days by the day."""
+    end = F.coalesce(until, now)
+    return aligned_span(F.coalesce(since, end - (86_400 if hourly else 30 * 86_400)), end, 3600 if hourly else 86_400)
+
+
 def claim_context(tasks: DataFrame, parses: DataFrame) -> DataFrame:
     """What a worker is told with a claimed task, as JSON by the task's kind."""
     joined = tasks.where("state = 'leased'").join(parses.select("parse_id", "owner", "group_id", "file_id"), "parse_id")

@@ -86,10 +86,11 @@ def turn_order(rows: DataFrame, order: list[str]) -> DataFrame:
 
 def share_metrics(dispatched: DataFrame, key: str) -> DataFrame:
     """Of dispatches in the order of seq: tasks served, units, the longest streak and how far ahead of an equal share."""
-    parts = dispatched.select(key).distinct().count()
-    w = Window.orderBy("seq")
-    rows = dispatched.withColumn("__run", F.row_number().over(w) - F.row_number().over(Window.partitionBy(key).orderBy("seq")))
-    rows = rows.withColumn("__ahead", F.row_number().over(Window.partitionBy(key).orderBy("seq")) - F.floor(F.row_number().over(w) / parts))
+    own = Window.partitionBy(key).orderBy("seq")
+    parts = dispatched.agg(F.count_distinct(F.col(key))).scalar()
+    # seq counts the dispatches from 1, so no window over all of them is needed.
+    rows = dispatched.withColumn("__k", F.row_number().over(own)).withColumn("__run", F.col("seq") - F.col("__k"))
+    rows = rows.withColumn("__ahead", F.col("__k") - F.floor(F.col("seq") / parts))
     streaks = rows.groupBy(key, "__run").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.max("n").alias("streak"))
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("served"), F.sum("cost").alias("units"), F.greatest(F.max("__ahead"), F.lit(0)).cast("long").alias("ahead")).join(streaks, key)
 

@@ -64,6 +64,32 @@ def overdue(parses: DataFrame, now: int) -> DataFrame:
     return late.withColumn("state", F.lit("failed")).withColumn("code", F.lit("deadline_exceeded"))
 
 
+def overdue_cascade(parses: DataFrame, tasks: DataFrame, now: int) -> DataFrame:
+    """What ending overdue parses does to their tasks: those queued or leased are canceled. parse_id, task_key, before."""
+    late = parses.where(F.col("state").isin("queued", "running") & (F.col("deadline") <= now)).select("parse_id")
+    return tasks.where(F.col("state").isin("queued", "leased")).join(late, "parse_id", "left_semi").select("parse_id", "task_key", F.col("state").alias("before"))
+
+
+def overdue_fields(fields: DataFrame, tasks: DataFrame, now: int) -> DataFrame:
+    """Pending extractions past their deadline, as they end, with the calls and tokens that their tasks used until then."""
+    late = fields.where((F.col("state") == "pending") & (F.col("deadline") <= now)).drop("calls", "input_tokens", "output_tokens")
+    used = tasks.select("parse_id", "name", "calls", "input_tokens", "output_tokens")
+    rows = late.join(used, ["parse_id", "name"], "left")
+    sums = [F.coalesce(c, F.lit(0)).alias(c) for c in ("calls", "input_tokens", "output_tokens")]
+    return rows.select("parse_id", "name", F.lit("failed").alias("state"), F.lit("deadline_exceeded").alias("code"), *sums)
+
+
+def overdue_figures(runs: DataFrame, figures: DataFrame, now: int) -> DataFrame:
+    """Running figure runs past their deadline: parse_id, how many pending figures are lost to them, failed then, and the run's end.
+
+    runs: parse_id, state, deadline, failed, done. A run of which something was described succeeds; else it fails.
+    """
+    late = runs.where((F.col("state") == "running") & (F.col("deadline") <= now))
+    lost = figures.where("state = 'pending'").groupBy("parse_id").agg(F.count(F.lit(1)).alias("lost"))
+    rows = late.join(lost, "parse_id", "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
+    return rows.select("parse_id", "lost", (F.col("failed") + F.col("lost")).alias("failed"), F.when(F.col("done") > 0, "succeeded").otherwise("failed").alias("state"))
+
+
 def orphans(objects: DataFrame, parses: DataFrame) -> DataFrame:
     """Stored objects (object_key: parses/<id>/..) of parses that no row names."""
     keyed = objects.withColumn("parse_id", F.split_part("object_key", F.lit("/"), F.lit(2)).cast("long"))

@@ -76,9 +76,17 @@ def page_faults(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("fault", fault).where("fault is not null").select("parse_id", "page", "ord", "fault")
 
 
+#: Commands whose first letter is a JSON escape too.
+COMMANDS = (
+    "bar begin beta big bigg bigcap bigcup binom bm boldsymbol bot boxed bullet frac forall flat nabla neq neg notin nu nmid nolimits nonumber newline nleq ngeq rho right rightarrow rangle rceil rfloor rvert rbrace rbrack "
+    "tau text textbf textit textrm texttt theta tilde times to top triangle tfrac tanh therefore"
+).split()
+
+
 def latex_repaired(reply: Column) -> Column:
-    """JSON whose strings hold LaTeX: backslashes that escape nothing are doubled."""
-    return F.regexp_replace(reply, r'(?<!\\)((?:\\\\)*)\\(?![\\"/bfnrtu])', r"$1\\\\")
+    """JSON whose strings hold LaTeX: backslashes that escape nothing, or begin a known command, are doubled."""
+    begins = rf"(?:(?:{'|'.join(COMMANDS)})(?![A-Za-z])|u(?![0-9A-Fa-f]{{4}})|[^\\\\\"/bfnrtu])"
+    return F.regexp_replace(reply, rf"(?<!\\)((?:\\\\)*)\\(?={begins})", r"$1\\\\")
 
 
 def completed_reply(reply: str) -> str | None:

@@ -32,8 +32,14 @@ def cell_text(cells: Column) -> Column:
 
 
 def transcription(blocks: DataFrame, by: list[str]) -> DataFrame:
-    """The words of each page: its blocks' squeezed texts but figures' and formulas', with a blank between."""
-    one = F.struct("ord", X.squeeze(F.col("text")).alias("s"))
+    """The words of each page: its blocks' squeezed texts but figures' and formulas', with a blank between.
+
+    A table with cells (a column of that name, if any) counts by them, so the marks that its text puts between them don't.
+    """
+    text = F.col("text")
+    if "cells" in blocks.columns:
+        text = F.when((F.col("kind") == "table") & (F.size("cells") > 0), cell_text(F.col("cells"))).otherwise(text)
+    one = F.struct("ord", X.squeeze(text).alias("s"))
     rows = blocks.where(texted(F.col("kind"))).groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("b"))
     return rows.select(*by, F.array_join(F.filter(F.transform("b", lambda x: x["s"]), lambda s: s != ""), " ").alias("words"))
 

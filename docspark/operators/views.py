@@ -150,8 +150,21 @@ def lookup(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("parse_id", "ref", answer.alias("answer"), F.when(answer == "found", F.col("kind")).alias("kind"))
 
 
-def figures(blocks: DataFrame, limit: int = MAX_FIGURES) -> DataFrame:
-    """Figures with a place, and the caption beside each: the next block's, else the one before."""
+def read_key(content: Column, page: Column, languages: Column, versions: Column) -> Column:
+    """What makes two reads of a page the same: the file's bytes, the page, the languages hinted, and every reader that may come
+    to read it with its version (reader=version texts). Empty if the bytes or a version aren't known."""
+    known = content.isNotNull() & (content != "") & F.forall(versions, lambda v: ~v.endswith("="))
+    return F.when(known, X.sha256_of(content, page.cast("string"), languages, F.array_join(versions, "\0"))).otherwise("")
+
+
+def figures(blocks: DataFrame, limit: int = MAX_FIGURES, redo: bool = True) -> DataFrame:
+    """Figures with a place, and the caption beside each: the next block's, else the one before.
+
+    Without redo those that have a description already (a column of blocks) are left out.
+    """
+    if not redo:
+        described_ = F.coalesce(F.col("description") != "", F.lit(False))
+        return figures(blocks.withColumn("kind", F.when((F.col("kind") == "figure") & described_, "described").otherwise(F.col("kind"))), limit)
     w = Window.partitionBy("parse_id", "page").orderBy("ord")
     rows = blocks.withColumn("__next", F.when(F.lead("kind").over(w) == "caption", F.lead("text").over(w))).withColumn("__prev", F.when(F.lag("kind").over(w) == "caption", F.lag("text").over(w)))
     own = rows.where((F.col("kind") == "figure") & F.col("box").isNotNull() & (F.col("state") == "succeeded"))

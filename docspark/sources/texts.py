@@ -75,7 +75,8 @@ def markdown_blocks(text: str) -> Iterator[tuple[str, int, str]]:
 
 
 def records(text: str) -> list[list[str]]:
-    """Rows of delimited text, ragged and with stray quotes as they are; empty lines are no rows."""
+    """Rows of delimited text, ragged and with stray quotes as they are; empty lines are no rows. A field has any length."""
+    csv.field_size_limit(1 << 31 - 1)
     return [r for r in csv.reader(io.StringIO(text, newline=""), strict=False) if r]
 
 
