@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from docspark.sources.office import BUILTIN, area, number_format, place, shown_number
 from docspark.sources.texts import CELLS
 
-#: Bounds of a package: entries, bytes of a part and in all, blocks, cells, hops of a style chain.
-MAX_ENTRIES, MAX_PART, MAX_TOTAL, MAX_BLOCKS, MAX_CELLS, MAX_HOPS = 10_000, 64 << 20, 128 << 20, 500_000, 1 << 20, 16
+#: Bounds of a package: entries, bytes of a part and in all, blocks, cells, hops of a style chain, depth of elements.
+MAX_ENTRIES, MAX_PART, MAX_TOTAL, MAX_BLOCKS, MAX_CELLS, MAX_HOPS, MAX_DEPTH = 10_000, 64 << 20, 128 << 20, 500_000, 1 << 20, 16, 256
 PAGE_BLOCK = f"struct<page:int,ord:int,kind:string,level:int,text:string,table:struct<rows:int,cols:int,cells:{CELLS}>>"
 
 
@@ -45,10 +45,15 @@ class Package:
         self.left -= len(raw)
         if b"<!DOCTYPE" in raw[:1024]:
             raise Corrupt("a part declares a document type")
+        depth = 0
         try:
-            return ET.fromstring(raw)
+            for event, e in ET.iterparse(io.BytesIO(raw), ("start", "end")):
+                depth += 1 if event == "start" else -1
+                if depth > MAX_DEPTH:
+                    raise Corrupt("elements are nested too deep")
         except ET.ParseError as e:
             raise Corrupt(str(e)) from e
+        return e
 
     def relations(self, part: str) -> dict[str, tuple[str, str]]:
         """id -> (kind, target part) of a part; "" is the package."""
@@ -92,8 +97,43 @@ def children(e: ET.Element, name: str) -> list[ET.Element]:
 
 # --- Word ----------------------------------------------------------------------------------------------------------
 
-#: Deleted and moved-away runs, and the fallback of alternate content, aren't part of the text.
-_DROPPED = {"del", "moveFrom", "delText", "instrText", "Fallback", "rPr"}
+#: Elements that are no part of the text, what in a drawing shows something, and the most columns of a span.
+DROPPED = frozenset("del moveFrom delText instrText delInstrText rt pPrChange rPrChange sectPr sdtPr sdtEndPr tblPr tblPrEx customXmlPr Fallback rPr pPr".split())
+PICTURED = frozenset("blip imagedata chart relIds OLEObject contentPart".split())
+MAX_SPAN = 1000
+#: What a raised and a lowered run in a cell are marked with, so that km2 with a raised 2 isn't read as km2.
+MARKS = {"superscript": "^", "subscript": "_"}
+
+
+def found(e: ET.Element, names: frozenset[str] | set[str], dropped: frozenset[str] = DROPPED) -> Iterator[ET.Element]:
+    """The outermost elements below e with such names, in their order; what is dropped isn't looked into."""
+    todo = [iter(e)]
+    while todo:
+        c = next(todo[-1], None)
+        if c is None:
+            todo.pop()
+        elif (name := local(c.tag)) in names:
+            yield c
+        elif name not in dropped:
+            todo.append(iter(c))
+
+
+def switched(e: ET.Element | None) -> bool:
+    return e is not None and attribute(e, "val") not in ("0", "false", "off")
+
+
+def count_of(e: ET.Element | None, least: int) -> int:
+    """A number that is written on an element, held to MAX_SPAN."""
+    raw = (attribute(e, "val") or "") if e is not None else ""
+    return min(max(int(raw), least), MAX_SPAN) if re.fullmatch(r"[+-]?[0-9]{1,18}", raw) else least
+
+
+class Text:
+    """A paragraph's text in the making, its figures, and the blocks of text boxes in it."""
+
+    def __init__(self):
+        self.parts: list[str] = []
+        self.figures, self.inside = 0, []
 
 
 class Document:
@@ -101,7 +141,10 @@ class Document:
         self.package = package
         self.part = package.main("word/document.xml")
         self.styles: dict[str, dict] = {}
-        self.cited: list[tuple[str, str]] = []
+        self.cited: dict[tuple[str, str], None] = {}
+        # Cells around the text at hand, cells of all tables, blocks in blocks, and runs whose mark is set.
+        self.depth = self.cells = self.nested = 0
+        self.marked: set[ET.Element] = set()
         targets = package.relations(self.part).values()
         self.targets = {kind: path for kind, path in targets}
         if package.has(self.targets.get("styles", "")):
@@ -142,75 +185,100 @@ class Document:
             return "heading", min(outline + 1, 6)
         return ("list_item", 0) if listed else ("text", 0)
 
-    def runs(self, e: ET.Element, figures: list[int], inside: list[dict]) -> Iterator[str]:
-        for c in e:
-            name = local(c.tag)
-            if name == "t":
-                yield c.text or ""
-            elif name == "tab" and local(e.tag) == "r":
-                yield "\t"
-            elif name == "cr" or (name == "br" and attribute(c, "type") in (None, "textWrapping")):
-                yield "\n"
-            elif name == "noBreakHyphen":
-                yield "-"
-            elif name in ("footnoteReference", "endnoteReference"):
-                key = (name.removesuffix("Reference"), attribute(c, "id") or "")
-                if key not in self.cited:
-                    self.cited.append(key)
-            elif name in ("drawing", "pict", "object"):
-                boxes = [x for x in c.iter() if local(x.tag) == "txbxContent"]
-                for b in boxes[:1]:
-                    inside += self.blocks(b)
-                if not boxes:
-                    figures.append(1)
-            elif name not in _DROPPED and name != "pPr":
-                yield from self.runs(c, figures, inside)
+    def _text(self, e: ET.Element, run: ET.Element | None, into: Text) -> None:
+        said = e.text or ""
+        place = child(run, "rPr", "vertAlign") if run is not None and self.depth else None
+        if said and place is not None and run not in self.marked:
+            said = MARKS.get(attribute(place, "val") or "", "") + said
+            self.marked.add(run)
+        into.parts.append(said)
+
+    def _break(self, e: ET.Element, run: ET.Element | None, into: Text) -> None:
+        into.parts.append("\n" if attribute(e, "type") in (None, "textWrapping") else "")
+
+    def _note(self, e: ET.Element, run: ET.Element | None, into: Text) -> None:
+        self.cited.setdefault((local(e.tag).removesuffix("Reference"), attribute(e, "id") or ""))
+
+    def _graphic(self, e: ET.Element, run: ET.Element | None, into: Text) -> None:
+        kinds = [local(x.tag) for x in found(e, PICTURED | {"txbxContent"}, frozenset({"Fallback"}))]
+        into.figures += any(k in PICTURED for k in kinds)
+        for box in found(e, {"txbxContent"}, frozenset({"Fallback"})):
+            into.inside += self.blocks(box)
 
     def paragraph(self, p: ET.Element) -> list[dict]:
-        figures: list[int] = []
-        inside: list[dict] = []
-        text = "".join(self.runs(p, figures, inside)).strip()
+        into = Text()
+        todo: list[tuple[ET.Element | None, Iterator[ET.Element]]] = [(None, iter(p))]
+        while todo:
+            run, below = todo[-1]
+            c = next(below, None)
+            if c is None:
+                todo.pop()
+                continue
+            name = local(c.tag)
+            if name in HANDLERS:
+                HANDLERS[name](self, c, run, into)
+            elif name not in DROPPED:
+                todo.append((c if name == "r" else run, iter(c)))
+        text = "".join(into.parts).strip()
         kind, level = self.kind(self.properties(child(p, "pPr")))
         out = [{"kind": kind, "level": level, "text": text, "table": None}] if text else []
-        return out + [{"kind": "figure", "level": 0, "text": "", "table": None} for _ in figures] + inside
-
-    def table(self, e: ET.Element) -> dict | None:
+        return out + [_figure() for _ in range(into.figures)] + into.inside
+
+    def row(self, tr: ET.Element) -> Iterator[tuple[int, int, bool, str | None, str, int]]:
+        """(column, columns, header, merge, text, figures) of a row's cells; none of a row that a tracked change deleted."""
+        own = child(tr, "trPr")
+        if child(own, "del") is not None:
+            return
+        col, header = count_of(child(own, "gridBefore"), 0), switched(child(own, "tblHeader"))
+        for tc in found(tr, {"tc"}, DROPPED | {"trPr"}):
+            merge = child(tc, "tcPr", "vMerge")
+            width = count_of(child(tc, "tcPr", "gridSpan"), 1)
+            self.depth += 1
+            inner = self.blocks(tc)
+            self.depth -= 1
+            text = "\n".join(b["text"] for b in inner if b["text"])
+            yield col, width, header, None if merge is None else "new" if attribute(merge, "val") == "restart" else "more", text, sum(b["kind"] == "figure" for b in inner)
+            col += width
+
+    def table(self, e: ET.Element) -> list[dict]:
+        """A table's block, then a figure for each picture in its cells; a table without a cell is none."""
+        grid = child(e, "tblGrid")
+        cols = min(sum(local(g.tag) == "gridCol" for g in grid), MAX_SPAN) if grid is not None else 0
         cells: list[dict] = []
-        above: dict[int, dict] = {}
-        rows = cols = 0
-        for tr in (x for x in e if local(x.tag) == "tr"):
-            header, col = child(tr, "trPr", "tblHeader") is not None, 0
-            before = child(tr, "trPr", "gridBefore")
-            col += int(attribute(before, "val") or 0) if before is not None else 0
-            for tc in (x for x in tr if local(x.tag) == "tc"):
-                span, merge = child(tc, "tcPr", "gridSpan"), child(tc, "tcPr", "vMerge")
-                width = max(1, int(attribute(span, "val") or 1)) if span is not None else 1
-                if merge is not None and attribute(merge, "val") != "restart" and col in above:
-                    above[col]["row_span"] += 1
-                else:
-                    text = "\n".join(b["text"] for b in self.blocks(tc) if b["text"])
-                    cells.append({"row": rows, "col": col, "row_span": 1, "col_span": width, "header": header, "text": text})
-                    above[col] = cells[-1]
-                col += width
-            cols, rows = max(cols, col), rows + 1
-        if not cells or len(cells) > MAX_CELLS:
-            return None
+        open_: dict[int, dict] = {}
+        rows = figures = 0
+        for tr in found(e, {"tr"}):
+            own = list(self.row(tr))
+            if not own and child(tr, "trPr", "del") is not None:
+                continue
+            for col, width, header, merge, text, pictures in own:
+                figures += pictures
+                cols = max(cols, col + width)
+                if merge == "more" and col in open_:
+                    held = open_[col]
+                    held["row_span"], held["text"] = held["row_span"] + 1, "\n".join(x for x in (held["text"], text) if x)
+                    continue
+                cells.append({"row": rows, "col": col, "row_span": 1, "col_span": width, "header": header, "text": text})
+                open_.pop(col, None)
+                if merge == "new":
+                    open_[col] = cells[-1]
+            rows += 1
+        self.cells += rows * cols
+        if self.cells > MAX_CELLS:
+            raise Corrupt("too many cells")
         lines: dict[int, list[str]] = {}
         for c in cells:
             lines.setdefault(c["row"], []).append(c["text"])
-        return {"kind": "table", "level": 0, "text": "\n".join(" | ".join(x) for x in lines.values()), "table": {"rows": rows, "cols": cols, "cells": cells}}
+        block = {"kind": "table", "level": 0, "text": "\n".join(" | ".join(x) for x in lines.values()), "table": {"rows": rows, "cols": cols, "cells": cells}}
+        return ([block] if cells else []) + [_figure() for _ in range(figures)]
 
     def blocks(self, e: ET.Element) -> list[dict]:
-        out: list[dict] = []
-        for c in e:
-            name = local(c.tag)
-            if name == "p":
-                out += self.paragraph(c)
-            elif name == "tbl":
-                table = self.table(c)
-                out += [table] if table else []
-            elif name not in _DROPPED:
-                out += self.blocks(c)
+        """What stands below e: paragraphs and tables, wrappers read through."""
+        self.nested += 1
+        if self.nested > MAX_DEPTH:
+            raise Corrupt("nested too deep")
+        out = [b for c in found(e, {"p", "tbl"}, DROPPED | {"tcPr"}) for b in (self.paragraph(c) if local(c.tag) == "p" else self.table(c))]
+        self.nested -= 1
         return out
 
     def read(self) -> list[dict]:
@@ -219,13 +287,24 @@ class Document:
         for kind in ("footnote", "endnote"):
             name = self.targets.get(kind + "s", "")
             if self.package.has(name):
-                notes = {attribute(n, "id"): " ".join(b["text"] for b in self.blocks(n) if b["text"]) for n in self.package.xml(name)}
-                out += [{"kind": "footnote", "level": 0, "text": notes[i], "table": None} for k, i in self.cited if k == kind and notes.get(i)]
+                notes = {attribute(n, "id"): "\n".join(b["text"] for b in self.blocks(n) if b["text"]) for n in self.package.xml(name) if attribute(n, "type") in (None, "normal")}
+                out += [{"kind": "footnote", "level": 0, "text": notes[i], "table": None} for k, i in list(self.cited) if k == kind and notes.get(i)]
         if len(out) > MAX_BLOCKS:
             raise Corrupt("too many blocks")
         return [{"page": 1, "ord": i + 1, **b} for i, b in enumerate(out)]
 
 
+def _figure() -> dict:
+    return {"kind": "figure", "level": 0, "text": "", "table": None}
+
+
+#: How elements inside a paragraph are read: by the element, the run it stands in, and the text in the making.
+HANDLERS = {
+    "t": Document._text, "br": Document._break, "cr": lambda self, e, run, into: into.parts.append("\n"), "noBreakHyphen": lambda self, e, run, into: into.parts.append("-"),
+    "tab": lambda self, e, run, into: into.parts.append("\t" if run is not None else ""), **dict.fromkeys(("footnoteReference", "endnoteReference"), Document._note), **dict.fromkeys(("drawing", "pict", "object"), Document._graphic),
+}
+
+
 # --- spreadsheets --------------------------------------------------------------------------------------------------
 
 

@@ -126,7 +126,7 @@ def test_word_files():
     merged = "<w:tbl>" + "".join(f"<w:tr><w:tc><w:tcPr><w:vMerge{v}/></w:tcPr>{p(t)}</w:tc><w:tc>{p('x')}</w:tc></w:tr>" for v, t in ((' w:val="restart"', "tall"), ("", ""))) + "</w:tbl>"
     data = package(
         {
-            "word/document.xml": f'<w:document {w}><w:body>{p("T", "Title")}{p("One", "H")}{p("item", "L")}{p("see", None, "<w:r><w:footnoteReference w:id=\'2\'/></w:r>")}<w:p><w:r><w:drawing/></w:r></w:p>{p("Cap", "Caption")}<w:del>{p("gone")}</w:del><w:ins>{p("new")}</w:ins>{merged}</w:body></w:document>',
+            "word/document.xml": f'<w:document {w}><w:body>{p("T", "Title")}{p("One", "H")}{p("item", "L")}{p("see", None, "<w:r><w:footnoteReference w:id=\'2\'/></w:r>")}<w:p><w:r><w:drawing><w:blip/></w:drawing></w:r></w:p>{p("Cap", "Caption")}<w:del>{p("gone")}</w:del><w:ins>{p("new")}</w:ins>{merged}</w:body></w:document>',
             "word/_rels/document.xml.rels": f'<Relationships><Relationship Id="a" Type="{rel}/styles" Target="styles.xml"/><Relationship Id="b" Type="{rel}/footnotes" Target="footnotes.xml"/></Relationships>',
             "word/styles.xml": f'<w:styles {w}><w:style w:styleId="H"><w:name w:val="custom"/><w:basedOn w:val="H2"/></w:style><w:style w:styleId="H2"><w:name w:val="heading 2"/></w:style><w:style w:styleId="L"><w:name w:val="bullets"/><w:pPr><w:numPr><w:numId w:val="3"/></w:numPr></w:pPr></w:style></w:styles>',
             "word/footnotes.xml": f'<w:footnotes {w}><w:footnote w:id="1">{p("unused")}</w:footnote><w:footnote w:id="2">{p("a note")}</w:footnote></w:footnotes>',
@@ -140,6 +140,66 @@ def test_word_files():
     assert blocks[7]["table"]["cells"][0]["row_span"] == 2
 
 
+W_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+
+
+def word_blocks(body, **more):
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    parts = {"word/document.xml": f"<w:document {W_NS}><w:background><w:p><w:r><w:t>beside</w:t></w:r></w:p></w:background><w:body>{body}</w:body></w:document>"}
+    parts |= {f"word/{k}.xml": f"<w:{k} {W_NS}>{v}</w:{k}>" for k, v in more.items()}
+    parts["word/_rels/document.xml.rels"] = "<Relationships>" + "".join(f'<Relationship Id="{k}" Type="{rel}/{k}" Target="{k}.xml"/>' for k in more) + "</Relationships>"
+    return ooxml.read(package(parts))
+
+
+def test_texts_of_word_paragraphs():
+    r = lambda s, props="": f'<w:r>{f"<w:rPr>{props}</w:rPr>" if props else ""}<w:t xml:space="preserve">{s}</w:t></w:r>'
+    body = (
+        f'<w:p><w:pPr><w:tabs><w:tab/></w:tabs></w:pPr><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t><w:br/><w:t>c</w:t><w:br w:type="page"/><w:t>-d</w:t><w:noBreakHyphen/><w:t>e</w:t></w:r></w:p>'
+        f"<w:p>{r('The fee is ')}<w:del><w:r><w:delText>1</w:delText></w:r></w:del><w:ins>{r('2')}</w:ins><w:moveFrom>{r(' gone')}</w:moveFrom><w:smartTag>{r('.')}</w:smartTag></w:p>"
+        f"<w:p><w:r><w:ruby><w:rt>{r('over')}</w:rt><w:rubyBase>{r('base')}</w:rubyBase></w:ruby></w:r></w:p><w:p><m:oMath><m:r><m:t>x+y</m:t></m:r></m:oMath></w:p>"
+        f"<w:sdt><w:sdtPr><w:p>{r('no')}</w:p></w:sdtPr><w:sdtContent><w:p>{r('held')}</w:p></w:sdtContent></w:sdt><w:p>{r('1')}{r('st', '<w:vertAlign w:val=' + chr(34) + 'superscript' + chr(34) + '/>')}</w:p>"
+    )
+    blocks, error = word_blocks(body)
+    assert error is None and [b["text"] for b in blocks] == ["a\tb\nc-d\u002de", "The fee is 2.", "base", "x+y", "held", "1st"]
+
+
+def test_cells_of_word_tables():
+    p = lambda s: f"<w:p><w:r><w:t>{s}</w:t></w:r></w:p>"
+    tc = lambda content, props="": f"<w:tc><w:tcPr>{props}</w:tcPr>{content}</w:tc>"
+    raised = '<w:p><w:r><w:t>km</w:t></w:r><w:r><w:rPr><w:vertAlign w:val="superscript"/></w:rPr><w:t>2</w:t></w:r><w:r><w:rPr><w:vertAlign w:val="subscript"/></w:rPr><w:t>i</w:t><w:t>j</w:t></w:r></w:p>'
+    picture = "<w:p><w:r><w:drawing><a:blip/></w:drawing></w:r></w:p>"
+    nested = f"<w:tbl><w:tr>{tc(p('in'))}{tc(p('side'))}</w:tr></w:tbl>"
+    body = (
+        "<w:tbl><w:tblGrid><w:gridCol/><w:gridCol/><w:gridCol/><w:tblGridChange><w:tblGrid><w:gridCol/></w:tblGrid></w:tblGridChange></w:tblGrid>"
+        f"<w:tr><w:trPr><w:tblHeader/></w:trPr>{tc(p('Region'), '<w:gridSpan w:val=%s2%s/>' % (chr(34), chr(34)))}{tc(p('Total'))}</w:tr>"
+        f"<w:tr>{tc(p('North'), '<w:vMerge w:val=%srestart%s/>' % (chr(34), chr(34)))}{tc(raised)}{tc(p('9'))}</w:tr><w:tr>{tc(p('more'), '<w:vMerge/>')}{tc(picture + p('a'))}{tc(nested)}</w:tr>"
+        f"<w:tr><w:trPr><w:del/></w:trPr>{tc(p('deleted'))}</w:tr><w:sdt><w:sdtContent><w:tr><w:trPr><w:gridBefore w:val='1'/><w:tblHeader w:val='0'/></w:trPr>{tc(p('alone'), '<w:vMerge/>')}{tc(p('kept'))}</w:tr></w:sdtContent></w:sdt></w:tbl><w:tbl/>"
+    )
+    blocks, error = word_blocks(body)
+    assert error is None and [b["kind"] for b in blocks] == ["table", "figure"]
+    t = blocks[0]["table"]
+    assert (t["rows"], t["cols"]) == (4, 3) and [(c["row"], c["col"], c["row_span"], c["col_span"], c["header"], c["text"]) for c in t["cells"]] == [
+        (0, 0, 1, 2, True, "Region"), (0, 2, 1, 1, True, "Total"), (1, 0, 2, 1, False, "North\nmore"), (1, 1, 1, 1, False, "km^2_ij"), (1, 2, 1, 1, False, "9"), (2, 1, 1, 1, False, "a"), (2, 2, 1, 1, False, "in | side"), (3, 1, 1, 1, False, "alone"), (3, 2, 1, 1, False, "kept"),
+    ]
+    wide = f"<w:tbl><w:tr>{tc(p('wide'), '<w:gridSpan w:val=%s2000000000%s/>' % (chr(34), chr(34)))}</w:tr></w:tbl>"
+    assert word_blocks(wide)[0][0]["table"]["cols"] == 1000
+    assert "nested too deep" in word_blocks("<w:sdt>" * 300 + "</w:sdt>" * 300)[1]
+
+
+def test_figures_and_notes_of_word_files():
+    p = lambda s: f"<w:p><w:r>{s}</w:r></w:p>"
+    box = f"<w:drawing><w:txbxContent><w:p><w:r><w:t>boxed</w:t></w:r></w:p></w:txbxContent><Fallback><a:blip/></Fallback></w:drawing>"
+    cite = lambda k, i: f'<w:{k}Reference w:id="{i}"/>'
+    note = lambda k, i, text, more="": f'<w:{k} w:id="{i}"{more}><w:p><w:r><w:t>{text}</w:t></w:r></w:p><w:p><w:r><w:t>end</w:t></w:r></w:p></w:{k}>'
+    body = p("<w:pict><w:line/></w:pict>") + p(box) + p("<w:object><OLEObject/></w:object>") + p("<w:t>says</w:t>" + cite("footnote", 3) + cite("endnote", 1) + cite("footnote", 2) + cite("footnote", 3) + cite("footnote", 0) + cite("footnote", 9))
+    blocks, error = word_blocks(body, footnotes=note("footnote", 2, "two") + note("footnote", 3, "three") + note("footnote", 0, "no", ' w:type="separator"'), endnotes=note("endnote", 1, "one"))
+    assert error is None and [(b["kind"], b["text"]) for b in blocks] == [("text", "boxed"), ("figure", ""), ("text", "says"), ("footnote", "three\nend"), ("footnote", "two\nend"), ("footnote", "one\nend")]
+
+
+def test_long_fields_of_delimited_text():
+    assert texts.records("a," + "x" * 300_000 + "\nb") == [["a", "x" * 300_000], ["b"]]
+
+
 def test_workbooks():
     blocks, error = ooxml.read(ooxml.workbook_file("Ledger"))
     assert error is None and [(b["page"], b["kind"], b["text"]) for b in blocks] == [(1, "title", "Ledger"), (1, "table", "Ledger | 2026-01-05\nTRUE | 28.6%")]
