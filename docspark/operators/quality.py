@@ -124,7 +124,10 @@ def matched(truth: list[dict], found: list[dict]) -> list[int]:
 
 
 def matches(truth: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
-    """by, ord (of the truth block), found_ord (null for none). A page is one group: its blocks are compared with its own."""
+    """by, ord (of the truth block), found_ord (null for none). A page is one group: its blocks are compared with its own.
+
+    A null text counts as empty, and an empty text is like no other.
+    """
 
     def run(key, t: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         t, f = t.sort_values("ord"), f.sort_values("ord")
@@ -135,7 +138,7 @@ def matches(truth: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
 
     def own(df: DataFrame) -> DataFrame:
         box = F.col("box") if "box" in df.columns else F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")
-        return df.select(*by, F.col("ord").cast("int").alias("ord"), "kind", X.squeeze(F.col("text")).alias("text"), box.alias("box"))
+        return df.select(*by, F.col("ord").cast("int").alias("ord"), "kind", F.coalesce(X.squeeze(F.col("text")), F.lit("")).alias("text"), box.alias("box"))
 
     t, f = own(truth), own(found)
     schema = t.select(*by, "ord").schema.add("found_ord", "integer")

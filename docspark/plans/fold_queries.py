@@ -13,11 +13,13 @@ from docspark.operators import chunks as D
 from docspark.operators import control as C
 from docspark.operators import extract as E
 from docspark.operators import layout as LY
+from docspark.operators import quality as Q
 from docspark.operators import views as V
 from docspark.operators.capacity import RECOVERY
-from docspark.plans.assembly_queries import _ALL, table_blocks
-from docspark.plans.bind import blocks
+from docspark.plans.assembly_queries import _ALL, _MD, _OUTLINE, table_blocks
+from docspark.plans.bind import blocks, sql_squeeze
 from docspark.plans.entry import Entries
+from docspark.plans.quality_queries import _TRUTH, truth_and_found
 from docspark.session import new_path, prepare, table
 from docspark.sources import glyphs, office, ooxml, sinks
 from docspark.sources import texts as T
@@ -75,6 +77,14 @@ def windows_pack_wide(spark, sf_dir):
     return found.select("parse_id", "window", "text", F.array_join("refs", ",").alias("refs"), "code")
 
 
+@ENTRIES.add(_ALL + f""", {_OUTLINE}, md AS (SELECT t.parse_id, t.page, t.ord, {_MD} AS s FROM titled t LEFT JOIN (SELECT parse_id, ref, least(greatest(level, 1), 6) AS level FROM outline) o USING (parse_id, ref) WHERE state = 'succeeded'),
+  p AS (SELECT parse_id, page, '<!-- page ' || page || ' -->' || chr(10) || string_agg(chr(10) || s || chr(10), '' ORDER BY ord) AS s FROM md WHERE s <> '' GROUP BY 1, 2) SELECT parse_id, string_agg(s, chr(10) ORDER BY page) AS body FROM p GROUP BY 1""")
+def markdown_render_pages(spark, sf_dir):
+    """All blocks, furniture too, with a comment before each page's."""
+    doc = A.assembled(blocks(spark, sf_dir))
+    return V.markdown(doc, A.outline(doc), repeated="keep", page_breaks=True)
+
+
 @ENTRIES.add("""WITH p AS (SELECT doc_id // 10 AS parse_id, CAST(doc_id % 10 + 1 AS INT) AS page, doc_id % 17 = 3 AS failed, doc_id % 7 = 0 AS noted, doc_id // 3 % 2 AS head, 2 + doc_id % 29 % 2 AS cols FROM documents),
   j AS (SELECT *, lag(page) OVER w = page - 1 AND NOT noted AND lag(head) OVER w = head AND lag(cols) OVER w = cols AS goes_on FROM p WHERE NOT failed WINDOW w AS (PARTITION BY parse_id ORDER BY page)),
   k AS (SELECT *, sum((goes_on IS NOT TRUE)::INT) OVER (PARTITION BY parse_id ORDER BY page) AS run FROM j),
@@ -168,6 +178,23 @@ def strict_schemas(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), run(source).alias("strict"))
 
 
+_WORDS = sql_squeeze("text")
+
+
+@ENTRIES.add(f"""WITH RECURSIVE {_TRUTH}, t AS (SELECT doc, page, ord, {_WORDS} AS s, row_number() OVER (PARTITION BY doc, page ORDER BY ord) AS i FROM truth), f AS (SELECT doc, page, ord, {_WORDS} AS s, row_number() OVER (PARTITION BY doc, page ORDER BY ord) AS j FROM found),
+  p AS (SELECT doc, page, i, j, greatest(length(t.s), length(f.s)) AS longer, least(length(t.s), length(f.s)) AS shorter, levenshtein(t.s, f.s) AS d FROM t JOIN f USING (doc, page)),
+  c AS (SELECT doc, page, i, j, row_number() OVER (PARTITION BY doc, page ORDER BY 1 - d / longer::DOUBLE DESC, abs(i - j), i, j) AS r FROM p WHERE longer > 0 AND shorter >= {Q.SIMILAR}::DOUBLE * longer AND 1 - d / longer::DOUBLE >= {Q.SIMILAR}::DOUBLE),
+  w AS (SELECT DISTINCT doc, page, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS ti, CAST([] AS BIGINT[]) AS fj, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j FROM t
+    UNION ALL SELECT doc, page, r, CASE WHEN free THEN list_append(ti, ci) ELSE ti END, CASE WHEN free THEN list_append(fj, cj) ELSE fj END, CASE WHEN free THEN ci END, CASE WHEN free THEN cj END FROM (
+      SELECT w.doc, w.page, c.r, w.ti, w.fj, c.i AS ci, c.j AS cj, NOT list_contains(w.ti, c.i) AND NOT list_contains(w.fj, c.j) AS free FROM w JOIN c ON c.doc = w.doc AND c.page = w.page AND c.r = w.r + 1)),
+  m AS (SELECT doc, page, i, j FROM w WHERE i IS NOT NULL)
+  SELECT t.doc, t.page, t.ord, f.ord AS found_ord FROM t LEFT JOIN m USING (doc, page, i) LEFT JOIN f ON f.doc = t.doc AND f.page = t.page AND f.j = m.j""")
+def greedy_match_ascii(spark, sf_dir):
+    """greedy_match of texts without other characters, for DuckDB's levenshtein counts bytes."""
+    truth, read = truth_and_found(spark, sf_dir, ascii_only=True)
+    return Q.matches(truth, read, ["doc", "page"])
+
+
 # --- layout ----------------------------------------------------------------------------------------------------------
 
 def _box(x0, y0, x1, y1):
