@@ -496,16 +496,17 @@ def format_chats(df: DataFrame, template: str = CHATML, id_col: str = "conv_id",
     """One row per conversation: conv_id, formatted, loss_spans (code points of formatted under the loss mask).
 
     Turns stand in the order of turn, then role, then text, so ties and repeated rows have one result. A null text or
-    role is empty; rows with a null id are one conversation; other columns are ignored; an empty table gives no rows. A
-    conversation is one task's work, as its text is one value; rows stream through sorted, so a task never holds more
-    than one conversation.
+    role is empty; a row with a null id is a conversation of its own, as nothing tells with which others it belongs; other
+    columns are ignored; an empty table gives no rows. A conversation is one task's work, as its text is one value; rows
+    stream through sorted, so a task never holds more than one conversation.
     """
     prepare(df.sparkSession)
     Template(template)
     own = df.select(
         df[id_col].alias("conv_id"), df[turn_col].alias("__turn"), F.coalesce(df[role_col], F.lit("")).alias("__role"), F.coalesce(df[text_col], F.lit("")).alias("__text")
     )
-    own = own.repartition("conv_id").sortWithinPartitions("conv_id", "__turn", "__role", "__text")
+    # Rows without an id are dealt out by what they hold.
+    own = own.repartition(F.coalesce(F.when(F.col("conv_id").isNotNull(), F.xxhash64("conv_id")), F.xxhash64("__turn", "__role", "__text"))).sortWithinPartitions("conv_id", "__turn", "__role", "__text")
 
     def run(batches):
         compiled = Template(template)
@@ -527,7 +528,7 @@ def format_chats(df: DataFrame, template: str = CHATML, id_col: str = "conv_id",
         for batch in batches:
             kind = batch.column(0).type
             for conv, _, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if messages and conv != current:
+                if messages and (conv != current or conv is None):
                     close()
                     messages = []
                     if len(done) >= 500:

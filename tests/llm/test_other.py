@@ -191,6 +191,12 @@ def test_chats_are_read_back(spark, sf_dir):
     assert texts[-1].count("<|im_start|>") == texts[-1].count("<|im_end|>") == 2
 
 
+def test_rows_without_an_id_are_conversations_of_their_own(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (1, 0, "user", "c"), (1, 1, "assistant", "d")]
+    found = C.digests(C.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert sorted((r.conv_id or 0, r.n_turns, r.loss_chars) for r in found) == [(0, 1, 0), (0, 1, 1), (0, 1, 1), (1, 2, 1)]
+
+
 def test_template_language():
     t = C.Template("{% set x = 'a' + 'b' %}{%- if 1 == 2 %}no{% elif true or y %}yes {{ x | upper }}{% endif -%}  {{ 'k' + 'l' }}!{# note #}{% for i in l %}{{ loop.index0 }}{{ i['n'] }}{% if not loop.last %},{% endif %}{% endfor %}")
     assert t.render(l=[{"n": 5}, {}]).text == "yes ABkl!05,1"
