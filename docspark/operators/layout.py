@@ -143,11 +143,12 @@ class Lines:
         return Lines(self.page, [self.words[i] for i in order], self.baseline[np.asarray(order, np.int64)])
 
 
-def lines_of(page: Page) -> Lines:
-    """Words on one baseline; marks in small type beside a line are part of it."""
-    if not page.text:
+def lines_of(page: Page, free: np.ndarray | None = None) -> Lines:
+    """Words (those that are free, if told) on one baseline; marks in small type beside a line are part of it."""
+    own = np.arange(len(page.text)) if free is None else np.flatnonzero(free)
+    if not len(own):
         return Lines(page, [], [])
-    order = np.lexsort((page.x0, page.baseline))
+    order = own[np.lexsort((page.x0[own], page.baseline[own]))]
     base, size = page.baseline[order], page.size[order]
     # Runs of one baseline and size are on one line; only their first words are compared with lines.
     runs = np.flatnonzero(np.concatenate([[True], (np.diff(base) != 0) | (np.diff(size) != 0)]))
@@ -190,6 +191,15 @@ def pieces_of(lines: Lines) -> tuple[Lines, np.ndarray]:
     return Lines(page, parts, lines.baseline[line]), line
 
 
+class Pieces:
+    """What stands on a page, lines and regions (tables and figures) alike: places, and words (none in a region)."""
+
+    def __init__(self, lines: Lines, boxes: list[tuple[float, float, float, float]]):
+        more = np.array(boxes, float).reshape(-1, 4).T
+        self.x0, self.y0, self.x1, self.y1 = (np.concatenate([a, b]) for a, b in zip((lines.x0, lines.y0, lines.x1, lines.y1), more, strict=True))
+        self.n = np.concatenate([lines.n, np.zeros(len(boxes), np.int64)])
+
+
 class Strips:
     """The strips between pieces side by side, and the paper that no piece enters, of a run of rows.
 
@@ -248,7 +258,7 @@ class Strips:
 SIDE_BY_SIDE, MAX_STRAY = 0.3, 1.5
 
 
-def band(pieces: Lines, rows: list[list[int]]) -> tuple[int, tuple[float, float] | None]:
+def band(pieces: Pieces, rows: list[list[int]]) -> tuple[int, tuple[float, float] | None]:
     """How many of the rows (pieces, downward) share their gutters, and the widest one."""
     held = Strips()
     # Pieces above that reach down to the row at hand; rows come by their tops, so the others never meet another row.
@@ -274,14 +284,20 @@ def band(pieces: Lines, rows: list[list[int]]) -> tuple[int, tuple[float, float]
     return len(rows), held.widest()
 
 
-def is_prose(pieces: Lines, side: list[list[int]]) -> bool:
-    """Whether one side of a gutter is a column of prose: lines enough, most as wide as the column, words enough."""
+def is_prose(pieces: Pieces, side: list[list[int]]) -> bool:
+    """Whether one side of a gutter is a column of prose: lines enough, most as wide as the column, words enough.
+
+    A side without a line, only regions, stands beside prose and passes.
+    """
     own = np.concatenate(side)
+    own = own[pieces.n[own] > 0]
+    if not len(own):
+        return True
     wide = pieces.x1[own] - pieces.x0[own]
     return len(own) >= COLUMN_LINES and np.mean(wide >= FULL_LINE * wide.max()) >= FULL_LINES and pieces.n[own].mean() >= COLUMN_WORDS
 
 
-def is_stray(pieces: Lines, left: list[list[int]], right: list[list[int]]) -> bool:
+def is_stray(pieces: Pieces, left: list[list[int]], right: list[list[int]]) -> bool:
     """Whether the order of columns may misplace a line: one on the left that begins below the right side's end, or one on the
     right that ends above the left side's start, and that stands off its column by more than MAX_STRAY pitches."""
     tops = [np.array([pieces.y0[row].min() for row in side]) for side in (left, right)]
@@ -297,7 +313,7 @@ class Declined(ValueError):
     """A page whose order can't be told."""
 
 
-def reading_order(pieces: Lines, row_of: np.ndarray) -> list[int]:
+def reading_order(pieces: Pieces, row_of: np.ndarray) -> list[int]:
     """The pieces' order: rows downward, and where a run of rows leaves a gutter between columns of prose, left before right."""
     top = np.full(int(row_of.max(initial=-1)) + 1, math.inf)
     np.minimum.at(top, row_of, pieces.y0)
@@ -335,7 +351,7 @@ class Block:
 
     @property
     def text(self) -> str:
-        return join_lines(self.lines)
+        return self.lines[0] if self.kind in ("table", "figure") else join_lines(self.lines)
 
 
 def join_lines(lines: list[str]) -> str:
@@ -406,12 +422,47 @@ def label(blocks: list[Block], body: float, bold_body: bool) -> None:
         largest[0].kind = "title"
 
 
-def page_of(page: Page) -> list[Block]:
-    """A page's blocks in the order they are read in; Declined if that can't be told."""
-    pieces, row_of = pieces_of(lines_of(page))
-    lines = pieces.picked(reading_order(pieces, row_of))
-    out = [Block([lines.text(i) for i in range(a, z)], float(lines.size[a]), bool(lines.bold[a]), bool(lines.marked[a])) for a, z in paragraph_ends(lines)]
-    label(out, modal(lines.size, lines.chars), 2 * int(lines.chars[lines.bold].sum()) > int(lines.chars.sum()))
+@dataclass
+class Region:
+    """A table or a figure: its box, its text, and the rows of a table."""
+
+    kind: str
+    box: tuple[float, float, float, float]
+    text: str
+    rows: int = 0
+
+
+def page_of(page: Page, regions: Sequence[Region] = (), free: np.ndarray | None = None, bulleted: frozenset[int] | set[int] = frozenset()) -> list[Block]:
+    """A page's blocks in the order they are read in; Declined if that can't be told.
+
+    regions stand among the lines; only the words that are free (all by default) make lines, and a line that begins with a
+    bulleted word is a list's item.
+    """
+    whole = lines_of(page, free)
+    pieces, row_of = pieces_of(whole)
+    rows = np.concatenate([row_of, len(whole) + np.arange(len(regions))]).astype(np.int64)
+    order = reading_order(Pieces(pieces, [r.box for r in regions]), rows)
+    out: list[Block] = []
+    texts: list[Block] = []
+    run: list[int] = []
+
+    def ended() -> None:
+        lines = pieces.picked(run)
+        lines.marked |= np.array([bool(bulleted) and int(w[0]) in bulleted for w in lines.words], bool)
+        for a, z in paragraph_ends(lines):
+            texts.append(Block([lines.text(i) for i in range(a, z)], float(lines.size[a]), bool(lines.bold[a]), bool(lines.marked[a])))
+            out.append(texts[-1])
+        run.clear()
+
+    for i in order:
+        if i < len(pieces):
+            run.append(i)
+            continue
+        ended()
+        r = regions[i - len(pieces)]
+        out.append(Block([r.text] + [""] * (r.rows - 1), 0.0, False, False, r.kind))
+    ended()
+    label(texts, modal(pieces.size, pieces.chars), 2 * int(pieces.chars[pieces.bold].sum()) > int(pieces.chars.sum()))
     return out
 
 
@@ -419,26 +470,37 @@ def read_page(words: list[Word]) -> list[Block]:
     return page_of(Page.of(words))
 
 
-def page_blocks(words: DataFrame) -> DataFrame:
+def page_blocks(words: DataFrame, rules: DataFrame | None = None, drawings: DataFrame | None = None, size: tuple[float, float] | None = None) -> DataFrame:
     """page, ord, kind, level, text, lines, declined of each page. words: page, text, x0, y0, x1, y1, baseline, size, bold.
 
-    A page whose order can't be told has one row: ord 0, and the reason in declined. Words with a null text, place or size are
-    left out (a null bold is false); a page without others has no row, nor has an empty table. Repeated words are each read.
+    rules and drawings (page, x0, y0, x1, y1; with a page's size, width and height) add tables, their text a line a row, figures,
+    with the words inside them, and items of lists marked by drawn bullets. A page whose order can't be told has one row:
+    ord 0, and the reason in declined. Words with a null text, place or size are left out (a null bold is false), as are rules
+    and drawings with a null place; a page without words has no row, nor has an empty table. Repeated words are each read.
     """
-    numbers = ["x0", "y0", "x1", "y1", "baseline", "size"]
-    known = [F.col(n).isNotNull() & ~F.isnan(n) for n in numbers]
-    own = words.where(functools.reduce(lambda a, b: a & b, known, F.col("text").isNotNull())).select("page", "text", *[F.col(n).cast("double") for n in numbers], F.coalesce("bold", F.lit(False)).alias("bold"))
+    if (rules is not None or drawings is not None) and size is None:
+        raise ValueError("rules and drawings need the pages' size")
+    numbers, sides = ["x0", "y0", "x1", "y1", "baseline", "size"], ["x0", "y0", "x1", "y1"]
+    known = lambda names: functools.reduce(lambda a, b: a & b, [F.col(n).isNotNull() & ~F.isnan(n) for n in names])
+    own = words.where(known(numbers) & F.col("text").isNotNull()).select("page", "text", *[F.col(n).cast("double") for n in numbers], F.coalesce("bold", F.lit(False)).alias("bold"))
     # One row a page: its words as arrays, each in the same order.
     pages = own.groupBy("page").agg(F.collect_list(F.struct("text", *numbers, "bold")).alias("words"))
+    for name, boxes in (("rules", rules), ("drawings", drawings)):
+        if boxes is None:
+            pages = pages.withColumn(name, F.lit(None).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))
+        else:
+            box = F.struct(*[F.col(s).cast("double").alias(s) for s in sides])
+            pages = pages.join(boxes.where(known(sides)).groupBy("page").agg(F.array_sort(F.collect_set(box)).alias(name)), "page", "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
+            boxes = [[[tuple(b[s] for s in sides) for b in own or []] for own in batch.column(c).to_pylist()] for c in (2, 3)]
             for number, at in zip(batch.column(0).to_pylist(), range(batch.num_rows), strict=True):
                 w = batch.column(1)[at].values
-                fields = np.array([w.field(n).to_numpy(zero_copy_only=False) for n in numbers])
+                page = Page(w.field("text").to_pylist(), np.array([w.field(n).to_numpy(zero_copy_only=False) for n in numbers]), w.field("bold").to_numpy(zero_copy_only=False))
                 try:
-                    found = page_of(Page(w.field("text").to_pylist(), fields, w.field("bold").to_numpy(zero_copy_only=False)))
+                    found = page_of(page, *drawn(page, boxes[0][at], boxes[1][at], *size)) if size else page_of(page)
                     out += [(number, i + 1, b.kind, b.level, b.text, len(b.lines), None) for i, b in enumerate(found)]
                 except Declined as why:
                     out.append((number, 0, None, 0, None, 0, str(why)))
@@ -447,7 +509,7 @@ def page_blocks(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page", "ord", "kind", "level", "text", "lines", "declined"])
 
     fields = T._parse_datatype_string("ord int, kind string, level int, text string, lines int, declined string").fields
-    return pages.mapInArrow(run, T.StructType([own.schema["page"], *fields]))
+    return pages.select("page", "words", "rules", "drawings").mapInArrow(run, T.StructType([own.schema["page"], *fields]))
 
 
 def words_of_documents(docs: DataFrame, size: float = 10.0) -> DataFrame:
@@ -467,8 +529,8 @@ def words_of_documents(docs: DataFrame, size: float = 10.0) -> DataFrame:
 # --- ruled tables --------------------------------------------------------------------------------------------------
 
 
-def ruling_groups(rects: list[tuple[float, float, float, float]]) -> list[list[int]]:
-    """Rectangles that touch, directly or through others."""
+def ruling_groups(rects: list[tuple[float, float, float, float]], reach: float = SNAP) -> list[list[int]]:
+    """Rectangles that are within reach of each other, directly or through others. A sweep from left to right."""
     parent = list(range(len(rects)))
 
     def root(i: int) -> int:
@@ -477,11 +539,15 @@ def ruling_groups(rects: list[tuple[float, float, float, float]]) -> list[list[i
             i = parent[i]
         return i
 
-    for i, a in enumerate(rects):
-        for j in range(i):
-            b = rects[j]
-            if a[0] <= b[2] + SNAP and b[0] <= a[2] + SNAP and a[1] <= b[3] + SNAP and b[1] <= a[3] + SNAP:
+    order = sorted(range(len(rects)), key=lambda i: rects[i][0])
+    near: list[int] = []
+    for i in order:
+        a = rects[i]
+        near = [j for j in near if rects[j][2] + reach >= a[0]]
+        for j in near:
+            if a[1] <= rects[j][3] + reach and rects[j][1] <= a[3] + reach:
                 parent[root(i)] = root(j)
+        near.append(i)
     groups: dict[int, list[int]] = {}
     for i in range(len(rects)):
         groups.setdefault(root(i), []).append(i)
@@ -499,11 +565,30 @@ def axes(values: Iterable[float]) -> list[float]:
     return [sum(g) / len(g) for g in out]
 
 
-def lattice(rects: list[tuple[float, float, float, float]]) -> list[tuple[int, int, int, int]] | None:
-    """(row, col, row_span, col_span) of the cells that ruling lines close; None if some region isn't a rectangle.
+#: Fixed value: the share of a cell's edge that must be ruled.
+EDGE = 0.9
 
-    Squares of the grid that no line parts are one cell.
-    """
+
+@dataclass
+class Grid:
+    """The lines of a ruled table, and for each square of theirs the cell it is part of (row, col, rows, cols)."""
+
+    xs: list[float]
+    ys: list[float]
+    cells: list[tuple[int, int, int, int]]
+
+    @property
+    def shape(self) -> list[tuple[int, int, int, int]]:
+        """The cells in the rows and columns that some cell begins in: lines that part nothing don't count."""
+        starts = [sorted({c[k] for c in self.cells}) for k in (0, 1)]
+        place = [{v: i for i, v in enumerate(own)} for own in starts]
+        inside = lambda own, a, n: bisect.bisect_left(own, a + n) - bisect.bisect_left(own, a)
+        return sorted((place[0][r], place[1][c], inside(starts[0], r, h), inside(starts[1], c, w)) for r, c, h, w in self.cells)
+
+
+def closed_grid(rects: list[tuple[float, float, float, float]]) -> Grid | None:
+    """The table that ruling lines make; None for fewer than two lines across or down. Declined if they don't close: an
+    edge of the frame isn't ruled, or some region that lines part isn't a rectangle. Squares that no line parts are one cell."""
     across = [r for r in rects if r[2] - r[0] >= r[3] - r[1]]
     down = [r for r in rects if r[2] - r[0] < r[3] - r[1]]
     xs, ys = axes((r[0] + r[2]) / 2 for r in down), axes((r[1] + r[3]) / 2 for r in across)
@@ -511,33 +596,95 @@ def lattice(rects: list[tuple[float, float, float, float]]) -> list[tuple[int, i
     if rows < 1 or cols < 1:
         return None
 
-    def covered(lines, at, lo, hi, flat: bool) -> bool:
-        part = [(r[0], r[2]) if flat else (r[1], r[3]) for r in lines if abs(((r[1] + r[3]) if flat else (r[0] + r[2])) / 2 - at) <= SNAP]
-        return sum(max(0.0, min(z, hi) - max(a, lo)) for a, z in part) >= 0.9 * (hi - lo)
-
-    cell_of = {(r, c): (r, c) for r in range(rows) for c in range(cols)}
-
-    def merge(a, b):
-        old, new = cell_of[b], cell_of[a]
-        for k, v in cell_of.items():
-            if v == old:
-                cell_of[k] = new
-
-    for r in range(rows):
-        for c in range(cols):
-            if c + 1 < cols and not covered(down, xs[c + 1], ys[r], ys[r + 1], False):
-                merge((r, c), (r, c + 1))
-            if r + 1 < rows and not covered(across, ys[r + 1], xs[c], xs[c + 1], True):
-                merge((r, c), (r + 1, c))
-    out = []
-    for key in sorted(set(cell_of.values())):
-        own = [k for k, v in cell_of.items() if v == key]
-        r0, c0 = min(k[0] for k in own), min(k[1] for k in own)
-        height, width = max(k[0] for k in own) - r0 + 1, max(k[1] for k in own) - c0 + 1
-        if height * width != len(own):
-            return None
-        out.append((r0, c0, height, width))
-    return sorted(out)
+    def ruled(lines, at, lo, hi, flat: bool) -> bool:
+        part = sorted((r[0], r[2]) if flat else (r[1], r[3]) for r in lines if abs(((r[1] + r[3]) if flat else (r[0] + r[2])) / 2 - at) <= SNAP)
+        held, upto = 0.0, lo
+        for a, z in part:
+            held += max(0.0, min(z, hi) - max(a, upto))
+            upto = max(upto, min(z, hi))
+        return held >= EDGE * (hi - lo)
+
+    wall = np.array([[ruled(down, x, ys[r], ys[r + 1], False) for x in xs] for r in range(rows)])
+    floor = np.array([[ruled(across, y, xs[c], xs[c + 1], True) for c in range(cols)] for y in ys])
+    if not (wall[:, [0, -1]].all() and floor[[0, -1]].all()):
+        raise Declined("ruling on the page doesn't close into a table")
+    group = np.arange(rows * cols).reshape(rows, cols)
+    joins = [((r, c), (r, c + 1)) for r in range(rows) for c in range(cols - 1) if not wall[r, c + 1]] + [((r, c), (r + 1, c)) for r in range(rows - 1) for c in range(cols) if not floor[r + 1, c]]
+    for a, b in joins:
+        group[group == group[b]] = group[a]
+    cells = []
+    for k in np.unique(group):
+        at = np.argwhere(group == k)
+        (r0, c0), (r1, c1) = at.min(0).tolist(), at.max(0).tolist()
+        if (r1 - r0 + 1) * (c1 - c0 + 1) != len(at):
+            raise Declined("a region that ruling parts isn't a rectangle")
+        cells.append((r0, c0, r1 - r0 + 1, c1 - c0 + 1))
+    return Grid(xs, ys, cells)
+
+
+def lattice(rects: list[tuple[float, float, float, float]]) -> list[tuple[int, int, int, int]] | None:
+    """(row, col, row_span, col_span) of the cells that ruling lines close; None if they make no grid, or don't close it."""
+    try:
+        grid = closed_grid(rects)
+    except Declined:
+        return None
+    return grid.shape if grid else None
+
+
+#: Fixed values, in shares: a bullet of its word's size; figures and frames of the page, figures in all, and words of a figure.
+BULLET, FIGURE, FRAME, FIGURES, LETTERED = 0.8, 0.002, 0.95, 0.4, 0.3
+
+
+def ruled_table(page: Page, grid: Grid, taken: np.ndarray) -> Region | None:
+    """A grid's table with the page's words in it, which are taken; None for a grid without a word (a frame)."""
+    x, y = (page.x0 + page.x1) / 2, (page.y0 + page.y1) / 2
+    own = np.flatnonzero(~taken & (x >= grid.xs[0]) & (x < grid.xs[-1]) & (y >= grid.ys[0]) & (y < grid.ys[-1]))
+    if not len(own):
+        return None
+    r, c = np.searchsorted(grid.ys, y[own], "right") - 1, np.searchsorted(grid.xs, x[own], "right") - 1
+    rows: dict[int, list[str]] = {}
+    for top, left, height, width in sorted(grid.cells):
+        held = own[(r >= top) & (r < top + height) & (c >= left) & (c < left + width)]
+        if len(held) and (page.x0[held].min() < grid.xs[left] - SNAP or page.x1[held].max() > grid.xs[left + width] + SNAP):
+            raise Declined("a word lies over the ruling of a table")
+        free = np.zeros(len(page.text), bool)
+        free[held] = True
+        lines = lines_of(page, free)
+        rows.setdefault(top, []).append(join_lines([lines.text(i) for i in range(len(lines))]) if len(held) else "")
+    taken[own] = True
+    return Region("table", (grid.xs[0], grid.ys[0], grid.xs[-1], grid.ys[-1]), "\n".join(" | ".join(rows[k]) for k in sorted(rows)), len(rows))
+
+
+def drawn(page: Page, rules: list, drawings: list, width: float, height: float) -> tuple[list[Region], np.ndarray, set[int]]:
+    """(regions, free words, bulleted words) of what is ruled and drawn on a page of that size. Declined if that can't be told."""
+    taken, regions = np.zeros(len(page.text), bool), []
+    for group in ruling_groups(rules):
+        grid = closed_grid([rules[i] for i in group])
+        table = ruled_table(page, grid, taken) if grid else None
+        regions += [table] if table else []
+    parts, bulleted = [], set()
+    for d in drawings:
+        # A small mark before a word on its line is a list's bullet.
+        gap, middle = page.x0 - d[2], (d[1] + d[3]) / 2
+        near = np.flatnonzero(~taken & (gap >= 0) & (gap <= BULLET_REACH * page.size) & (page.y0 <= middle) & (middle <= page.y1) & (max(d[2] - d[0], d[3] - d[1]) <= BULLET * page.size))
+        if len(near):
+            bulleted.add(int(near[np.argmin(gap[near])]))
+        else:
+            parts.append(d)
+    boxes = figures(parts, width, height)
+    if sum((b[2] - b[0]) * (b[3] - b[1]) for b in boxes) > FIGURES * width * height:
+        raise Declined("the page is mostly drawing")
+    x, y = (page.x0 + page.x1) / 2, (page.y0 + page.y1) / 2
+    for b in boxes:
+        if any(b[0] <= r.box[2] and r.box[0] <= b[2] and b[1] <= r.box[3] and r.box[1] <= b[3] for r in regions if r.kind == "table"):
+            raise Declined("a drawing lies over a table")
+        inside = ~taken & (x >= b[0]) & (x < b[2]) & (y >= b[1]) & (y < b[3])
+        if ((page.x1 - page.x0) * (page.y1 - page.y0))[inside].sum() > LETTERED * (b[2] - b[0]) * (b[3] - b[1]):
+            raise Declined("a drawing holds more text than a figure does")
+        lines = lines_of(page, inside)
+        taken |= inside
+        regions.append(Region("figure", b, join_lines([lines.text(i) for i in range(len(lines))]) if len(lines) else ""))
+    return regions, ~taken, bulleted
 
 
 def words_in_cells(words: DataFrame, cells: DataFrame) -> DataFrame:
@@ -559,21 +706,14 @@ def nearest_words(marks: DataFrame, words: DataFrame) -> DataFrame:
 
 def figures(parts: list[tuple[float, float, float, float]], width: float, height: float) -> list[tuple[float, float, float, float]]:
     """Drawings within a tenth of the page's width of each other, as one box each; specks and page frames are none."""
-    boxes = [p for p in parts if not (p[2] - p[0] >= 0.95 * width and p[3] - p[1] >= 0.95 * height)]
-    gap, merged_any = 0.1 * width, True
-    while merged_any:
-        merged_any = False
-        for i, a in enumerate(boxes):
-            for j in range(i):
-                b = boxes[j]
-                if a[0] <= b[2] + gap and b[0] <= a[2] + gap and a[1] <= b[3] + gap and b[1] <= a[3] + gap:
-                    boxes[j] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
-                    del boxes[i]
-                    merged_any = True
-                    break
-            if merged_any:
-                break
-    return [b for b in boxes if (b[2] - b[0]) * (b[3] - b[1]) >= 0.002 * width * height]
+    boxes = [p for p in parts if not (p[2] - p[0] >= FRAME * width and p[3] - p[1] >= FRAME * height)]
+    while True:
+        # Boxes that were joined may reach others, so they are looked at again until none does.
+        groups = ruling_groups(boxes, 0.1 * width)
+        joined = [tuple(f(boxes[i][k] for i in g) for k, f in enumerate((min, min, max, max))) for g in groups]
+        if len(joined) == len(boxes):
+            return [b for b in sorted(joined, key=lambda b: (b[1], b[0])) if (b[2] - b[0]) * (b[3] - b[1]) >= FIGURE * width * height]
+        boxes = joined
 
 
 def ruled_cells(rects: DataFrame) -> DataFrame:

@@ -572,6 +572,40 @@ def test_three_columns_are_read_in_turn():
     assert [text.index(f"c{c}l{i}") for c in range(3) for i in range(5)] == sorted(text.index(f"c{c}l{i}") for c in range(3) for i in range(5))
 
 
+def test_tables_figures_and_bullets_stand_in_the_order():
+    body = "a line of prose that fills the width of this page"
+    words = words_at([(50, 100, body), (50, 112, body)]) + words_at([(60, 170, "Name"), (160, 170, "Age")], bold=True) + words_at([(60, 190, "Ann of the hill"), (160, 190, "7")]) + words_at([(50, 260, "first item"), (50, 272, "second item")])
+    words += words_at([(320, 400, "axis")]) + words_at([(50, 600, "the end of it")])
+    rules = [(50, y, 250, y + 1) for y in (155, 176, 196)] + [(x, 155, x + 1, 197) for x in (50, 150, 249)]
+    drawings = [(40, 252, 44, 256), (40, 264, 44, 268), (300, 350, 400, 420), (410, 360, 430, 400), (0, 0, 600, 800)]
+    page = LY.Page.of(words)
+    found = [(b.kind, b.text, len(b.lines)) for b in LY.page_of(page, *LY.drawn(page, rules, drawings, 600.0, 800.0))]
+    assert found == [("text", f"{body} {body}", 2), ("table", "Name | Age\nAnn of the hill | 7", 2), ("list_item", "first item", 1), ("list_item", "second item", 1), ("figure", "axis", 1), ("text", "the end of it", 1)]
+    over = words_at([(120, 170, "over the line")])
+    for own, more, why in (([*words, *over], drawings, "over the ruling"), (words, [(0, 300, 500, 790)], "mostly drawing"), (words, [(45, 180, 120, 230)], "over a table"), (words_at([(300, 400, "w" * 30)]), [(300, 389, 460, 405)], "more text")):
+        page = LY.Page.of(own)
+        with pytest.raises(LY.Declined, match=why):
+            LY.drawn(page, rules, more, 600.0, 800.0)
+    with pytest.raises(LY.Declined, match="close"):
+        LY.drawn(LY.Page.of(words), rules[:-1] + [(249, 155, 250, 165)], [], 600.0, 800.0)
+    # Underlines and separators are no table; a line that parts nothing is no row.
+    assert LY.drawn(LY.Page.of(words), [(50, 114, 250, 115)], [], 600.0, 800.0)[0] == []
+    assert LY.lattice([(0, y, 90, y + 1) for y in (0, 20, 40)] + [(x, 0, x + 1, 41) for x in (0, 90)] + [(45, 38, 46, 41)]) == [(0, 0, 1, 1), (1, 0, 1, 1)]
+
+
+def test_pages_with_rules_and_drawings(spark):
+    schema = "page long, text string, x0 double, y0 double, x1 double, y1 double, baseline double, size double, bold boolean"
+    words = [(p, w.text, *map(float, (w.x0, w.y0, w.x1, w.y1, w.baseline, w.size)), w.bold) for p in (1, 2) for w in words_at([(60, 170, "Name"), (160, 170, "Age"), (60, 190, "Ann"), (160, 190, "7")])]
+    rules = [(1, *map(float, r)) for r in [(50, y, 250, y + 1) for y in (155, 176, 196)] + [(x, 155, x + 1, 197) for x in (50, 150, 249)]] + [(1, None, 0.0, 1.0, 1.0), (3, 0.0, 0.0, 9.0, 1.0)]
+    boxes = spark.createDataFrame(rules, "page long, x0 double, y0 double, x1 double, y1 double")
+    found = LY.page_blocks(spark.createDataFrame(words, schema), boxes, boxes.where("false"), (600.0, 800.0)).collect()
+    assert [(r.kind, r.text) for r in found if r.page == 1] == [("table", "Name | Age\nAnn | 7")] and {r.page for r in found} == {1, 2}
+    # Without its rules the same page is text side by side that is no prose.
+    assert [(r.ord, "side by side" in r.declined) for r in found if r.page == 2] == [(0, True)]
+    with pytest.raises(ValueError, match="size"):
+        LY.page_blocks(spark.createDataFrame(words, schema), boxes)
+
+
 def test_large_pages_take_little_time():
     prose = [LY.Word("words", 50 + 250 * c + 30 * k, 12.0 * i, 75 + 250 * c + 30 * k, 12.0 * i + 10, 12.0 * i + 10, 10.0) for i in range(800) for c in range(2) for k in range(5)]
     cells = [LY.Word("w", 50 + 60 * (i % 40), 12.0 * (i // 40), 60 + 60 * (i % 40), 12.0 * (i // 40) + 10, 12.0 * (i // 40) + 10, 10.0) for i in range(8000)]
