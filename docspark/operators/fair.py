@@ -2,7 +2,7 @@
 
 For a backlog that is all there before the first dispatch, an entity's virtual time at each of its turns is the sum of
 cost * 1000000 div weight over its turns before. So the order at each level is a sort by that sum, and the whole order is
-three nested windows. dispatch_arrivals is the fold that also holds for arrivals over time.
+three nested orders. dispatch_arrivals is the fold that also holds for arrivals over time.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.operators.folds import running
+
 #: Virtual time is in millionths; the classes' weights; the most a weight may be; interactive turns to a batch turn.
 UNIT, CLASS_WEIGHTS, MAX_WEIGHT, INTERACTIVE_SHARE = 1_000_000, {0: 4, 1: 1}, 1000, 4
 
@@ -29,19 +31,25 @@ def _tag(entity: list[str], order: list[str], weight: str) -> Column:
     return F.coalesce(F.sum(F.expr(f"cast(cost as bigint) * {UNIT} div {weight}")).over(before), F.lit(0))
 
 
-def merged(rows: DataFrame, entity: list[str], order: list[str], weight: str, name: str, scope: list[str]) -> DataFrame:
-    """rows with name: the place of each in the order that serves the entities of a scope by their virtual times."""
-    tagged = rows.withColumn("__tag", _tag(scope + entity, order, weight))
-    place = F.row_number().over(Window.partitionBy(*scope).orderBy("__tag", *entity, *order) if scope else Window.orderBy("__tag", *entity, *order))
-    return tagged.withColumn(name, place.cast("long")).drop("__tag")
+def merged(rows: DataFrame, entity: list[str], order: list[str], weight: str, name: str, scope: list[str], spread: bool = False) -> DataFrame:
+    """rows with name: the place of each in the order that serves the entities of a scope by their virtual times.
+
+    A scope is one task's work, or with spread that of many: for scopes that grow with the backlog.
+    """
+    if not spread:
+        tagged = rows.withColumn("__tag", _tag(scope + entity, order, weight))
+        place = F.row_number().over(Window.partitionBy(*scope).orderBy("__tag", *entity, *order))
+        return tagged.withColumn(name, place.cast("long")).drop("__tag")
+    tagged = running(rows, scope + entity, order, {"__tag": F.expr(f"cast(cost as bigint) * {UNIT} div {weight}")})
+    return running(tagged, scope, ["__tag", *entity, *order], {name: F.lit(1)}).withColumn(name, F.col(name) + 1).drop("__tag")
 
 
 def dispatch_order(rows: DataFrame, order: list[str]) -> DataFrame:
     """seq: the order of dispatch of a whole backlog. rows: class, group_id, project_id, cost, class_weight, group_weight,
     project_weight, and the columns that order tasks inside a project."""
     out = merged(rows, ["project_id"], order, "project_weight", "in_group", ["class", "group_id"])
-    out = merged(out, ["group_id"], ["in_group"], "group_weight", "in_class", ["class"])
-    return merged(out, ["class"], ["in_class"], "class_weight", "seq", [])
+    out = merged(out, ["group_id"], ["in_group"], "group_weight", "in_class", ["class"], spread=True)
+    return merged(out, ["class"], ["in_class"], "class_weight", "seq", [], spread=True)
 
 
 def charge_correction(used: Column, charged: Column, weight: Column) -> Column:
@@ -74,14 +82,11 @@ def turn_order(rows: DataFrame, order: list[str]) -> DataFrame:
     batch job follows every INTERACTIVE_SHARE interactive ones. rows: class, owner, arrival and what orders an owner's jobs."""
     own = rows.withColumn("__turn", F.row_number().over(Window.partitionBy("class", "owner").orderBy(*order)))
     own = own.withColumn("__first", F.min("arrival").over(Window.partitionBy("class", "owner")))
-    own = own.withColumn("__n", F.row_number().over(Window.partitionBy("class").orderBy("__turn", "__first", "owner")))
-    batches = F.sum((F.col("class") == 1).cast("long")).over(Window.partitionBy())
+    own = running(own, ["class"], ["__turn", "__first", "owner", *order], {"__n": F.lit(1)}).withColumn("__n", F.col("__n") + 1)
+    batches, interactive = (rows.agg(F.count_if(F.col("class") == c)).scalar() for c in (1, 0))
     # The k-th batch job stands behind 4k interactive ones while there are any.
-    place = F.when(F.col("class") == 0, F.col("__n") + F.least(F.floor((F.col("__n") - 1) / INTERACTIVE_SHARE), batches)).otherwise(F.lit(None).cast("bigint"))
-    own = own.withColumn("__place", place)
-    interactive = F.sum((F.col("class") == 0).cast("long")).over(Window.partitionBy())
-    batch_place = F.col("__n") + F.least(F.col("__n") * INTERACTIVE_SHARE, interactive)
-    return own.withColumn("seq", F.coalesce("__place", batch_place).cast("long")).drop("__turn", "__first", "__n", "__place")
+    place = F.when(F.col("class") == 0, F.col("__n") + F.least(F.floor((F.col("__n") - 1) / INTERACTIVE_SHARE), batches))
+    return own.withColumn("seq", F.coalesce(place, F.col("__n") + F.least(F.col("__n") * INTERACTIVE_SHARE, interactive)).cast("long")).drop("__turn", "__first", "__n")
 
 
 def share_metrics(dispatched: DataFrame, key: str) -> DataFrame:
