@@ -129,7 +129,10 @@ def sets_of(df: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets (id, shingles; one row an id) are similar enough.
+
+    A pair of which either has no set, or a null id, isn't; repeated pairs are each given; empty tables give no rows.
+    """
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     n, m, both = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
@@ -138,7 +141,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """id and component (the least id reachable) of every id in links (a, b): least neighbours, then labels of labels."""
+    """id and component (the least id reachable) of every id in links (a, b): least neighbours, then labels of labels.
+
+    Repeated links, and links both ways, count once; ids aren't null; an empty table gives no rows.
+    """
     both = scratch.written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = scratch.written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
     while True:

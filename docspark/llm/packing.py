@@ -6,7 +6,8 @@ plus what its closing cut truncates; the cheapest chain of windows is found with
 best predecessor within a window's reach is a minimum over a sliding range. A window whose length is a power of two
 needs no padding. What is left at a partition's end is cut into powers of two where that is cheaper than padding.
 
-Only a bounded stretch of the stream is held: past SEGMENT tokens all windows but the last are final.
+Only a bounded stretch of the stream is held: past SEGMENT tokens the cheapest chain of the stretch is settled, all its windows
+but the last. So chains are the cheapest of their stretches, not of the whole stream.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def powers_of_two(start: int, length: int, width: int = WIDTH) -> list[int]:
 
 
 class Stream:
-    """The stretch of a partition's stream whose windows aren't final, as arrays; positions count from its begin."""
+    """The stretch of a partition's stream whose windows aren't settled, as arrays; positions count from its begin."""
 
     def __init__(self, width: int = WIDTH, segment: int = SEGMENT):
         self.width, self.segment, self.sequences = width, segment, 0
@@ -127,7 +128,7 @@ class Stream:
         self.doc_upto = np.concatenate([self.doc_upto, encoded.first[1:] + n])
 
     def flush(self, last: bool) -> dict | None:
-        """The pieces of all windows that are final now, as columns."""
+        """The pieces of all windows that are settled now, as columns."""
         n = len(self.ids)
         if not n:
             return None
