@@ -185,3 +185,67 @@ def transcribed_tables(spark, sf_dir):
     cell = lambda c, text: F.struct(F.lit(0).alias("row"), F.lit(c).alias("col"), text.alias("text"))
     rows = t.select("doc", "ord", F.when(F.col("ord") % 2 == 0, "table").otherwise("text").alias("kind"), F.concat("a", F.lit(" | "), "b").alias("text"), F.when(F.col("ord") % 2 == 0, F.array(cell(1, F.col("b")), cell(0, F.col("a")))).alias("cells"))
     return Q.transcription(rows, ["doc"])
+
+
+# --- tables and replies of many shapes -------------------------------------------------------------------------------
+
+_SHAPES = "s AS (SELECT doc_id, CAST(doc_id % 4 + 1 AS INT) AS r, CAST(doc_id // 4 % 3 + 1 AS INT) AS c, source, lang, n_chars FROM documents), g AS (SELECT *, x.range AS i, y.range AS j, lang || ' & ' || (n_chars + 10 * x.range + y.range) AS cell FROM s, range(4) x, range(3) y WHERE x.range < r AND y.range < c)"
+
+
+def _shapes(spark, sf_dir):
+    """Documents with a table of their own: up to four rows of up to three cells, made of the columns."""
+    d = table(prepare(spark), sf_dir, "documents")
+    i = F.col("doc_id")
+    return d.select("doc_id", "source", "lang", "n_chars", (i % 4 + 1).cast("int").alias("r"), (F.floor(i / 4) % 3 + 1).cast("int").alias("c"))
+
+
+def _cells(show, between_cells: str, between_rows: str):
+    row = lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda y: show(x, y)), between_cells)
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.col("r") - 1), row), between_rows)
+
+
+def _cell_text(x, y):
+    return F.concat(F.col("lang"), F.lit(" & "), (F.col("n_chars") + 10 * x + y).cast("string"))
+
+
+@ENTRIES.add(f"WITH {_SHAPES}, t AS (SELECT doc_id, r, c, i, string_agg(cell, ' | ' ORDER BY j) AS line FROM g GROUP BY ALL) SELECT doc_id, r + 1 AS \"rows\", c AS cols, any_value(source) || chr(10) || string_agg(line, chr(10) ORDER BY i) AS text FROM t JOIN documents USING (doc_id) GROUP BY doc_id, r, c")
+def html_table_shapes(spark, sf_dir):
+    """Markup of tables of many shapes, under a cell that spans all columns, with marks, comments and entities in the cells."""
+    from docspark.sources.html import table_from_html
+
+    cell = lambda x, y: F.concat(F.lit("<td>"), F.regexp_replace(_cell_text(x, y), "&", "<b>&amp;</b>"), F.when(y == 0, "</td>").otherwise(""))
+    rows = F.concat_ws("</tr><tr>", *[F.when(F.col("r") > x, F.concat_ws("", *[F.when(F.col("c") > y, cell(F.lit(x), F.lit(y))) for y in range(3)])) for x in range(4)])
+    markup = F.concat(F.lit("<p>before<table><tr><th colspan="), F.col("c").cast("string"), F.lit(">"), F.col("source"), F.lit("</th></tr><tr>"), rows, F.lit("</tr></table>"))
+    t = table_from_html(markup)
+    return _shapes(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", "t.rows", "t.cols", V.table_text(F.col("t.cells")).alias("text"))
+
+
+@ENTRIES.add(f"WITH {_SHAPES} SELECT doc_id, CAST(i AS INT) AS row, CAST(j AS INT) AS col, CASE WHEN j % 2 = 0 THEN cell ELSE 'say \"' || cell || '\", ' || chr(10) || i END AS text FROM g")
+def delimited_shapes(spark, sf_dir):
+    """Delimited text with quoted fields that hold quotes, commas and line ends, and empty lines between the rows."""
+    from docspark.sources import texts as T
+
+    quoted = lambda x, y: F.concat(F.lit('"say ""'), _cell_text(x, y), F.lit('"", \n'), x.cast("string"), F.lit('"'))
+    cell = lambda x, y: F.when(y % 2 == 0, _cell_text(x, y)).otherwise(quoted(x, y))
+    rows = _shapes(spark, sf_dir).select("doc_id", _cells(cell, ",", "\r\n\r\n").alias("csv"))
+    return T.cells(T.delimited(rows, "doc_id", "csv"), "doc_id").select("doc_id", "row", "col", "text")
+
+
+@ENTRIES.add(f"""WITH {_SHAPES}, h AS (SELECT doc_id, i, string_agg(CASE WHEN i = 0 THEN '<th>' ELSE '<td>' END || replace(cell, '&', '&amp;') || CASE WHEN i = 0 THEN '</th>' ELSE '</td>' END, '' ORDER BY j) AS line, string_agg(cell, ' | ' ORDER BY j) AS plain, repeat(' --- |', any_value(c)) AS rule FROM g GROUP BY 1, 2)
+  SELECT doc_id, '<table>' || string_agg('<tr>' || line || '</tr>', '' ORDER BY i) || '</table>' AS html, string_agg(plain, chr(10) ORDER BY i) AS text, string_agg('| ' || plain || ' |' || CASE WHEN i = 0 THEN chr(10) || '|' || rule ELSE '' END, chr(10) ORDER BY i) AS markdown FROM h GROUP BY 1""")
+def table_shapes(spark, sf_dir):
+    one = lambda x, y: F.struct(x.cast("int").alias("row"), y.cast("int").alias("col"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), (x == 0).alias("header"), _cell_text(x, y).alias("text"))
+    cells = F.flatten(F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda x: F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda y: one(x, y))))
+    whole = F.struct(F.col("r").alias("rows"), F.col("c").alias("cols"), cells.alias("cells"))
+    t = _shapes(spark, sf_dir).select("doc_id", whole.alias("table"))
+    return t.select("doc_id", V.table_html(F.col("table.cells")).alias("html"), V.table_text(F.col("table.cells")).alias("text"), V.table_markdown(F.col("table")).alias("markdown"))
+
+
+@ENTRIES.add(f"WITH {_SHAPES} SELECT doc_id, CASE WHEN r > 1 THEN '[' || array_to_string(list_transform(range(r - 1), lambda k: '{{\"t\":\"]}} \\\" ' || lang || (n_chars + k) || '\",\"l\":[' || k || ']}}'), ',') || ']' END AS whole FROM s")
+def truncated_lists(spark, sf_dir):
+    """Replies of one to four elements, cut inside the last; brackets and quotes stand in their strings."""
+    item = lambda k: F.concat(F.lit('{"t":"]} \\" '), F.col("lang"), (F.col("n_chars") + k).cast("string"), F.lit('","l":['), k.cast("string"), F.lit("]}"))
+    rows = _shapes(spark, sf_dir)
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.col("r") - 1), item), ",")
+    cut = F.concat(F.lit("["), F.substring(whole, F.lit(1), F.length(whole) - 1 - (F.col("doc_id") % 5).cast("int")))
+    return rows.select("doc_id", N.completed(cut).alias("whole"))
