@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.operators import capacity
-from docspark.operators.folds import fold
+from docspark.operators.folds import fold, fold_arrays
 
 SUMS = ("pages", "calls", "input_tokens", "output_tokens")
 #: Most intervals of one usage read, parses of one sweep, and hours an idempotency key is held.
@@ -129,17 +129,17 @@ def admitted(arrivals: DataFrame, group: str, order: list[str], most: int) -> Da
 def reserved(requests: DataFrame, limit: int) -> DataFrame:
     """Day budgets: in the order of seq a request is granted if its group's day total stays within the limit; one that is
     refused takes nothing. A fold over each group's day, as a refusal leaves room for a smaller request behind it."""
-    one = F.struct(F.col("seq").cast("long").alias("seq"), F.col("pages").cast("long").alias("pages"), F.col("parse_id").cast("long").alias("parse_id"))
-    days = requests.groupBy("group_id", "day").agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<parse_id:bigint,pages:bigint,granted:boolean>>").alias("done"))
 
-    def step(held: Column, r: Column) -> Column:
-        fits = held["total"] + r["pages"] <= limit
-        return F.struct(
-            (held["total"] + F.when(fits, r["pages"]).otherwise(0)).alias("total"), F.concat(held["done"], F.array(F.struct(r["parse_id"].alias("parse_id"), r["pages"].alias("pages"), fits.alias("granted")))).alias("done")
-        )
+    def answers(rows: list[tuple]) -> list[tuple]:
+        out, total = [], 0
+        for parse_id, pages in rows:
+            fits = total + pages <= limit
+            total += pages if fits else 0
+            out.append((parse_id, pages, fits))
+        return out
 
-    return days.select("group_id", "day", F.inline(F.aggregate("rows", start, step)["done"]))
+    own = requests.select("group_id", "day", *[F.col(c).cast("long").alias(c) for c in ("seq", "pages", "parse_id")])
+    return fold_arrays(own, ["group_id", "day"], ["seq"], ["parse_id", "pages"], answers, "parse_id:bigint,pages:bigint,granted:boolean")
 
 
 def refunds(parses: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -152,20 +152,19 @@ def refunds(parses: DataFrame, tasks: DataFrame) -> DataFrame:
 def idempotency(requests: DataFrame, hours: int = KEY_HOURS) -> DataFrame:
     """What a request under a key meets: created by the first, then by the first after each window ends; within it, exists
     for the same body and conflict for another. hour orders the requests; the window counts from the request that created."""
-    one = F.struct(F.col("hour").cast("long").alias("hour"), F.col("request_id").cast("long").alias("request_id"), "body")
-    keys = requests.groupBy("owner", "key").agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    start = F.expr("named_struct('since', cast(null as bigint), 'body', cast(null as string), 'done', cast(array() as array<struct<request_id:bigint,outcome:string>>))")
-
-    def step(held: Column, r: Column) -> Column:
-        fresh = held["since"].isNull() | (r["hour"] >= held["since"] + hours)
-        outcome = F.when(fresh, "created").when(r["body"].eqNullSafe(held["body"]), "exists").otherwise("conflict")
-        return F.struct(
-            F.when(fresh, r["hour"]).otherwise(held["since"]).alias("since"),
-            F.when(fresh, r["body"]).otherwise(held["body"]).alias("body"),
-            F.concat(held["done"], F.array(F.struct(r["request_id"].alias("request_id"), outcome.alias("outcome")))).alias("done"),
-        )
-
-    return keys.select("owner", "key", F.inline(F.aggregate("rows", start, step)["done"]))
+
+    def answers(rows: list[tuple]) -> list[tuple]:
+        out, since, held = [], None, None
+        for request_id, hour, body in rows:
+            if since is None or hour >= since + hours:
+                since, held, said = hour, body, "created"
+            else:
+                said = "exists" if body == held else "conflict"
+            out.append((request_id, said))
+        return out
+
+    own = requests.select("owner", "key", F.col("hour").cast("long").alias("hour"), F.col("request_id").cast("long").alias("request_id"), "body")
+    return fold_arrays(own, ["owner", "key"], ["hour", "request_id"], ["request_id", "hour", "body"], answers, "request_id:bigint,outcome:string")
 
 
 def submitted(requests: DataFrame, max_queued: int, pages_per_day: int, key_span: int = KEY_HOURS) -> DataFrame:

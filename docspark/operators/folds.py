@@ -1,7 +1,8 @@
 """Folds whose next answer needs all earlier ones of a key: one linear pass over a key's rows, in their order.
 
-For keys with many rows each. Keys with few rows are folded with the aggregate function inside code generation, where a row
-costs a copy of what is held so far; here a row costs a call, whatever the key's length.
+fold is for keys with many rows each: a key is a task's group. fold_arrays is for many keys with few rows each, a day's or a
+request's: a key's rows are one array, and arrays go through Python in Arrow batches, so neither a key nor what is held so
+far costs more than its rows.
 """
 
 from __future__ import annotations
@@ -37,6 +38,19 @@ def fold(rows: DataFrame, by: list[str], order: list[str], start: Callable[[], o
     return rows.groupBy(*by).applyInPandas(run, schema)
 
 
+def fold_arrays(rows: DataFrame, by: list[str], order: list[str], columns: list[str], answers: Callable[[list[tuple]], list[tuple]], result: str) -> DataFrame:
+    """by, and for each row, in the order of its key, what answers gives: it takes a key's rows (columns) and answers each."""
+    one = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *columns])])
+    held = rows.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("__rows"))
+
+    @F.pandas_udf(f"array<struct<{result}>>")
+    def run(lists: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(names, said, strict=True)) for said in answers([tuple(r[c] for c in columns) for r in own])] for own in lists])
+
+    names = [f.name for f in T._parse_datatype_string(result.replace(":", " ")).fields]
+    return held.select(*by, F.inline(run("__rows")))
+
+
 def running(rows: DataFrame, scope: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
     """rows with, by name, each sum over the rows before a row in its scope (none: the whole table); no task holds a scope.
 
