@@ -12,7 +12,7 @@ set its scale. It then scores whole texts.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +68,9 @@ def _marked(hashes: np.ndarray, kind: int) -> np.ndarray:
 
 @dataclass
 class Sample:
-    """Counts of terms in texts, as (text, term) pairs; label is 1, 0 or -1 for none."""
+    """Counts of terms in texts, as (text, place of the term in names) pairs; label is 1, 0, -1 for none, or -2 for left out."""
 
+    names: np.ndarray
     text: np.ndarray
     term: np.ndarray
     count: np.ndarray
@@ -93,7 +94,8 @@ class Sample:
             counts.append(np.diff(np.append(at, len(key))).astype(np.int32))
             words.append(n)
             done += b - a
-        return cls(np.concatenate(rows), np.concatenate(terms), np.concatenate(counts), np.concatenate(words), label)
+        names, place = np.unique(np.concatenate(terms), return_inverse=True)
+        return cls(names, np.concatenate(rows), place.astype(np.int32), np.concatenate(counts), np.concatenate(words), label)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -106,27 +108,25 @@ def choose_terms(sample: Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Toxic terms are picked one after the other, each for the toxic rows that hold it; a row counts half as much with
     every term picked from it, so many copies of one text can't fill the list.
     """
-    known = sample.label >= 0
+    terms, label = sample.names, sample.label[sample.text]
     toxic_rows, clean_rows = int((sample.label == 1).sum()), int((sample.label == 0).sum())
-    own = known[sample.text]
-    terms, where = np.unique(sample.term[own], return_inverse=True)
-    is_toxic = sample.label[sample.text[own]] == 1
-    a = np.bincount(where, is_toxic, len(terms))
-    b = np.bincount(where, ~is_toxic, len(terms))
+    a, b = (np.bincount(sample.term[label == y], minlength=len(terms)).astype(float) for y in (1, 0))
     odds = np.log((a + 0.5) / (toxic_rows + 1)) - np.log((b + 0.5) / (clean_rows + 1))
     # The root of the likelihood ratio: how far a term's rows are from falling on the classes by chance. Among many terms
     # some are far from it by chance as well, so the bound grows with how many there are.
-    expected = (a + b) * toxic_rows / (toxic_rows + clean_rows)
-    ratio = _xlogx(a) + _xlogx(b) - a * np.log(expected) - b * np.log(a + b - expected)
+    expected = np.maximum((a + b) * toxic_rows / (toxic_rows + clean_rows), 1e-300)
+    ratio = _xlogx(a) + _xlogx(b) - a * np.log(expected) - b * np.log(np.maximum(a + b - expected, 1e-300))
     sure = np.sign(odds) * np.sqrt(2 * np.maximum(ratio, 0))
-    fit = np.flatnonzero((a >= 2) & (sure > CHANCE * np.sqrt(2 * np.log(len(terms) + 1))))
+    seen = int((a + b > 0).sum())
+    fit = np.flatnonzero((a >= 2) & (sure > CHANCE * np.sqrt(2 * np.log(seen + 1))))
     fit = fit[np.lexsort((terms[fit], -sure[fit]))][:CANDIDATES]
     row_of = np.cumsum(sample.label == 1) - 1
     place = np.full(len(terms), -1)
     place[fit] = np.arange(len(fit))
-    held = is_toxic & (place[where] >= 0)
+    held = np.flatnonzero(label == 1)
+    held = held[place[sample.term[held]] >= 0]
     holds = np.zeros((toxic_rows, len(fit)), np.float32)
-    holds[row_of[sample.text[own][held]], place[where[held]]] = 1
+    holds[row_of[sample.text[held]], place[sample.term[held]]] = 1
     weight, left = np.ones(toxic_rows, np.float32), odds[fit].astype(np.float32)
     picked = []
     for _ in range(min(TOXIC_TERMS, len(fit))):
@@ -134,7 +134,7 @@ def choose_terms(sample: Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         picked.append(best)
         left[best] = 0
         weight = weight * np.where(holds[:, best] > 0, 0.5, 1).astype(np.float32)
-    clean = np.flatnonzero((b >= 3) & (sure < -CHANCE * np.sqrt(2 * np.log(len(terms) + 1))))
+    clean = np.flatnonzero((b >= 3) & (sure < -CHANCE * np.sqrt(2 * np.log(seen + 1))))
     clean = clean[np.lexsort((terms[clean], sure[clean]))][:CLEAN_TERMS]
     return terms[fit[picked]], terms[clean], sure[fit[picked]]
 
@@ -243,7 +243,7 @@ class Model:
         # Scores of rows that were left out tell how sure a score makes.
         part, z = np.argsort(np.argsort(label, kind="stable"), kind="stable") % PARTS, np.full(len(texts), np.nan)
         for k in range(PARTS):
-            rest = cls.learned(Sample(sample.text, sample.term, sample.count, sample.words, np.where(part == k, -2, label)))
+            rest = cls.learned(replace(sample, label=np.where(part == k, -2, label)))
             if rest is not None:
                 z[part == k] = rest[0].odds(*rest[0].counts(sample))[part == k]
         known = (label >= 0) & ~np.isnan(z)
@@ -266,7 +266,7 @@ class Model:
         return cls(own.terms, own.sure, fit_linear(features(counts[there], words[there], own.sure), q[there])), q
 
     def counts(self, sample: Sample) -> tuple[np.ndarray, np.ndarray]:
-        column = self.table().find(sample.term)
+        column = self.table().find(sample.names)[sample.term]
         own = column >= 0
         counts = np.zeros((len(sample.words), len(self.terms)), np.float32)
         counts[sample.text[own], column[own]] = sample.count[own]
