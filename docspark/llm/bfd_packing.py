@@ -165,18 +165,18 @@ def pack_matrix(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
 KINDS = ("ids", "positions", "lengths", "bounds", "docs", "starts")
 _NO_ID = -(1 << 63)
-MANIFEST = "part long, rows long, width int, position_bytes int, first_sequence long, " + ", ".join(f"{k} string" for k in KINDS)
+MANIFEST = "part long, rows long, width int, id_bytes int, position_bytes int, first_sequence long, " + ", ".join(f"{k} string" for k in KINDS)
 
 
-def write_matrices(packed: DataFrame, folder: str, width: int = WIDTH) -> DataFrame:
+def write_matrices(packed: DataFrame, folder: str, width: int = WIDTH, vocabulary: int = 1 << 32) -> DataFrame:
     """pack_matrix's rows as files in the folder, and a manifest: one row per part with rows.
 
-    ids and positions: rows * width numbers, of 4 and of position_bytes bytes. lengths: every row's cumulative segment
+    ids and positions: rows * width numbers, of id_bytes (2 where all ids, fewer than vocabulary, fit) and of position_bytes. lengths: every row's cumulative segment
     lengths (from 0), end to end, as 64-bit numbers; bounds: where each row's begin in them, and the end. docs and starts: each
     segment's document (the least number for none) and its place there, signed 64-bit numbers. All are little-endian. Read the manifest from a written table: running its rows again writes other files. A part without
     rows has no files and no row.
     """
-    kind = id_type(width)
+    kind, id_kind = id_type(width), id_type(vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -187,7 +187,10 @@ def write_matrices(packed: DataFrame, folder: str, width: int = WIDTH) -> DataFr
                     if len(r["ids"]) != 4 * width or len(r["position_ids"]) != np.dtype(kind).itemsize * width:
                         raise ValueError(f"a row isn't of width {width}")
                     first = r["sequence_id"] if first is None else first
-                    files.append("ids", np.frombuffer(r["ids"], "<u4"))
+                    ids = np.frombuffer(r["ids"], "<u4")
+                    if ids.max() >= vocabulary:
+                        raise ValueError(f"an id isn't below {vocabulary}")
+                    files.append("ids", ids.astype(id_kind))
                     files.append("positions", np.frombuffer(r["position_ids"], kind))
                     files.append("lengths", np.array(r["cu_seqlens"], "<u8"))
                     files.append("bounds", np.array([end], "<u8"))
@@ -199,8 +202,8 @@ def write_matrices(packed: DataFrame, folder: str, width: int = WIDTH) -> DataFr
         finally:
             files.close()
         if rows:
-            values = [part, rows, width, np.dtype(kind).itemsize, first, *map(files.path, KINDS)]
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.string()] * len(KINDS)]
+            values = [part, rows, width, np.dtype(id_kind).itemsize, np.dtype(kind).itemsize, first, *map(files.path, KINDS)]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.string()] * len(KINDS)]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [x.split()[0] for x in MANIFEST.split(", ")])
 
     return packed.select("sequence_id", "doc_ids", "starts", "cu_seqlens", "ids", "position_ids").mapInArrow(run, MANIFEST)
@@ -226,7 +229,7 @@ def read_matrices(manifest: DataFrame, rows: int = 256) -> DataFrame:
                     listed = lambda e, values: pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), values)
                     columns = [
                         pa.array([m["part"]] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array(lengths[edges[1:] - edges[0] - 1]), listed(own, pa.array(docs, mask=docs == _NO_ID)), listed(own, pa.array(starts)), listed(edges, pa.array(lengths)),
-                        pa.array(wide("ids", 4 * m["width"]), pa.binary()), pa.array(wide("positions", m["position_bytes"] * m["width"]), pa.binary()),
+                        pa.array([np.frombuffer(x, f"<u{m['id_bytes']}").astype("<u4").tobytes() for x in wide("ids", m["id_bytes"] * m["width"])], pa.binary()), pa.array(wide("positions", m["position_bytes"] * m["width"]), pa.binary()),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 

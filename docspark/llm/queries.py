@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def vocabulary(path: str) -> int:
+    """One more than the greatest id of a tokenizer's file."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    return 1 + max([*own["model"]["vocab"].values(), *(x["id"] for x in own["added_tokens"])])
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -76,7 +84,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows as they are read back from the files."""
     packed = bfd_packing.pack_matrix(table(spark, sf_dir, "documents"), tokenizer_path())
-    manifest = written(bfd_packing.write_matrices(packed, new_path(spark, "matrices")), "matrices")
+    manifest = written(bfd_packing.write_matrices(packed, new_path(spark, "matrices"), vocabulary=vocabulary(tokenizer_path())), "matrices")
     return bfd_packing.digests(bfd_packing.read_matrices(manifest))
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark.llm import bfd_packing, packing
+from docspark.llm.queries import vocabulary
 from docspark.llm.token_ids import Encoder, HashTable
 from docspark.session import table, written
 
@@ -149,12 +150,15 @@ def test_matrices_are_read_back(spark, odd_docs, no_docs, tokenizer, tmp_path):
     docs = odd_docs.unionByName(spark.createDataFrame([(None, "no id")], "doc_id long, text string"), allowMissingColumns=True).withColumn("ids", F.lit(b"x")).withColumn("starts", F.lit(0))
     for width in (64, 2048):
         packed = written(bfd_packing.pack_matrix(docs.repartition(3), tokenizer, width=width, segment=9000), "packed")
-        manifest = written(bfd_packing.write_matrices(packed, f"file://{tmp_path}/{width}", width), "manifest")
+        wide = written(bfd_packing.write_matrices(packed, f"file://{tmp_path}/{width}w", width), "manifest")
+        manifest = written(bfd_packing.write_matrices(packed, f"file://{tmp_path}/{width}", width, vocabulary(tokenizer)), "manifest")
         fields = ("n_tokens", "doc_ids", "starts", "cu_seqlens", "ids", "position_ids")
         key = lambda r: tuple(map(repr, (r[f] for f in fields)))
-        assert sorted(map(key, bfd_packing.read_matrices(manifest, 7).collect())) == sorted(map(key, packed.collect()))
+        assert sorted(map(key, bfd_packing.read_matrices(manifest, 7).collect())) == sorted(map(key, bfd_packing.read_matrices(wide).collect())) == sorted(map(key, packed.collect()))
         m = manifest.first()
-        assert np.fromfile(m["ids"].removeprefix("file://"), "<u4").reshape(-1, width).shape == (m["rows"], width) and m.position_bytes == 2
+        assert np.fromfile(m["ids"].removeprefix("file://"), "<u2").reshape(-1, width).shape == (m["rows"], width) and m.id_bytes == m.position_bytes == 2 and wide.first().id_bytes == 4
+    with pytest.raises(Exception, match="below 300"):
+        bfd_packing.write_matrices(packed, f"file://{tmp_path}/v", vocabulary=300).count()
     with pytest.raises(Exception, match="of width 32"):
         bfd_packing.write_matrices(packed, f"file://{tmp_path}/w", 32).count()
     empty = written(bfd_packing.write_matrices(bfd_packing.pack_matrix(no_docs, tokenizer), f"file://{tmp_path}/e"), "manifest")
