@@ -203,32 +203,43 @@ def _central_pairs(banded: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.written(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
 
 
+def _labels(own: DataFrame, named: DataFrame, banded: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """id and component of the sets that have a link: pairs is what the buckets bring together."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = scratch.written(sets_of(own, scratch.written(named.join(ids, "id", "left_semi"), "met")), "sets")
+    links = scratch.written(confirmed(pairs, sets, percent), "confirmed")
+    labels = components(links, scratch)
+
+    # Buckets that still span components.
+    places = banded.join(sets.select("id"), "id", "left_semi").join(labels, "id", "left").select("id", "band", F.coalesce("component", "id").alias("c"))
+    mixed = places.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("band")
+    mixed = scratch.written(mixed, "mixed")
+    if mixed.isEmpty():
+        return labels
+    unsure = places.join(mixed, "band", "left_semi").groupBy("id").agg(F.first("c").alias("c"))
+    rest = scratch.written(sets.join(scratch.written(unsure, "unsure"), "id"), "rest")
+    rest = scratch.written(_reachable(rest, percent, scratch), "rest")
+    found = scratch.written(_prefix_pairs(rest, percent, scratch), "pairs")
+    if found.isEmpty():
+        return labels
+    more = scratch.written(confirmed(found, rest, percent), "confirmed")
+    return labels if more.isEmpty() else components(links.union(more), scratch)
+
+
 def _classes(own: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The signatures (doc_id, n_shingles, k1, k2) of own (doc_id, text as bytes), and its distinct sets.
 
     Sets are k1, k2, least (the least id of a row with this set, null if none has one) and component (a number).
     """
+    spark = own.sparkSession
     signed = written(signatures(own), "signatures")
     classes = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     # Numbers are fixed once the table is written.
     classes = scratch.written(classes.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "least", "bands"), "classes")
     banded = scratch.written(classes.select("id", F.explode(F.array_distinct("bands")).alias("band")), "bands")
     pairs = _central_pairs(banded, scratch)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     named = classes.select("id", "k1", "k2", "least")
-    sets = scratch.written(sets_of(own, scratch.written(named.join(ids, "id", "left_semi"), "met")), "sets")
-    links = scratch.written(confirmed(pairs, sets, percent), "confirmed")
-    labels = components(links, scratch)
-
-    # Buckets that still span components.
-    places = banded.join(sets.select("id"), "id", "left_semi").join(labels, "id", "left").select("id", "band", F.coalesce("component", "id").alias("c"))
-    mixed = places.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("band")
-    unsure = places.join(scratch.written(mixed, "mixed"), "band", "left_semi").groupBy("id").agg(F.first("c").alias("c"))
-    rest = scratch.written(sets.join(scratch.written(unsure, "unsure"), "id"), "rest")
-    rest = scratch.written(_reachable(rest, percent, scratch), "rest")
-    more = scratch.written(confirmed(scratch.written(_prefix_pairs(rest, percent, scratch), "pairs"), rest, percent), "confirmed")
-    if not more.isEmpty():
-        labels = components(links.union(more), scratch)
+    labels = spark.createDataFrame([], "id long, component long") if pairs.isEmpty() else _labels(own, named, banded, pairs, percent, scratch)
     found = named.join(labels, "id", "left").select("k1", "k2", "least", F.coalesce("component", "id").alias("component"))
     return signed.select("doc_id", "n_shingles", "k1", "k2"), scratch.written(found, "found")
 
