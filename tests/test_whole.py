@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from docspark.llm import decontaminate as D
 from docspark.operators import control as K
 from docspark.plans.bind import parses
 from docspark.plans.fair_queries import backlog
@@ -144,14 +143,3 @@ def test_the_backlog_is_one_queue(spark, sf_dir):
             want.append((best.parse_id * 100 + best.n, now))
     got = QUERIES["fair_dispatch_arrivals"](spark, sf_dir).orderBy("seq").collect()
     assert [r.seq for r in got] == list(range(1, len(tasks) + 1)) and [(r.task_key, r.at) for r in got[: len(want)]] == want
-
-
-def test_items_without_an_id_are_searched(spark):
-    passage, other = "one two three four five six seven eight nine ten eleven", "ta tb tc td te tf tg th ti tj"
-    docs = spark.createDataFrame([(1, f"x {passage} y"), (2, "clean words"), (3, f"{other} and {passage}")], "doc_id long, text string")
-    items = spark.createDataFrame([(None, passage), (7, other)], "item_id long, text string")
-    for bound in (1 << 20, 8):
-        got = {r.doc_id: (r.n_hit, list(r["items"])) for r in D.contamination(docs, items, bound=bound).collect()}
-        assert got == {1: (11, []), 2: (0, []), 3: (21, ["7"])}
-        assert [r.doc_id for r in D.uncontaminated(docs, items, bound=bound).collect()] == [2]
-    assert {r.doc_id: r.contaminated for r in D.digests(D.contamination(docs, items)).collect()} == {1: True, 2: False, 3: True}
