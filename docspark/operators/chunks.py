@@ -143,10 +143,11 @@ def text_cuts(text: bytes, room: int) -> list[bytes]:
     return [text[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
 
 
-def pack(pieces: list[dict], budget: int) -> list[tuple[str, list[str]]]:
+def pack(pieces: list[dict], budget: int, cuts: bool = True) -> list[tuple[str, list[str]]]:
     """Windows of (ref, text, section) pieces within a budget of bytes: whole sections, then whole blocks, then cut blocks.
 
-    Each piece is a line "[ref] text"; a cut one repeats the lead, and no character is cut. A budget of 0 is none.
+    Each piece is a line "[ref] text"; a cut one repeats the lead, and no character is cut. A budget of 0 is none. Without
+    cuts a block over the budget stays whole, in a window of its own.
     """
     whole = budget + 1 if budget > 0 else 1 << 62
     leads = [f"[{p['ref']}] ".encode() for p in pieces]
@@ -187,6 +188,9 @@ def pack(pieces: list[dict], budget: int) -> list[tuple[str, list[str]]]:
                 at = to
             elif room < whole:
                 shut()
+            elif not cuts:
+                take(at, at + 1)
+                at += 1
             else:
                 for part in text_cuts(texts[at], budget - len(leads[at])):
                     shut()
@@ -198,15 +202,15 @@ def pack(pieces: list[dict], budget: int) -> list[tuple[str, list[str]]]:
     return [(b"\n".join(line for _, line in own).decode(), [refs[i] for k, (i, _) in enumerate(own) if not k or refs[i] != refs[own[k - 1][0]]]) for own in out if own]
 
 
-def windows(pieces: DataFrame, budget: int) -> DataFrame:
+def windows(pieces: DataFrame, budget: int, cuts: bool = True) -> DataFrame:
     """parse_id, window (from 1), text, refs, code. A parse that takes more than MAX_WINDOWS has one row, its code too_many_pages.
 
-    Null texts are no pieces; a parse without a piece has no row, nor has an empty table. Repeated pieces are each given.
+    Without cuts a block over the budget is one window, whole. Null texts are no pieces; a parse without a piece has no row, nor has an empty table. Repeated pieces are each given.
     """
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("page", "ascending"), ("ord", "ascending")])
-        found = pack([{"ref": r["ref"], "text": r["text"], "section": r["kind"] in HEADINGS} for r in rows.select(["ref", "text", "kind"]).to_pylist()], budget)
+        found = pack([{"ref": r["ref"], "text": r["text"], "section": r["kind"] in HEADINGS} for r in rows.select(["ref", "text", "kind"]).to_pylist()], budget, cuts)
         code = "too_many_pages" if len(found) > MAX_WINDOWS else None
         found = [("", [])] if code else found
         arrays = [

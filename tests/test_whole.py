@@ -143,3 +143,13 @@ def test_the_backlog_is_one_queue(spark, sf_dir):
             want.append((best.parse_id * 100 + best.n, now))
     got = QUERIES["fair_dispatch_arrivals"](spark, sf_dir).orderBy("seq").collect()
     assert [r.seq for r in got] == list(range(1, len(tasks) + 1)) and [(r.task_key, r.at) for r in got[: len(want)]] == want
+
+
+def test_a_line_wider_than_a_window_stays_whole(spark, tmp_path):
+    """windows_pack_wide over lines longer than its windows, first, last and between short ones and headings."""
+    line = lambda c, n: " ".join([c * 49] * (n // 50))
+    texts = [line("a", 90_000), f"Head\n{line('b', 200)}\n{line('c', 50_000)}\n{line('d', 300)}\nNext\n{line('e', 100)}", f"{line('f', 39_000)}\n{line('g', 2_000)}\n{line('日', 30_000)}", line("h", 41_000)]
+    spark.createDataFrame([(10 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["windows_pack_wide"](spark, str(tmp_path))
+    assert difference(got, connect(str(tmp_path)), ORACLES["windows_pack_wide"]) == ""
+    assert max(len(r.text) for r in got.collect()) > 89_000
