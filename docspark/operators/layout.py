@@ -697,10 +697,14 @@ def words_in_cells(words: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def nearest_words(marks: DataFrame, words: DataFrame) -> DataFrame:
-    """For each small mark the nearest word to its right on its line, within BULLET_REACH sizes: page, mark_id, word_id."""
+    """For each small mark the nearest word to its right on its line, within BULLET_REACH sizes: page, mark_id, word_id.
+
+    Marks and words meet by a shuffle: words may be exploded from small rows, whose size says nothing about theirs, so a
+    broadcast could take far more of the driver than was foreseen.
+    """
     m = marks.select("page", "mark_id", F.col("x1").alias("mx"), F.col("baseline").alias("mb"))
     gap = F.col("x0") - F.col("mx")
-    near = words.join(m, "page").where((gap >= 0) & (gap <= BULLET_REACH * F.col("size")) & (F.abs(F.col("baseline") - F.col("mb")) <= F.col("size")))
+    near = words.hint("merge").join(m, "page").where((gap >= 0) & (gap <= BULLET_REACH * F.col("size")) & (F.abs(F.col("baseline") - F.col("mb")) <= F.col("size")))
     return near.groupBy("page", "mark_id").agg(F.min_by("word_id", F.struct(gap, F.col("word_id"))).alias("word_id"))
 
 

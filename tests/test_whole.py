@@ -153,3 +153,9 @@ def test_a_line_wider_than_a_window_stays_whole(spark, tmp_path):
     got = QUERIES["windows_pack_wide"](spark, str(tmp_path))
     assert difference(got, connect(str(tmp_path)), ORACLES["windows_pack_wide"]) == ""
     assert max(len(r.text) for r in got.collect()) > 89_000
+
+
+def test_bullets_meet_words_without_a_broadcast(spark, sf_dir):
+    """20 words are exploded from each customer: the table's small files say nothing about what a broadcast would take."""
+    got = QUERIES["bullet_words"](spark, sf_dir)
+    assert got.count() > 0 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
