@@ -505,6 +505,40 @@ def test_a_full_group_is_passed_over():
     assert got == [(0, 0), (1, 0), (0, 2), (0, 4)]
 
 
+def test_arrivals_by_sorts_are_the_simulation(spark):
+    """Queues whose jobs come early, late, in between or all at once, in one slot or more: the whole fold's order and times."""
+    import random
+
+    rng = random.Random(4)
+    queues = {}
+    for q, spread in ((0, 0), (1, 9), (None, 60), (3, 400), (4, 3)):
+        jobs = [{"arrival": rng.randint(-1, spread), "class": rng.randint(0, 1), "group_id": rng.randint(0, 3), "project_id": rng.randint(0, 2), "cost": rng.choice([0, 1, 1, 5]), "priority": rng.randint(1, 3)} for _ in range(3 if q == 4 else 150)]
+        jobs.sort(key=lambda j: j["arrival"])
+        for i, j in enumerate(jobs):
+            j |= {"queue": q, "task_key": i, "class_weight": I.CLASS_WEIGHTS[j["class"]], "group_weight": 1 + j["group_id"], "project_weight": 1 + rng.randint(0, 2)}
+        queues[q] = jobs
+    rows = spark.createDataFrame([j for own in queues.values() for j in own])
+    for slots, hold, full in ((1, 1, None), (3, 2, None), (4, 7, None), (2, 5, 1)):
+        got = I.dispatch_arrivals(rows, ["queue"], slots, hold, full)
+        assert got.columns == ["queue", "task_key", "seq", "at"]
+        found = {}
+        for r in got.orderBy("seq").collect():
+            found.setdefault(r.queue, []).append((r.seq, r.task_key, r.at))
+        assert found == {q: [(n, d["job"], d["at"]) for n, d in enumerate(I.simulate(jobs, slots, hold, full), 1)] for q, jobs in queues.items()}
+    assert I.dispatch_arrivals(rows.where("false"), ["queue"]).count() == 0
+
+
+def test_no_fold_holds_a_backlog(spark, monkeypatch):
+    """30,000 jobs of two groups, the last of them come at 4: four have a turn until then, so few go through the fold."""
+    held, turns = [], I._turns
+    monkeypatch.setattr(I, "_turns", lambda rows, *a: held.append(rows.count()) or turns(rows, *a))
+    n = F.col("id")
+    same = [F.lit(1).alias(c) for c in ("queue", "class", "project_id", "priority", "cost", "class_weight", "group_weight", "project_weight")]
+    got = I.dispatch_arrivals(spark.range(30_000).select(*same, (n % 2).alias("group_id"), (n % 5).alias("arrival"), n.alias("task_key")), ["queue"])
+    assert got.agg(F.count_distinct("seq"), F.count_distinct("task_key"), F.max("seq"), F.max("at")).first() == (30_000, 30_000, 30_000, 29_999)
+    assert held == [2 * 5 * 4]
+
+
 def test_capacity(spark):
     events = spark.createDataFrame([("a", 10, 5, 3, 16), ("a", 11, 6, 9, 16), ("a", 30, 25, 1, 16)], "scope string, at long, leased_at long, wait long, most long")
     assert sorted(tuple(r) for r in J.limited(events).collect()) == [("a", 10, 8, 13), ("a", 11, 8, 20), ("a", 30, 4, 31)]
