@@ -478,6 +478,39 @@ def test_truncated_replies():
     assert N.completed_reply("no list") is None and N.completed_reply('[{"t": "cut') is None and N.completed_reply("[[1]") == "[[1]]"
 
 
+def test_words_in_cells_of_odd_pages(spark):
+    """Repeated, wide, empty, endless and null cells; words on edges, outside, without a place or a page: as by looking at each pair."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    inf = math.inf
+    cells = [(p, n, x, x + rng.choice([0.5, 3.0, 40.0]), y, y + 5.0) for n in range(60) for p, x, y in [(rng.randint(0, 2), rng.uniform(-50, 50), rng.choice([0.0, 3.0]))]]
+    cells += [(0, 100 + n, 0.0, 7.0, 0.0, 9.0) for n in range(1500)] + [(1, 90, 5.0, 5.0, 0.0, 9.0), (1, 91, 9.0, 5.0, 0.0, 9.0), (1, None, -9.0, 9.0, 0.0, 9.0), (2, 93, None, 9.0, 0.0, 9.0), (None, 94, 0.0, 9.0, 0.0, 9.0)]
+    words = [(p, n, x, x + 1.0, y, y) for n in range(80) for p, x, y in [(rng.randint(0, 3), float(rng.randint(-60, 60)), rng.choice([0.0, 4.0, 20.0]))]]
+    words += [(0, 80, -0.5, 0.5, 0.0, 0.0), (0, 81, 6.5, 7.5, 0.0, 0.0), (1, 82, None, 1.0, 0.0, 0.0), (None, 83, 0.0, 1.0, 0.0, 0.0), (0, 84, 0.0, 1.0, 1.0, 1.0), (0, 84, 0.0, 1.0, 1.0, 1.0), (1, 85, 1e300, 1e300, 0.0, 0.0)]
+    for more in ([], [(0, 95, -inf, 3.0, 0.0, 9.0), (1, 96, 2.0, inf, -inf, inf)], None):
+        own = [] if more is None else cells + more
+        want = []
+        for w in words:
+            x, y = ((w[2] + w[3]) / 2, (w[4] + w[5]) / 2) if w[2] is not None else (None, None)
+            held = [c for c in own if x is not None and None not in (w[0], c[2]) and w[0] == c[0] and c[2] <= x < c[3] and c[4] <= y < c[5]]
+            want += [(*w, *c[1:], w[2] < c[2] - LY.SNAP or w[3] > c[3] + LY.SNAP) for c in held] or [(*w, *[None] * 6)]
+        got = LY.words_in_cells(spark.createDataFrame(words, "page long, word_id int, x0 double, x1 double, y0 double, y1 double"), spark.createDataFrame(own, "page int, cell long, cx0 double, cx1 double, cy0 double, cy1 double"))
+        assert got.columns == ["page", "word_id", "x0", "x1", "y0", "y1", "cell", "cx0", "cx1", "cy0", "cy1", "straddles"]
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_words_meet_only_cells_near_them(spark):
+    """500,000 words and as many cells on one page, side by side: 250,000,000,000 pairs, 500,000 of them near."""
+    n, began = F.col("id"), time.monotonic()
+    side = [F.lit(0.0).alias("y0"), F.lit(0.0).alias("y1")]
+    words = spark.range(500_000).select(F.lit(1).alias("page"), n.alias("word_id"), (n + 0.25).cast("double").alias("x0"), (n + 0.75).cast("double").alias("x1"), *side)
+    cells = spark.range(500_000).select(F.lit(1).alias("page"), n.alias("cell"), n.cast("double").alias("cx0"), (n + 1.0).alias("cx1"), F.lit(-1.0).alias("cy0"), F.lit(1.0).alias("cy1"))
+    got = LY.words_in_cells(words, cells)
+    assert got.agg(F.count("cell"), F.count_if(F.col("cell") == F.col("word_id"))).first() == (500_000, 500_000) and time.monotonic() - began < 40
+
+
 # --- scheduling ----------------------------------------------------------------------------------------------------
 
 
